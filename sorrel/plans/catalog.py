@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sorrel.plans import joins, metrics  # noqa: F401  importing a module registers its queries
+from sorrel.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

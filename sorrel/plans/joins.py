@@ -110,7 +110,7 @@ def grouped_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("n_name", "c_custkey", F.row_number().over(by).cast("bigint").alias("place"))
 
 
-@query("""SELECT p_partkey, string_agg(label, ',' ORDER BY at) AS tags FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS slug, generate_subscripts(string_split(p_name, ' '), 1) AS at FROM part) JOIN (VALUES ('red', 'Red'), ('blue', 'Blue'), ('small', 'Small'), ('ring', 'Ring')) names(slug, label) USING (slug) GROUP BY 1""")
+@query("""SELECT p_partkey, string_agg(label, ',' ORDER BY place) AS tags FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS slug, generate_subscripts(string_split(p_name, ' '), 1) AS place FROM part) JOIN (VALUES ('red', 'Red'), ('blue', 'Blue'), ('small', 'Small'), ('ring', 'Ring')) names(slug, label) USING (slug) GROUP BY 1""")
 def theme_tags(spark: SparkSession, d: str) -> DataFrame:
     """JON08, ADD14: slugs to names in their order, unmatched ones dropped."""
     names = spark.createDataFrame([("red", "Red"), ("blue", "Blue"), ("small", "Small"), ("ring", "Ring")], "slug string, label string")

@@ -155,12 +155,12 @@ def ordered_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH terms AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS word FROM part) WHERE length(word) > 2),
-hits AS (SELECT doc_id, word, CAST((length(text) - length(replace(text, word, ''))) // length(word) AS BIGINT) AS n FROM (SELECT doc_id, lower(text[:700]) AS text FROM documents) CROSS JOIN terms)
+hits AS (SELECT doc_id, word, CAST((length(text) - length(replace(text, word, ''))) // length(word) AS BIGINT) AS n FROM (SELECT doc_id, lower(text) AS text FROM documents) CROSS JOIN terms)
 SELECT doc_id, word, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS k FROM hits WHERE n > 0) WHERE k <= 5""")
 def term_scores(spark: SparkSession, d: str) -> DataFrame:
     """AGG21: a text's five most frequent terms of a glossary; the glossary is a fixed small list, read from a dimension."""
     words = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).where(F.length("word") > 2).distinct()
-    docs = table(spark, d, "documents").select("doc_id", F.lower(F.substring("text", 1, 700)).alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
     glossary = words.agg(F.array_sort(F.collect_set("word")).alias("words"))  # distinct words of part names: a dozen
     met = docs.crossJoin(F.broadcast(glossary)).select("doc_id", F.explode(F.transform("words", lambda w: F.struct(S.hits(F.col("text"), w).alias("n"), w.alias("word")))).alias("h")).where("h.n > 0")
     from pyspark.sql import Window
