@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sorrel.plans import joins, metrics  # noqa: F401  importing a module registers its queries
+from sorrel.plans import incremental, joins, metrics, rules, sets, texts, values, windows  # noqa: F401  importing a module registers its queries
 from sorrel.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

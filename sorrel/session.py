@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +21,12 @@ def session(master: str = "local[8]", app: str = "sorrel", partitions: int = 8)
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which every executor sees; a temporary one where it is unset, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="sorrel-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
