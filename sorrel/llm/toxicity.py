@@ -6,7 +6,7 @@ graded by how dense the words are that separate the two labels.
 
 Training reads at most `sample` labelled rows, those with the smallest hash of their id; both the words kept as
 features (at most `words`) and the fit come from them, so the model's size and the driver's work don't depend on the
-corpus. Scoring is one pass without a shuffle. Null and empty texts have no features and score like the intercept;
+corpus. Tasks make the rows' bags of words and count features; the driver gets the kept features alone. Scoring is one pass without a shuffle. Null and empty texts have no features and score like the intercept;
 rows without a label or an id aren't learnt from; repeated rows give repeated results; without both labels every
 severity is 0.
 """
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sorrel.llm.common import by_batch, documents, pieces, raw
+from sorrel.llm.common import by_batch, documents, pieces, raw, stored
 
 #: Bounds of what a fit may read and keep.
 SAMPLE, WORDS = 12000, 4096
@@ -108,20 +108,25 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
     return params[:n_words], np.cumsum(np.concatenate([params[n_words : n_words + 1], np.exp(params[n_words + 1 :])]))
 
 
-def separating_features(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, n_features: int, most: int = WORDS, least_z: float = 2.5) -> tuple[np.ndarray, np.ndarray]:
+def separating_features(bags: DataFrame, n_toxic: int, n_clean: int, most: int = WORDS, least_z: float = 2.5) -> list[tuple[bytes, float]]:
     """Features whose log-odds of standing in toxic rows differ from chance, at most `most` by z-score; their z-scores.
 
-    rows and cols: a pair for each feature of each row, without repeats.
+    Tasks count the rows that hold a feature by label, Spark adds them up and ranks them; what is kept alone is collected.
     """
-    n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
-    a = np.bincount(cols[toxic[rows] > 0], minlength=n_features).astype(float)
-    b = np.bincount(cols[toxic[rows] == 0], minlength=n_features).astype(float)
-    odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-    z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n1 - a + 0.5) + 1 / (n0 - b + 0.5))
-    z[(a < 5) & (b < 5)] = 0
-    order = np.argsort(-np.abs(z), kind="stable")[:most]
-    order = order[np.abs(z[order]) >= least_z]
-    return order, z[order]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            held: dict[bytes, list[int]] = {}
+            for grade, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for feature in {f for w in words.split() for f in word_features(w)}:
+                    held.setdefault(feature, [0, 0])[grade > 0] += 1
+            yield {"feature": list(held), "a": [n[1] for n in held.values()], "b": [n[0] for n in held.values()]}
+
+    counts = by_batch(bags.select("grade", "words"), work, "feature binary, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a >= 5 or b >= 5")
+    cells = [F.col("a") + 0.5, F.lit(n_toxic) - F.col("a") + 0.5, F.col("b") + 0.5, F.lit(n_clean) - F.col("b") + 0.5]
+    z = (F.log(cells[0] / cells[1]) - F.log(cells[2] / cells[3])) / F.sqrt(1 / cells[0] + 1 / cells[1] + 1 / cells[2] + 1 / cells[3])
+    best = counts.select("feature", z.alias("z")).where(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "feature").limit(most)
+    return [(bytes(r["feature"]), r["z"]) for r in best.collect()]
 
 
 def grade_binary(density: np.ndarray, toxic: np.ndarray, grades: int) -> np.ndarray:
@@ -133,39 +138,8 @@ def grade_binary(density: np.ndarray, toxic: np.ndarray, grades: int) -> np.ndar
     return out
 
 
-def fit_texts(bags: list[tuple[list[bytes], np.ndarray]], y: np.ndarray, grades: int = 4, words: int = WORDS) -> OrdinalModel:
-    """The model of rows given as words with their counts, and their labels; labels of 0 and 1 are graded first."""
-    toxic = (y > 0).astype(np.int64)
-    if not len(y) or toxic.min() == toxic.max():
-        return OrdinalModel({}, np.zeros(0), np.zeros(0))
-    ids: dict[bytes, int] = {}
-    rows, cols, counts = [], [], []
-    for i, (found, often) in enumerate(bags):
-        bag: Counter[int] = Counter()
-        for word, n in zip(found, often.tolist(), strict=True):
-            for f in word_features(word):
-                bag[ids.setdefault(f, len(ids))] += n
-        rows.append(np.full(len(bag), i, np.int32))
-        cols.append(np.fromiter(bag.keys(), np.int32, len(bag)))
-        counts.append(np.fromiter(bag.values(), np.int32, len(bag)))
-    row, col, count = map(np.concatenate, (rows, cols, counts))
-    kept, z = separating_features(row, col, toxic, len(ids), words)
-    if not len(kept):
-        return OrdinalModel({}, np.zeros(0), np.zeros(0))
-    place = np.full(len(ids), -1)
-    place[kept] = np.arange(len(kept))
-    names = {int(k): name for name, k in ids.items() if place[k] >= 0}
-    marks = np.zeros(len(ids))
-    marks[kept[z > 0]] = 1
-    density = np.bincount(row, count * marks[col], len(y)) / np.maximum(np.bincount(row, count, len(y)), 1)
-    own = place[col] >= 0
-    grade = y if y.max() > 1 else grade_binary(density, toxic, grades)
-    weights, thresholds = fit_ordinal(row[own].astype(np.int64), place[col[own]], 1 + np.log(count[own]), grade, len(kept))
-    return OrdinalModel({names[int(k)]: i for i, k in enumerate(kept)}, weights, thresholds)
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", grades: int = 4, sample: int = SAMPLE, words: int = WORDS) -> OrdinalModel:
-    """Fits on at most `sample` rows of labels (doc_id and an integer label; over 1: grades already); a text counts once."""
+def labelled_bags(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """digest, grade, words and counts of at most `sample` labelled rows; of equal texts the one with the smallest id."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("grade")).where("doc_id is not null and grade is not null")
     chosen = chosen.groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = documents(docs).join(F.broadcast(chosen), "doc_id")  # at most `sample` short rows
@@ -176,14 +150,49 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", grades: int
             bags = [Counter(text_words(t)) for t in texts]
             yield {"doc_id": batch.column(0), "grade": batch.column(2), "digest": [hashlib.md5(t).digest() for t in texts], "words": [b" ".join(c) for c in bags], "counts": [np.array(list(c.values()), "<u4").tobytes() for c in bags]}
 
-    found = by_batch(rows.select("doc_id", "text", "grade"), work, "doc_id long, grade int, digest binary, words binary, counts binary").orderBy("doc_id", "digest")
-    bags, y, seen = [], [], set()
-    for r in found.toLocalIterator():
-        if (key := bytes(r["digest"])) not in seen:
-            seen.add(key)
-            bags.append((bytes(r["words"]).split(), np.frombuffer(r["counts"], "<u4")))
-            y.append(r["grade"])
-    return fit_texts(bags, np.array(y, np.int64), grades, words)
+    found = by_batch(rows.select("doc_id", "text", "grade"), work, "doc_id long, grade int, digest binary, words binary, counts binary")
+    once = found.groupBy("digest").agg(F.min_by(F.struct("grade", "words", "counts"), F.struct("doc_id", "grade")).alias("r"))
+    return stored(once.select("digest", "r.*"), "labelled")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", grades: int = 4, sample: int = SAMPLE, words: int = WORDS) -> OrdinalModel:
+    """Fits on at most `sample` rows of labels (doc_id and an integer label; over 1: grades already); a text counts once.
+
+    The driver gets the kept features and, for each labelled row, the numbers of those that it holds.
+    """
+    bags = labelled_bags(docs, labels, label, sample)
+    size = {r["toxic"]: r["n"] for r in bags.groupBy((F.col("grade") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    kept = separating_features(bags, size[True], size[False], words) if len(size) == 2 else []
+    if not kept:
+        return OrdinalModel({}, np.zeros(0), np.zeros(0))
+    numbers = {f: i for i, (f, _) in enumerate(kept)}
+    marked = np.array([z > 0 for _, z in kept])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in ("cols", "counts", "density")}
+            for found, often in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                bag: Counter[int] = Counter()
+                total = 0
+                for word, n in zip(found.split(), np.frombuffer(often, "<u4").tolist(), strict=True):
+                    features = word_features(word)
+                    total += n * len(features)
+                    for f in features:
+                        if f in numbers:
+                            bag[numbers[f]] += n
+                cols, counts = np.fromiter(bag.keys(), "<i4", len(bag)), np.fromiter(bag.values(), "<i4", len(bag))
+                for column, value in zip(out.values(), (cols.tobytes(), counts.tobytes(), float(counts[marked[cols]].sum() / max(total, 1))), strict=True):
+                    column.append(value)
+            yield out | {"digest": batch.column(0), "grade": batch.column(1)}
+
+    rows = by_batch(bags.select("digest", "grade", "words", "counts"), work, "digest binary, grade int, cols binary, counts binary, density double").orderBy("digest").drop("digest").collect()  # at most `sample`
+    cols = [np.frombuffer(r["cols"], "<i4") for r in rows]
+    y = np.array([r["grade"] for r in rows], np.int64)
+    grade = y if y.max() > 1 else grade_binary(np.array([r["density"] for r in rows]), (y > 0).astype(np.int64), grades)
+    row = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
+    values = 1 + np.log(np.concatenate([np.frombuffer(r["counts"], "<i4") for r in rows]))
+    weights, thresholds = fit_ordinal(row, np.concatenate(cols), values, grade, len(kept))
+    return OrdinalModel(numbers, weights, thresholds)
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, cut: float = 0.3) -> DataFrame:
