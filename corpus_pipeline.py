@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sorrel.llm import packing, quality, simhash, toxicity
+from sorrel.llm import packing, quality, similar, toxicity
 from sorrel.llm.common import stored
 
 #: A document whose quality score is lower goes; lower than the classifier's own cut, so that clean documents stay.
@@ -28,8 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; of rows with one id, all or none."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
+    """The document with the smallest id of each group that a Jaccard similarity of 0.8 or more over five-word shingles links; of rows with one id, all or none."""
+    kept = similar.similar_documents(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*docs.columns)
 
 
