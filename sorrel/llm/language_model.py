@@ -202,7 +202,7 @@ def _context_hash(keys: np.ndarray) -> np.ndarray:
     return mixed((keys >> np.uint64(16)) + np.uint64(0x9E3779B97F4A7C15))
 
 
-def count_ngrams(blocks: DataFrame, one: Unigrams, shards: int, order: int = ORDER) -> DataFrame:
+def count_ngrams(blocks: DataFrame, one: Unigrams, shards: int, order: int = ORDER, least: int = 2) -> DataFrame:
     """Answers (block, shard, level, a: codes of shares, b: rest shares of the distinct contexts) and a row with each shard's trie level (no block)."""
     sc = blocks.sparkSession.sparkContext
     shared = sc.broadcast(one)
@@ -248,7 +248,7 @@ def count_ngrams(blocks: DataFrame, one: Unigrams, shards: int, order: int = ORD
                     keys, inverse = np.unique(both, return_inverse=True)
                     counts = np.bincount(inverse, every, len(keys)).astype(np.int64)
                     waiting, held = [], 0
-            data = to_bytes(TrieLevel.build(keys, counts))
+            data = to_bytes(TrieLevel.build(keys, counts, least=least))
             add(None, shard, level, data, None)
             with memory_mapped(data) as trie:
                 for block, asked, _ in sent:
@@ -262,14 +262,17 @@ def count_ngrams(blocks: DataFrame, one: Unigrams, shards: int, order: int = ORD
     return stored(sent.groupBy("shard").applyInArrow(settle, "block long, shard int, level int, a binary, b binary"), "ngrams")
 
 
-def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, shortlist: int = SHORTLIST, block: int = BLOCK) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows held out aren't learnt from."""
+def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, shortlist: int = SHORTLIST, block: int = BLOCK, least: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows held out aren't learnt from.
+
+    n-grams that training holds fewer than `least` times are left to the lower order.
+    """
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = text_blocks(docs, held_out, block)
     counted = count_words(blocks, shards, shortlist)
     one = unigrams(counted, shortlist)
-    ngrams = count_ngrams(blocks, one, shards, order)
+    ngrams = count_ngrams(blocks, one, shards, order, least)
     shared = spark.sparkContext.broadcast(one)
     names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

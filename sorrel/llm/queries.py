@@ -30,7 +30,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score_texts(read_documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+    return language_model.score_texts(read_documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 5 == 1, least=1)
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
