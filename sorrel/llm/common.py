@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 _tables = itertools.count()
@@ -57,11 +57,14 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor sees; a temporary one where it is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """The folder of spark.checkpoint.dir, which every executor sees; a temporary one on a single machine, as in tests.
+
+    Without that setting a cluster has no folder that all its machines share, so there it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="sorrel-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -94,6 +97,39 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int, *keys: str, each: int = 20000) -> DataFrame:
+    """df in as many partitions as its number of rows asks for, so that work that widens short rows has enough tasks."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // each)), *(F.col(k) for k in keys))
+
+
+def frequent(*keys: str, share: int = 512) -> list[Column]:
+    """Aggregates for `hot_values`: sketches of bounded size of the keys' most frequent values, and the number of rows."""
+    return [*(F.expr(f"approx_top_k(xxhash64({k}), {share}, {16 * share})").alias(f"_top_{k}") for k in keys), F.count("*").alias("_rows")]
+
+
+def hot_values(row: Row, *keys: str, share: int = 512) -> list[int]:
+    """Hashes of the values that hold more than about 1 / share of the rows, at most `share` of each key."""
+    return [x["item"] for k in keys for x in row[f"_top_{k}"] or [] if x["count"] * share > row["_rows"]]
+
+
+def salted_join(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner", hot: list[int] | None = None, salt: Column | None = None, salts: int = 32) -> DataFrame:
+    """rows joined with unique, which has one row a key, without one task for all rows of a frequent key.
+
+    The rows of hot keys (hashes from a sketch, made here if none are given) are dealt by salt over `salts` partitions,
+    to each of which the key's one row goes. The sketch decides about speed alone: whatever it finds, each row meets its
+    key's row once. Without a salt, rows must come from a scan, whose row numbers are the same when a task runs again.
+    """
+    if hot is None:
+        hot = hot_values(rows.agg(*frequent(key)).first(), key)
+    if not hot:
+        return rows.join(unique, key, how)
+    is_hot = F.xxhash64(key).isin(hot)
+    left = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id() if salt is None else salt, F.lit(salts))).otherwise(0).cast("int"))
+    right = unique.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def by_batch(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[dict[str, object]]], schema: str) -> DataFrame:
     """mapInArrow for a function that yields columns; Spark bounds each batch by rows and by 64 MB."""
     from pyspark.sql.pandas.types import to_arrow_schema

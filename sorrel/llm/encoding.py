@@ -1,21 +1,25 @@
-"""Tokenizers' ids of whole texts; words are encoded once and kept in a dictionary of bounded size.
+"""Tokenizers' ids of whole texts; distinct words are encoded once and kept in a dictionary of bounded size.
 
 The patterns of the byte-level and the word tokenizer always split between a word and the space before the next one, and
-at a line break between words. So a text is split at single spaces and line breaks, each piece's ids are looked up, and
-new pieces alone go to the library: a word of Latin letters as the one pre-token that it is, anything else as a text of
-its own. Texts with other white space at a split (two spaces, tabs at an end) go through a pattern that splits less.
+at a line break between words. So a column of texts is split at single spaces and line breaks, the distinct pieces' ids
+are looked up, and new pieces alone go to the library: a word of Latin letters as the one pre-token that it is, anything
+else as a text of its own. Texts with other white space at a split (two spaces, tabs at an end) go through a pattern that
+splits less; texts that hold the string of a special token go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
-from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from sorrel.llm.common import LATIN, SPACE, UNITS, Kept, env_single_thread
 
-_WORD = re.compile(f"([{LATIN}]+)([.,]?)").fullmatch
+_SPACES = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{SPACE}]", chr(c)))
 
 
 def byte_characters() -> list[str]:
@@ -25,14 +29,26 @@ def byte_characters() -> list[str]:
     return [chr(b if b in plain else next(other)) for b in range(256)]
 
 
+def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs pool[start : start + size] one after the other, and where each ends."""
+    ends = np.cumsum(size)
+    at = np.repeat(start - (ends - size), size)
+    at += np.arange(len(at))
+    return pool[at], ends
+
+
 class TextEncoder:
-    """ids of texts as little-endian 32-bit bytes. Subclasses say how pre-tokens and whole parts are encoded."""
+    """ids of texts as 32-bit integers. Subclasses say how pre-tokens and whole parts are encoded."""
+
+    special: tuple[str, ...] = ()  # strings that the library recognises anywhere in a text
+    lower, keeps_space = False, True
 
     def __init__(self):
         self.table = dict(enumerate(byte_characters()))
-        self.pieces = Kept(self._new_pieces)
+        self.words = Kept(self.encode_words)
+        self.others = Kept(self._new_others)
         self.parts = Kept(self.encode_parts)
-        self.stops = dict(zip(".,", self.encode_parts([".", ","]), strict=True))
+        self.stops = self.encode_parts([".", ","])
         self.line = self.encode_parts(["\n"])[0]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
@@ -46,68 +62,136 @@ class TextEncoder:
     def mapped(self, text: str) -> str:
         return text.encode().decode("latin-1").translate(self.table)
 
-    def _new_pieces(self, pieces: list[str]) -> list[bytes | None]:
-        """A piece follows a space; one that begins with a line break follows nothing. None: it can't stand alone."""
+    def _new_others(self, pieces: list[str]) -> list[bytes | None]:
+        """ids of pieces with the space before them, or none after a line break; None: a piece can't stand alone."""
         out: list[bytes | None] = [None] * len(pieces)
-        words, places, stops, others = [], [], [], []
-        for i, piece in enumerate(pieces):
-            own, before = (piece[1:], "") if piece[:1] == "\n" else (piece, " ")
-            if m := _WORD(own):
-                word, stop = m.groups()
-                words.append(before + word)
-                places.append(i)
-                stops.append(stop)
-            elif own and own[0] not in _SPACES and own[-1] not in _SPACES:
-                others.append((i, before + own))
-        for i, stop, value in zip(places, stops, self.encode_words(words), strict=True):
-            out[i] = value + self.stops[stop] if stop else value
-        for (i, _), value in zip(others, self.encode_parts([own for _, own in others]), strict=True):
+        at = [i for i, p in enumerate(pieces) if p and p[-1] not in _SPACES and (p[1:2] if p[0] == " " else p[0]) not in _SPACES]
+        for i, value in zip(at, self.encode_parts([pieces[i] for i in at]), strict=True):
             out[i] = value
-        return [self.line + x if x is not None and p[:1] == "\n" else x for p, x in zip(pieces, out, strict=True)]
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [("\n" + t).replace("\n", " \n")[1:].split(" ") for t in texts]
-        found = self.pieces(split)
-        out: list[bytes] = []
-        hard = []
-        for i, f in enumerate(found):
-            if not texts[i]:
-                out.append(b"")
-            elif None in f:
-                out.append(b"")
-                hard.append(i)
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of distinct pieces one after the other, and how many each has: -1 for one that can't stand alone.
+
+        A piece follows a space; one that begins with a line break follows nothing. Words of letters are looked up
+        without the stop after them.
+        """
+        lined = pc.starts_with(pieces, "\n")
+        own = pc.if_else(lined, pc.utf8_slice_codeunits(pieces, 1), pieces)
+        stops = [pc.ends_with(own, x) for x in ".,"]
+        base = pc.if_else(pc.or_(*stops), pc.utf8_slice_codeunits(own, 0, -1), own)
+        is_word = pc.match_substring_regex(base, f"^[{LATIN}]+$").to_numpy(zero_copy_only=False)
+        first = lined.to_numpy(zero_copy_only=False)
+        words = base.filter(pa.array(is_word))
+        if self.lower:
+            words = pc.utf8_lower(words)
+        if self.keeps_space:
+            words = pc.binary_join_element_wise(pc.if_else(pa.array(first[is_word]), "", " "), words, "")
+        coded = words.dictionary_encode()
+        rest = pc.binary_join_element_wise(pc.if_else(lined, "", " "), own, "").filter(pa.array(~is_word))
+        found = [*self.words([coded.dictionary.to_pylist()])[0], *self.others([rest.to_pylist()])[0]]
+        sizes = np.array([-1 if f is None else len(f) // 4 for f in found], np.int64)
+        fixed = [self.line, *self.stops]
+        pool = np.frombuffer(b"".join([*fixed, *filter(None, found)]), "<u4")
+        fixed_sizes = np.array([len(x) // 4 for x in fixed], np.int64)
+        fixed_starts = np.cumsum(fixed_sizes) - fixed_sizes
+        starts = fixed_sizes.sum() + np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+        entry = np.empty(len(pieces), np.int64)
+        entry[is_word] = coded.indices.to_numpy()
+        entry[~is_word] = len(coded.dictionary) + np.arange(len(rest))
+        start, size = np.zeros((len(pieces), 3), np.int64), np.zeros((len(pieces), 3), np.int64)  # line break, word, stop
+        start[:, 0], size[:, 0] = fixed_starts[0], fixed_sizes[0] * first
+        start[:, 1], size[:, 1] = starts[entry], sizes[entry]
+        for k, ends in enumerate(stops, 1):
+            here = ends.to_numpy(zero_copy_only=False) & is_word
+            start[here, 2], size[here, 2] = fixed_starts[k], fixed_sizes[k]
+        alone = size[:, 1] >= 0
+        size[~alone] = 0
+        ids, _ = gathered(pool, start.ravel(), size.ravel())
+        return ids, np.where(alone, size.sum(1), -1)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """ids of texts that single spaces and line breaks can't split."""
+        out: list[bytes] = [b""] * len(texts)
+        plain = []
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.special):
+                out[i] = self.encode_parts([text])[0]
             else:
-                out.append(b"".join(f)[len(self.line) :])
-        for i, f in zip(hard, self.parts([UNITS.findall(texts[i]) for i in hard]), strict=True):
-            out[i] = b"".join(f)
+                plain.append(i)
+        for i, found in zip(plain, self.parts([UNITS.findall(texts[i]) for i in plain]), strict=True):
+            out[i] = b"".join(found)
         return out
 
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts one after the other, and where each text's end in them."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        lined = pc.utf8_slice_codeunits(pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\n"), texts, pa.scalar("")), "\n", " \n"), 1)
+        split = pc.split_pattern(lined, " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        coded = split.flatten().dictionary_encode()
+        pool, sizes = self._pieces(coded.dictionary)
+        begin = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+        codes = coded.indices.to_numpy()
+        size, start, first = sizes[codes], begin[codes], offsets[:-1]
+        empty = pc.binary_length(texts).to_numpy(zero_copy_only=False) == 0
+        hard = np.minimum.reduceat(size, first) < 0
+        if self.special:
+            hard |= pc.match_substring(texts, os.path.commonprefix(self.special)).to_numpy(zero_copy_only=False)
+        hard &= ~empty
+        line = len(self.line) // 4
+        size[first] -= line  # nothing stands before a text's first piece
+        start[first] += line
+        size[np.repeat(hard, np.diff(offsets))] = 0
+        size[first[empty]] = 0
+        rows = np.flatnonzero(hard)
+        if len(rows):
+            own = self._whole(texts.take(pa.array(rows)).to_pylist())
+            lengths = np.array([len(x) // 4 for x in own], np.int64)
+            start[first[rows]] = len(pool) + np.cumsum(lengths) - lengths
+            size[first[rows]] = lengths
+            pool = np.concatenate([pool, np.frombuffer(b"".join(own), "<u4")])
+        ids, ends = gathered(pool, start, size)
+        return ids.astype(np.uint32, copy=False), ends[offsets[1:] - 1]
 
-_SPACES = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{SPACE}]", chr(c)))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """ids of each text as little-endian 32-bit bytes."""
+        ids, ends = self.encode_column(pa.array(texts, pa.string()))
+        data, cuts = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 class LibraryEncoder(TextEncoder):
-    """The tokenizers library, by a file in its format; lower: does its normalizer put words in lower case."""
+    """The tokenizers library's encode(text, add_special_tokens=False), by a file in its format.
 
-    def __init__(self, path: str):
+    special_as_text: the strings of special tokens in a text are ordinary text; else they become their ids, as the
+    library does unless told otherwise.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False):
         env_single_thread()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        with open(path, "rb") as file:
+            self.special = () if special_as_text else tuple(t["content"] for t in json.load(file)["added_tokens"])
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
         self.keeps_space = len(self.tokenizer.encode(" a", add_special_tokens=False).ids) != 0 and self.tokenizer.encode(" a", add_special_tokens=False).ids != self.tokenizer.encode("a", add_special_tokens=False).ids
         super().__init__()
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        if self.lower:
-            words = [w.lower() for w in words]
-        if not self.keeps_space:
-            words = [w.lstrip(" ") for w in words]
         tokenize, space = self.model.tokenize, self.table[32]
-        mapped = [(w.replace(" ", space) if w.isascii() else self.mapped(w)) for w in words]
-        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in mapped]
+        flat: list[int] = []
+        ends: list[int] = []
+        for w in words:
+            flat += [t.id for t in tokenize(w.replace(" ", space) if w.isascii() else self.mapped(w))]
+            ends.append(4 * len(flat))
+        data = np.array(flat, "<u4").tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode_parts(self, parts: list[str]) -> list[bytes]:
         out = []

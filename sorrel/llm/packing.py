@@ -40,13 +40,15 @@ def token_pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -
     names = ("doc_id", "piece", "start", "length", "ids_crc32")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encode = kept_encoder(LibraryEncoder, path).encode
-        last = np.array([end], "<u4").tobytes()
-        for batch in (x for b in batches for x in pieces(b, 1 << 20)):
-            rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                ids += last
-                rows += [(doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, size))]
+        encode = kept_encoder(LibraryEncoder, path).encode_column
+        for batch in (x for b in batches for x in pieces(b)):
+            ids, ends = encode(batch.column(1))
+            data = memoryview(np.insert(ids, ends, end).astype("<u4", copy=False).tobytes())
+            rows, at = [], 0
+            for doc_id, stop in zip(batch.column(0).to_pylist(), (ends + np.arange(1, len(ends) + 1)).tolist(), strict=True):
+                for k, (s, n) in enumerate(cut(stop - at, size)):
+                    rows.append((doc_id, k, s, n, zlib.crc32(data[4 * (at + s) : 4 * (at + s + n)])))
+                at = stop
             yield dict(zip(names, zip(*rows, strict=True), strict=True))
 
     return by_batch(documents(docs), work, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -6,12 +6,15 @@ chunks; the root of a Merkle tree over them is its manifest. Reading verifies ea
 recipe against its root, and takes a document's checksum from its chunks' (checksums of concatenations combine), so no
 ids move between machines when the store is read.
 
-Layout below the path: kind=chunk (key, data) and recipes (start, ids of all documents before; rows in ascending
-doc_id order). Ids are kept as 16-bit little-endian integers where the vocabulary allows, else 32.
+Layout below the path: chunks (key, data); recipes (doc_id, n_tokens, names, lengths, root, part, place, within) in
+ascending doc_id order, part and place being their order and within the ids before a row in its part; starts (part,
+before), the ids of all parts before. Ids are kept as 16-bit little-endian integers where the vocabulary allows, else 32.
 
 Texts are read once; a chunk leaves a task once, and is shuffled by its name, so a passage that most documents share
-costs no more than a task's number of rows. Null and empty texts are the end id alone; null ids come first; repeated
-rows have a recipe each.
+costs no more than a task's number of rows; when recipes meet their chunks, chunks that hold a large share of all
+references are salted. Null and empty texts are the end id alone; null ids come first; equal ids and texts have a recipe
+each; a very long text is one recipe, whose chunks a task holds. No documents give no rows. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sorrel.llm.common import by_batch, documents, mixed, new_path, pieces
+from sorrel.llm.common import by_batch, documents, mixed, new_path, pieces, salted_join
 from sorrel.llm.encoding import LibraryEncoder, kept_encoder
 
 #: The rolling hash sees WINDOW ids; chunks have LEAST to MOST ids, and AVERAGE more than LEAST on average.
@@ -45,20 +48,34 @@ def merkle_root(names: list[bytes]) -> bytes:
     return level[0] if level else digest(b"")
 
 
-def rolling_hash(ids: np.ndarray) -> np.ndarray:
-    """At each place a hash of the last WINDOW ids alone."""
+def rolling_hash(ids: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """At each place a hash of the last WINDOW ids alone: a sum of their mixed values, each shifted by its distance.
+
+    table: id_values of the vocabulary, so that an id's value is looked up. The window is built up by doubling.
+    """
+    out = id_values(ids) if table is None else table[ids]
     with np.errstate(over="ignore"):
-        one = mixed(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        out = np.zeros(len(ids), np.uint64)
-        for k in range(min(WINDOW, len(ids))):
-            out[k:] += one[: len(ids) - k] << np.uint64(k)
+        width = 1
+        while width < WINDOW:
+            out[width:] += out[:-width] << np.uint64(width)
+            width *= 2
     return out >> np.uint64(WINDOW)
 
 
-def cut_points(ids: np.ndarray, hashes: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document; hashes: rolling_hash of ids, or of a stream that holds them."""
-    n, at, ends = len(ids), 0, []
-    for hit in (np.flatnonzero(hashes % np.uint64(AVERAGE) == 0) + 1).tolist():
+def id_values(ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+
+def hits(hashes: np.ndarray) -> np.ndarray:
+    """Places after which a chunk may end."""
+    return np.flatnonzero((hashes & np.uint64(AVERAGE - 1)) == 0) + 1
+
+
+def cut_points(n: int, places: list[int]) -> list[int]:
+    """Ends of the chunks of one document of n ids; places: its hits."""
+    at, ends = 0, []
+    for hit in places:
         if hit < WINDOW:
             continue
         while hit - at > MOST:
@@ -79,48 +96,67 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end: int = 1, vocabu
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encode = kept_encoder(LibraryEncoder, tokenizer).encode
+        encode = kept_encoder(LibraryEncoder, tokenizer).encode_column
+        table = id_values(np.arange(vocabulary))
         seen: set[bytes] = set()
-        last = np.array([end], "<u4").tobytes()
-        for batch in (x for b in batches for x in pieces(b, 1 << 20)):
-            streams = [np.frombuffer(x + last, "<u4") for x in encode(batch.column(1).to_pylist())]
-            all_hashes = rolling_hash(np.concatenate(streams))
+        for batch in (x for b in batches for x in pieces(b)):
+            ids, ends = encode(batch.column(1))
+            ids = np.insert(ids, ends, end)
+            ends = ends + np.arange(1, len(ends) + 1)
+            small = ids.astype(kind)
+            places = hits(rolling_hash(ids, table))
+            cuts = np.searchsorted(places, ends, side="right").tolist()
+            data, width, places = small.tobytes(), small.itemsize, places.tolist()
             out: dict[str, list] = {k: [] for k in ("kind", "key", "doc_id", "n_tokens", "names", "lengths", "root", "data")}
-
-            def add(*row) -> None:
-                for column, value in zip(out.values(), row, strict=True):
-                    column.append(value)
-
-            at = 0
-            for doc_id, ids in zip(batch.column(0).to_pylist(), streams, strict=True):
-                ends = cut_points(ids, all_hashes[at : at + len(ids)])
-                at += len(ids)
-                small = ids.astype(kind)
-                chunks = [small[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+            start, low = 0, 0
+            for doc_id, stop, high in zip(batch.column(0).to_pylist(), ends.tolist(), cuts, strict=True):
+                own = cut_points(stop - start, [p - start for p in places[low:high]])
+                chunks = [data[width * (start + a) : width * (start + b)] for a, b in zip([0, *own], own, strict=False)]
                 names = [digest(c) for c in chunks]
-                for name, data in zip(names, chunks, strict=True):
+                for name, chunk in zip(names, chunks, strict=True):
                     if name not in seen:
                         if len(seen) >= 1 << 18:
                             seen.clear()
                         seen.add(name)
-                        add("chunk", name, None, None, None, None, None, data)
-                root = merkle_root(names)
-                add("recipe", digest(b"%d" % (doc_id or 0) + root), doc_id, len(ids), b"".join(names), np.diff([0, *ends]).astype("<u4").tobytes(), root, None)
+                        for column, value in zip(out.values(), ("chunk", name, None, None, None, None, None, chunk), strict=True):
+                            column.append(value)
+                lengths = np.diff([0, *own]).astype("<u4").tobytes()
+                for column, value in zip(out.values(), ("recipe", None, doc_id, stop - start, b"".join(names), lengths, merkle_root(names), None), strict=True):
+                    column.append(value)
+                start, low = stop, high
             yield out
 
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        from pyspark import TaskContext
+
+        part, before, place = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            sums = before + np.cumsum(n)
+            yield {f: batch.column(i) for i, f in enumerate(("doc_id", "n_tokens", "names", "lengths", "root"))} | {"part": np.full(len(n), part), "place": (part << 33) + place + np.arange(len(n)), "within": sums - n}
+            before, place = int(sums[-1]) if len(n) else before, place + len(n)
+
     rows = by_batch(documents(docs), work, "kind string, key binary, doc_id long, n_tokens long, names binary, lengths binary, root binary, data binary")
-    once = F.row_number().over(Window.partitionBy("key", "kind").orderBy("kind"))
-    rows = rows.withColumn("_once", once).where("kind = 'recipe' or _once = 1").drop("_once")
     rows.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/parts")
+    once = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    _part(spark, path, "chunk", "key binary, data binary").withColumn("_once", once).where("_once = 1").drop("_once").write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = _part(spark, path, "recipe", "doc_id long, n_tokens long, names binary, lengths binary, root binary")
-    ordered = recipes.repartitionByRange(F.col("doc_id"), F.col("root")).sortWithinPartitions("doc_id", "root").withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
-    ordered.write.option("compression", "zstd").parquet(f"{path}/ordered")
-    ordered = spark.read.schema(ordered.schema).parquet(f"{path}/ordered")
-    totals = ordered.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    ordered = recipes.repartitionByRange(F.col("doc_id"), F.col("root")).sortWithinPartitions("doc_id", "root")
+    schema = "doc_id long, n_tokens long, names binary, lengths binary, root binary, part long, place long, within long"
+    by_batch(ordered, numbered, schema).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    totals = _recipes(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a partition
-    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("place")) - F.col("n_tokens")
-    final = ordered.join(F.broadcast(before), "part").withColumn("start", F.col("before") + within).drop("before")
-    final.sortWithinPartitions("part", "place").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    before.write.parquet(f"{path}/starts")
+
+
+def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("doc_id long, n_tokens long, names binary, lengths binary, root binary, part long, place long, within long").parquet(f"{path}/recipes")
+
+
+def started(spark: SparkSession, path: str) -> DataFrame:
+    """Recipes with start, the ids of all documents before."""
+    starts = spark.read.schema("part long, before long").parquet(f"{path}/starts")  # a row a partition
+    return _recipes(spark, path).join(F.broadcast(starts), "part").withColumn("start", F.col("before") + F.col("within"))
 
 
 def _part(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
@@ -192,20 +228,24 @@ def read_documents_back(spark: SparkSession, path: str, vocabulary: int = 49408)
                 good.append(all(p["good"] for p in parts) and sum(p["n"] for p in parts) == m and merkle_root([p["key"] for p in parts]) == r)
             yield {"doc_id": doc, "start": start, "n_tokens": n, "ids_crc32": crc, "verified": good}
 
-    known = by_batch(_part(spark, path, "chunk", "key binary, data binary"), chunks, "key binary, n long, crc long, good boolean")
-    recipes = spark.read.parquet(f"{path}/recipes")
-    refs = by_batch(recipes.select("place", "names"), listed, "place long, at int, key binary")
-    parts = refs.join(known, "key", "left").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("at", "key", "n", "crc", F.coalesce("good", F.lit(False)).alias("good")))).alias("parts"))
+    known = by_batch(_chunks(spark, path), chunks, "key binary, n long, crc long, good boolean")
+    recipes = started(spark, path)
+    refs = by_batch(_recipes(spark, path).select("place", "names"), listed, "place long, at int, key binary")
+    parts = salted_join(refs, known, "key", "left").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("at", "key", "n", "crc", F.coalesce("good", F.lit(False)).alias("good")))).alias("parts"))
     rows = recipes.select("place", "doc_id", "start", "n_tokens", "root").join(parts, "place")
     return by_batch(rows.select("doc_id", "start", "n_tokens", "root", "parts"), joined, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
 
 
+def _chunks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("key binary, data binary").parquet(f"{path}/chunks")
+
+
 def read_ids(spark: SparkSession, path: str, vocabulary: int = 49408) -> DataFrame:
     """doc_id, start and ids (an array) of every document, put together from its chunks."""
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    recipes = spark.read.parquet(f"{path}/recipes")
-    refs = recipes.select("place", F.explode(F.sequence(F.lit(0), (F.length("names") / 16).cast("int") - 1)).alias("at"), "names").select("place", "at", F.expr("substring(names, at * 16 + 1, 16)").alias("key"))
-    whole = refs.join(_part(spark, path, "chunk", "key binary, data binary"), "key").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("at", "data"))).alias("parts"))
+    recipes = started(spark, path)
+    refs = _recipes(spark, path).select("place", F.explode(F.sequence(F.lit(0), (F.length("names") / 16).cast("int") - 1)).alias("at"), "names").select("place", "at", F.expr("substring(names, at * 16 + 1, 16)").alias("key"))
+    whole = salted_join(refs, _chunks(spark, path), "key").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("at", "data"))).alias("parts"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:

@@ -19,7 +19,6 @@ def word_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -28,7 +27,6 @@ def byte_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -58,7 +56,7 @@ def test_store_reads_ids_back_and_shares_chunks(spark, tmp_path, word_ids):
     token_store.write_store(df, public_tokenizers.path("word_bpe_49k.json"), path)
     got = {r["doc_id"]: r["ids"] for r in token_store.read_ids(spark, path).collect()}
     assert got == {d: word_ids(t) + [1] for d, t in docs}
-    chunks = spark.read.parquet(f"{path}/parts").where("kind = 'chunk'").select("data").collect()
+    chunks = spark.read.parquet(f"{path}/chunks").select("data").collect()
     assert sum(len(c["data"]) for c in chunks) // 2 < 0.5 * sum(map(len, got.values()))
 
 
@@ -66,11 +64,11 @@ def test_a_broken_chunk_is_reported(spark, tmp_path):
     df = spark.createDataFrame([(1, "some words here"), (2, "other words there")], "doc_id long, text string")
     path = str(tmp_path / "store")
     token_store.write_store(df, public_tokenizers.path("word_bpe_49k.json"), path)
-    parts = spark.read.parquet(f"{path}/parts").collect()
-    spoilt = [tuple((bytes(v) + b"\0\0" if k == "data" and v is not None else v) for k, v in r.asDict().items()) for r in parts]
-    schema = spark.read.parquet(f"{path}/parts").schema
-    spark.createDataFrame(spoilt, schema).write.partitionBy("kind").parquet(f"{path}-spoilt/parts")
-    spark.read.parquet(f"{path}/recipes").write.parquet(f"{path}-spoilt/recipes")
+    chunks = spark.read.parquet(f"{path}/chunks")
+    spoilt = [(bytes(r["key"]), bytes(r["data"]) + b"\0\0") for r in chunks.collect()]
+    spark.createDataFrame(spoilt, chunks.schema).write.parquet(f"{path}-spoilt/chunks")
+    for name in ("recipes", "starts"):
+        spark.read.parquet(f"{path}/{name}").write.parquet(f"{path}-spoilt/{name}")
     assert not any(r["verified"] for r in token_store.read_documents_back(spark, f"{path}-spoilt").collect())
 
 
