@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -13,6 +14,7 @@ import pytest
 import xxhash
 
 from sorrel.llm import licenses, media, simhash, sketch
+from sorrel.llm.license_texts import TEMPLATES
 
 
 def test_edits_follow_descending_ids(odd_docs, rows):
@@ -134,7 +136,8 @@ def test_near_duplicates_equal_brute_force(odd_docs, rows):
     assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == want
 
 
-def test_anchors_lose_no_link():
+@pytest.mark.parametrize("layout", [simhash.THREE, simhash.TWO])
+def test_anchors_lose_no_link(layout):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 300, np.uint64) * np.uint64(2) + rng.integers(0, 2, 300, np.uint64)
     prints = list(base.tolist())
@@ -145,7 +148,10 @@ def test_anchors_lose_no_link():
                 y ^= 1 << b
             prints.append(y)
     x = np.unique(np.array(prints, np.uint64))
-    at, key, home = simhash.anchors(x)
+    at, key, home = simhash.anchors(x, layout=layout)
+    own = simhash.anchors(x, layout=layout, homes_only=True)
+    assert Counter(zip(own[0].tolist(), own[1].tolist(), strict=True)) == Counter((i, k) for i, k, h in zip(at.tolist(), key.tolist(), home.tolist(), strict=True) if h)
+    assert len(own[0]) == len(x) * len(layout.blocks)
     homes: dict[int, set[int]] = {}
     reach: dict[int, set[int]] = {}
     for i, k, h in zip(at.tolist(), key.tolist(), home.tolist(), strict=True):
@@ -168,12 +174,13 @@ def test_long_chains_are_one_component(spark):
     assert len({r["fp"] for r in got}) == len(chain) - 1
 
 
-def test_a_crowded_anchor(spark):
-    """Many distinct fingerprints at one anchor: the sliced comparison finds the same groups."""
+@pytest.mark.parametrize("options", [{}, {"crowd": 40}, {"layout": simhash.TWO, "crowd": 100}])
+def test_a_crowded_anchor(spark, options):
+    """Many distinct fingerprints at one anchor: slices, cells and another layout find the same groups."""
     rng = np.random.default_rng(4)
     prints = np.unique(np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (1500, 3)).astype(np.uint64), axis=1) | np.uint64(0xF0F0 << 20))
     df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long")
-    roots = {r["fp"]: r["root"] for r in simhash.components(simhash.edges(df)).collect()}
+    roots = {r["fp"]: r["root"] for r in simhash.components(simhash.edges(df, **options)).collect()}
     label = plain_components(prints.tolist())
     want = {}
     for p, c in zip(prints.view(np.int64).tolist(), label, strict=True):
@@ -207,10 +214,62 @@ def test_license_phrases_equal_brute_force(odd_docs, rows):
 
 
 def test_templates_are_found_with_small_changes(spark):
-    texts = ["Released under the MIT License.", "intro\nLicensed under the Apache License, Version 2.0 (the license)", "licensed under the gnu general public license, version 3", "licensed under some gnu general public license, version 3", "Licensed under CC BY-NC 4.0"]
+    texts = [
+        "Released under the MIT License.", "intro\nLicensed under the Apache License, Version 2.0 (the license)", "licensed under the gnu general public license, version 3",
+        "licensed under some gnu general public license, version 3", "Licensed under CC BY-NC 4.0", "licensed under the terms of the GNU General Public License, version 3",
+        "# SPDX-License-Identifier: BSD-3-Clause", "permission is hereby granted, free of charge, to each person who gets a copy of this software and its associated documentation files",
+    ]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df).collect()}
-    assert got == {0: "mit", 1: "apache,apache-2.0", 2: "gpl,gpl-3.0", 3: "gpl,gpl-3.0", 4: "cc-by,cc-by-nc-4.0"}
+    assert got == {0: "mit", 1: "apache,apache-2.0", 2: "gpl,gpl-3.0", 3: "gpl,gpl-3.0", 4: "cc-by,cc-by-nc-4.0", 5: "gpl,gpl-3.0", 6: "bsd-3-clause", 7: "mit"}
+
+
+def plain_share(a: list[bytes], b: list[bytes]) -> float:
+    """Longest common subsequence by the table, as a share of a."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+        row = new
+    return row[-1] / len(a)
+
+
+def plain_labels(words: list[bytes]) -> dict[str, float]:
+    """Every template at every place of the text."""
+    found: dict[str, float] = {}
+    for label, passage, keys in TEMPLATES:
+        own = licenses.license_words(passage.encode())
+        slack, phrases = max(2, len(own) // 8), [licenses.license_words(k.encode()) for k in keys]
+        if not all(any(words[i : i + len(k)] == k for i in range(len(words))) for k in phrases):
+            continue
+        for start in range(-slack, len(words)):
+            part = words[max(0, start - slack) : max(0, start + len(own) + 3 * slack)]
+            if all(any(part[i : i + len(k)] == k for i in range(len(part))) for k in phrases) and len(set(own) & set(part)) >= 0.5 * len(set(own)):
+                share = plain_share(own, part)
+                if share >= 0.8:
+                    found[label] = max(found.get(label, 0.0), share)
+    return found
+
+
+def test_labels_and_scores_equal_brute_force(spark):
+    draw = random.Random(8)
+    filler = [f"w{i}" for i in range(40)] + ["license", "software", "the", "gnu", "version", "copy"]
+    texts = []
+    for _, passage, _ in TEMPLATES:
+        for damage in (0.0, 0.08, 0.3):
+            words = passage.split()
+            for _ in range(int(damage * len(words))):
+                k = draw.randrange(len(words))
+                words[k : k + 1] = draw.choice([[], [words[k], draw.choice(filler)], [draw.choice(filler)]])
+            texts.append(" ".join([*draw.choices(filler, k=draw.randrange(40)), *words, *draw.choices(filler, k=draw.randrange(40))]))
+    texts += [" ".join(draw.choices(filler, k=200)), " ".join(t for _, t, _ in TEMPLATES[:8])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.scan_licenses(df).collect():
+        words = licenses.license_words(texts[r["doc_id"]].encode())
+        want, base = plain_labels(words), plain_scan(texts[r["doc_id"]])[4]
+        assert set(r["labels"].split(",")) - {""} == (set(want) | set(base.split(","))) - {""}, texts[r["doc_id"]]
+        assert abs(r["score"] - max([*want.values(), 0.5 if base else 0.0])) < 0.05
 
 
 def test_no_rows(no_docs):
