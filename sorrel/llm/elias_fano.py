@@ -27,16 +27,18 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
         bits = max(0, (top // n).bit_length() - 1) if n else 0
-        low = values & np.uint64((1 << bits) - 1)
-        planes = ((low[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-        packed = np.packbits(planes.ravel(), bitorder="little")
+        parts = [np.zeros(0, np.uint8)]
+        for k in range(0, n if bits else 0, 1 << 15):  # a multiple of 8 values fills whole bytes
+            planes = ((values[k : k + (1 << 15), None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+            parts.append(np.packbits(planes.ravel(), bitorder="little"))
+        packed = np.concatenate(parts)
         places = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         size = (int(places[-1]) + 2 if n else 1) + 63
         flags = np.zeros(size // 64 * 64, np.uint8)
         flags[places] = 1
         high = np.packbits(flags, bitorder="little")
         ones = np.concatenate([[0], np.cumsum(_POPCOUNT[high].reshape(-1, 8).sum(1))]).astype(np.uint32)
-        return cls(n, bits, np.concatenate([packed, np.zeros(8, np.uint8)]), high, ones)
+        return cls(n, bits, np.concatenate([packed, np.zeros(9, np.uint8)]), high, ones)
 
     def arrays(self) -> list[np.ndarray]:
         return [np.array([self.n, self.low_bits], np.int64), self.low, self.high, self.ones]
@@ -70,9 +72,13 @@ class EliasFano:
         at = i * self.low_bits
         byte = at >> 3
         out = np.zeros(len(i), np.uint64)
-        for k in range(-(-(self.low_bits + 7) // 8)):
+        shift = (at & 7).astype(np.uint64)
+        for k in range(min(8, -(-(self.low_bits + 7) // 8))):
             out |= self.low[byte + k].astype(np.uint64) << np.uint64(8 * k)
-        return ((out >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
+        out >>= shift
+        if self.low_bits > 57:  # the value may reach into a ninth byte
+            out |= np.where(shift > 0, self.low[byte + 8].astype(np.uint64) << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        return (out & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(i, True) - i) << self.low_bits) + self._low(i)
@@ -101,55 +107,60 @@ class EliasFano:
 #: Discounted shares are kept as one byte: 0 for none, else exp(-STEP * (code - 1)), rounded down.
 STEP = 0.07
 SHARES = np.concatenate([[0.0], np.exp(-STEP * np.arange(255))])
-_WORD = 16
+#: Bits of a word's number beside its context's rank.
+WORD = 36
 
 
 class TrieLevel:
-    """n-grams of one length: sorted contexts, monotone pointers to their successors, successors, shares, rest shares.
+    """n-grams of one length: sorted contexts, monotone pointers to their successors, successors, shares, what they use.
 
     A successor is kept relative to its context, as the context's rank in the high bits above the word, so the whole
     level is one rising sequence.
     """
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, shares: np.ndarray, rest: np.ndarray):
-        self.contexts, self.pointers, self.successors, self.shares, self.rest = contexts, pointers, successors, shares, rest
+    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, shares: np.ndarray, used: np.ndarray):
+        self.contexts, self.pointers, self.successors, self.shares, self.used = contexts, pointers, successors, shares, used
 
     @classmethod
-    def build(cls, keys: np.ndarray, counts: np.ndarray, discount: float = 0.75, least: int = 2) -> TrieLevel:
-        """keys: context << 16 | word, ascending; n-grams seen fewer than `least` times leave their share to the rest."""
-        context = keys >> np.uint64(_WORD)
-        starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        totals = np.add.reduceat(counts, starts) if len(starts) else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
+    def build(cls, contexts: np.ndarray, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray | None = None, discount: float = 0.75, least: int = 1) -> TrieLevel:
+        """contexts, ascending; keys: rank of the context << WORD | word, ascending; totals: of contexts whose counts stand here in part, else 0.
+
+        n-grams seen fewer than `least` times leave their share to the rest.
+        """
+        owner = (keys >> np.uint64(WORD)).astype(np.int64)
+        total = np.bincount(owner, counts, len(contexts))
+        if totals is not None:
+            total = np.where(totals > 0, totals, total)
         kept = counts >= least
-        share = (counts[kept] - discount) / totals[owner[kept]]
+        share = (counts[kept] - discount) / total[owner[kept]]
         code = np.minimum(1 + np.ceil(-np.log(share) / STEP - 1e-9), 255).astype(np.uint8)
         code = np.where(SHARES[code] > share + 1e-12, 0, code).astype(np.uint8)
-        used, rank = np.unique(owner[kept], return_inverse=True)
-        rest = (1 - np.bincount(rank, SHARES[code], len(used))).astype(np.float32)
-        pointers = np.concatenate([[0], np.cumsum(np.bincount(rank, minlength=len(used)))])
-        words = keys[kept] & np.uint64((1 << _WORD) - 1)
-        return cls(EliasFano.build(context[starts][used] if len(used) else np.zeros(0, np.uint64)), EliasFano.build(pointers), EliasFano.build((rank.astype(np.uint64) << np.uint64(_WORD)) | words), code, rest)
+        here, rank = np.unique(owner[kept], return_inverse=True)
+        used = np.bincount(rank, SHARES[code], len(here)).astype(np.float32)
+        pointers = np.concatenate([[0], np.cumsum(np.bincount(rank, minlength=len(here)))])
+        words = keys[kept] & np.uint64((1 << WORD) - 1)
+        return cls(EliasFano.build(contexts[here]), EliasFano.build(pointers), EliasFano.build((rank.astype(np.uint64) << np.uint64(WORD)) | words), code, used)
 
     def arrays(self) -> list[np.ndarray]:
-        return [*self.contexts.arrays(), *self.pointers.arrays(), *self.successors.arrays(), self.shares, self.rest]
+        return [*self.contexts.arrays(), *self.pointers.arrays(), *self.successors.arrays(), self.shares, self.used]
 
     @classmethod
     def of(cls, arrays: Iterator[np.ndarray]) -> TrieLevel:
         return cls(EliasFano.of(arrays), EliasFano.of(arrays), EliasFano.of(arrays), next(arrays), next(arrays))
 
-    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For keys context << 16 | word: the code of the n-gram's share, and the context's rest share (1 if unknown)."""
-        rank, known = self.contexts.successor(keys >> np.uint64(_WORD))
-        codes, rest = np.zeros(len(keys), np.uint8), np.ones(len(keys), np.float32)
-        at = np.flatnonzero(known)
+    def lookup(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For contexts with so many words each: the codes of the n-grams' shares, and what each context's shares add up to (0 if unknown)."""
+        rank, known = self.contexts.successor(contexts)
+        used = np.zeros(len(contexts), np.float32)
+        used[known] = self.used[rank[known]]
+        codes = np.zeros(len(words), np.uint8)
+        at = np.flatnonzero(np.repeat(known, sizes))
         if len(at):
-            r = rank[at]
-            rest[at] = self.rest[r]
-            child, there = self.successors.successor((r << _WORD) | (keys[at] & np.uint64((1 << _WORD) - 1)).astype(np.int64))
+            r = np.repeat(rank, sizes)[at]
+            child, there = self.successors.successor((r << WORD) | words[at].astype(np.int64))
             there &= (child >= self.pointers[r]) & (child < self.pointers[r + 1])
             codes[at[there]] = self.shares[child[there]]
-        return codes, rest
+        return codes, used
 
 
 def to_bytes(level: TrieLevel) -> bytes:

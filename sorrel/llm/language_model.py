@@ -1,27 +1,36 @@
 """LM scoring with an n-gram trie in Elias-Fano coding, by interpolated absolute discounting.
 
 Texts are read once and kept as blocks of about a million tokens: local word numbers, the block's distinct words, its
-documents. What depends on the whole corpus is then settled in two exchanges of compact sorted arrays:
-
-1. words: each block sends its distinct words and their training counts to shards by hash; a shard adds them up and
-   answers every block's words with their counts.
-2. n-grams of the most frequent words (the shortlist, at most SHORTLIST words, so its broadcast is bounded): each block
-   sends its distinct n-grams and training counts to shards by the hash of their context; a shard builds its trie
-   levels, writes them to a file that it maps into memory, and answers every block's n-grams by successor search.
-
-At last a block and its answers meet and its documents are scored. A word outside the shortlist is predicted as the
-class of all such words, times its exact share of that class by counts, so no word is dropped and the model stays a
-distribution over words: P(w | u v) = share(u v w) + rest(u v) P(w | v), down to the unigram (c + 0.5) / (N + 0.5 (V + 1)).
-Shares are quantised downwards and the rest takes what they leave, so each distribution sums to one.
-
-A frequent word, n-gram or context costs one entry a block, however often it occurs; a context has at most SHORTLIST
-successors. Shards grow in number with the shuffle partitions. Null and empty texts are the end token alone; rows with a
-null id are learnt from; repeated rows count each. Without training rows every score is 0.
+documents. What depends on the whole corpus is settled by exchanges between blocks and shards, of compact sorted arrays:
+
+1. words: each block sends its distinct words and their training counts to shards by hash; a shard adds them up, numbers
+   its words by falling frequency, and answers every block's words with counts and numbers. Blocks are written again
+   with these numbers in place of the words. Every training word has a number of its own.
+2. n-grams, a level after the other: each block sends its distinct n-grams and training counts to shards by the hash of
+   their context; a shard builds its trie level, writes it to a file that it maps into memory, and answers every
+   block's n-grams by successor search.
+
+At last a block and its answers meet and its documents are scored: P(w | u v) = share(u v w) + rest(u v) P(w | v), down
+to the unigram (c + 0.5) / (N + 0.5 (V + 1)). Shares are quantised downwards and the rest takes what they leave, so each
+distribution sums to one. Words that training doesn't hold have no n-grams and the unigram of a count of 0.
+
+The number of shards follows the number of tokens, so what a shard holds doesn't grow with the corpus; empty parts
+aren't sent, so what is sent is never more than the blocks' distinct n-grams. A frequent word or n-gram costs one entry
+a block, however often it occurs. A context that training holds more than `hot` times is cut by the words after it into
+parts on shards of their own; its count as an n-gram of the level below is its total, which its parts can't add up, and
+the shares that its parts have given away are summed where a block is scored. The driver gets five sums. The trie's file
+is a temporary one inside one task, which makes it anew when it runs again.
+
+Null and empty texts are the end token alone; a very long text is a block of its own length; rows with a null id are
+learnt from unless held out; repeated rows count each; words of equal count are numbered in byte order. Without training
+rows every score is that of one empty count, 0; no documents give no rows. Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,27 +39,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sorrel.llm.common import by_batch, mixed, pieces, raw, stored, words_of
-from sorrel.llm.elias_fano import SHARES, TrieLevel, memory_mapped, to_bytes
+from sorrel.llm.elias_fano import SHARES, WORD, TrieLevel, memory_mapped, to_bytes
 
-BLOCK, SHORTLIST, ORDER = 1 << 20, 60000, 3
-RARE, END, BEGIN, FIRST = 0, 1, 2, 3  # ids below the shortlist's
+#: Tokens of a block and of a shard; occurrences from which on a context is cut; words in an n-gram.
+BLOCK, SHARD, HOT, ORDER = 1 << 20, 1 << 21, 1 << 20, 3
+UNKNOWN, BEGIN, FIRST = 0, 1, 2  # numbers below the words'
 
 
 def packed(a: np.ndarray) -> bytes:
-    """Integers by byte planes, compressed."""
+    """Unsigned integers or 32-bit floats by byte planes of the least width, compressed."""
     import zstandard
 
-    a = np.ascontiguousarray(a)
+    a = a.view(np.uint32) if a.dtype == np.float32 else a
+    a = np.ascontiguousarray(a.astype(np.min_scalar_type(int(a.max(initial=0)))))
     planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T
     return a.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
+    """As 64-bit unsigned integers."""
     import zstandard
 
     dtype = np.dtype(data[:1].decode())
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(dtype.itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+    return np.ascontiguousarray(planes.T).view(dtype).ravel().astype(np.uint64)
+
+
+def unpacked_floats(data: bytes) -> np.ndarray:
+    return unpacked(data).astype(np.uint32).view(np.float32).astype(float)
 
 
 def packed_words(words: list[bytes]) -> bytes:
@@ -66,11 +82,13 @@ def unpacked_words(data: bytes) -> list[bytes]:
     return rest.split(b"\n") if int(n) else []
 
 
-def sharded(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order by shard, and where each shard ends in it."""
-    shard = (hashes % np.uint64(shards)).astype(np.int64)
+def sharded(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """A stable order by shard, and (shard, first, end) in it of the shards that have any."""
+    shard = (hashes % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
     order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards), side="right")
+    ordered = shard[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(order) else np.zeros(0, np.int64)
+    return order, list(zip(ordered[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=False))
 
 
 def text_blocks(docs: DataFrame, held_out: Column, block: int = BLOCK) -> DataFrame:
@@ -90,7 +108,7 @@ def text_blocks(docs: DataFrame, held_out: Column, block: int = BLOCK) -> DataFr
             lengths = np.array([len(t) for t in tokens], np.uint32)
             learnt = np.bincount(flat, np.repeat(~np.array(held), lengths), len(names)).astype(np.uint32)
             words = list(names)
-            return {"doc_ids": [ids], "held": [held], "lengths": [packed(lengths)], "tokens": [packed(place[flat])], "words": [packed_words([words[i] for i in order])], "counts": [packed(learnt[order])]}
+            return {"doc_ids": [ids], "held": [held], "lengths": [packed(lengths)], "tokens": [packed(place[flat])], "words": [packed_words([words[i] for i in order])], "counts": [packed(learnt[order])], "n": [n]}
 
         for batch in (x for b in batches for x in pieces(b)):
             for doc_id, text, out in zip(batch.column(0).to_pylist(), raw(batch, "text"), batch.column(2).to_pylist(), strict=True):
@@ -107,7 +125,7 @@ def text_blocks(docs: DataFrame, held_out: Column, block: int = BLOCK) -> DataFr
         if n:
             yield row()
 
-    out = by_batch(rows, work, "doc_ids array<bigint>, held array<boolean>, lengths binary, tokens binary, words binary, counts binary")
+    out = by_batch(rows, work, "doc_ids array<bigint>, held array<boolean>, lengths binary, tokens binary, words binary, counts binary, n long")
     return stored(out.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
@@ -115,201 +133,280 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w, 11) for w in words], np.uint64)
 
 
-def count_words(blocks: DataFrame, shards: int, most: int = SHORTLIST) -> DataFrame:
-    """Answers (block, shard, level 1, a) with the counts of a block's words; and a row a shard (no block) with its most frequent words (a, b), n tokens and v words."""
+def count_words(blocks: DataFrame, shards: int) -> DataFrame:
+    """Answers (block, shard, counts, numbers) for a block's words, and a row a shard (no block) with n tokens and v words."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for block, data, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words, counts = unpacked_words(data), unpacked(counts)
-                order, ends = sharded(_word_hashes(words), shards)
-                parts = list(zip([0, *ends[:-1]], ends, strict=True))
-                yield {"shard": list(range(shards)), "block": [block] * shards, "words": [packed_words([words[i] for i in order[a:b]]) for a, b in parts], "counts": [packed(counts[order[a:b]]) for a, b in parts]}
+                order, parts = sharded(_word_hashes(words), shards)
+                yield {"shard": [s for s, _, _ in parts], "block": [block] * len(parts), "words": [packed_words([words[i] for i in order[a:b]]) for _, a, b in parts], "counts": [packed(counts[order[a:b]]) for _, a, b in parts]}
 
     def settle(table: pa.Table) -> pa.Table:
         total: dict[bytes, int] = {}
-        sent = sorted(zip(table.column("block").to_pylist(), table.column("words").to_pylist(), table.column("counts").to_pylist(), strict=True))
+        sent = list(zip(table.column("block").to_pylist(), table.column("words").to_pylist(), table.column("counts").to_pylist(), strict=True))
         for _, data, counts in sent:
             for w, c in zip(unpacked_words(data), unpacked(counts).tolist(), strict=True):
                 if c:
                     total[w] = total.get(w, 0) + c
-        answers = [packed(np.array([total.get(w, 0) for w in unpacked_words(data)], np.uint64)) for _, data, _ in sent]
-        top = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most]
-        n = len(sent)
         shard = table.column("shard")[0].as_py()
+        number = {w: FIRST + i * shards + shard for i, (w, _) in enumerate(sorted(total.items(), key=lambda x: (-x[1], x[0])))}
+        counts, numbers = [], []
+        for _, data, _ in sent:
+            words = unpacked_words(data)
+            counts.append(packed(np.array([total.get(w, 0) for w in words], np.uint64)))
+            numbers.append(packed(np.array([number.get(w, UNKNOWN) for w in words], np.uint64)))
+        n = len(sent)
         return pa.table({
-            "block": pa.array([*(s[0] for s in sent), None], pa.int64()), "shard": pa.array([shard] * (n + 1), pa.int32()), "level": pa.array([1] * (n + 1), pa.int32()),
-            "a": pa.array([*answers, packed_words([w for w, _ in top])], pa.binary()), "b": pa.array([*[None] * n, packed(np.array([c for _, c in top], np.uint64))], pa.binary()),
+            "block": pa.array([*(s[0] for s in sent), None], pa.int64()), "shard": pa.array([shard] * (n + 1), pa.int32()),
+            "counts": pa.array([*counts, None], pa.binary()), "numbers": pa.array([*numbers, None], pa.binary()),
             "n": pa.array([*[None] * n, sum(total.values())], pa.int64()), "v": pa.array([*[None] * n, len(total)], pa.int64()),
         })
 
     sent = by_batch(blocks.select("block", "words", "counts"), send, "shard int, block long, words binary, counts binary")
-    return stored(sent.groupBy("shard").applyInArrow(settle, "block long, shard int, level int, a binary, b binary, n long, v long"), "words")
-
+    return stored(sent.groupBy("shard").applyInArrow(settle, "block long, shard int, counts binary, numbers binary, n long, v long"), "words")
 
-class Unigrams:
-    """N, V and the shortlist with its counts: what every task needs of the words."""
 
-    def __init__(self, n: int, v: int, words: list[bytes], counts: list[int]):
-        self.n, self.v = n, v
-        self.below = n + 0.5 * (v + 1)
-        known = dict(zip(words, counts, strict=True))
-        self.end = known.pop(b"", 0)
-        self.ids = {w: FIRST + i for i, w in enumerate(known)}
-        p = np.zeros(FIRST + len(known))
-        p[FIRST:] = (np.array(list(known.values()), float) + 0.5) / self.below
-        p[END] = (self.end + 0.5) / self.below
-        p[RARE] = max(1 - p.sum(), 0.5 / self.below)
-        self.p = p
+def numbered(blocks: DataFrame, words: DataFrame, shards: int) -> DataFrame:
+    """Blocks with the numbers and training counts of their words in place of the words."""
 
-    def class_ids(self, words: list[bytes]) -> np.ndarray:
-        return np.array([self.ids.get(w, RARE) if w else END for w in words], np.uint64)
-
-
-def unigrams(counted: DataFrame, most: int = SHORTLIST) -> Unigrams:
-    """The shortlist: the end and the most frequent words, at most `most`, ties by the word."""
-    shards = counted.where("block is null")
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield {"word": unpacked_words(a), "c": unpacked(b)}
-
-    n, v = shards.agg(F.sum("n"), F.sum("v")).first()
-    top = by_batch(shards.select("a", "b"), rows, "word binary, c long").orderBy(F.length("word") > 0, F.col("c").desc(), "word").limit(most).collect()
-    return Unigrams(n or 0, v or 0, [bytes(r["word"]) for r in top], [r["c"] for r in top])
-
-
-def ngram_keys(ids: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each token of documents one after the other, its n-gram of the order as context << 16 | word.
-
-    Also which of them count: contexts with a begin mark alone stand for shorter ones, as do those with a rare word in
-    orders above two.
-    """
+            out: dict[str, list] = {"ids": [], "counts": []}
+            for data, answers in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
+                own = unpacked_words(data)
+                order, _ = sharded(_word_hashes(own), shards)
+                for name, column in (("counts", out["counts"]), ("numbers", out["ids"])):
+                    values = np.zeros(len(own), np.uint64)
+                    values[order] = np.concatenate([unpacked(a[name]) for a in sorted(answers, key=lambda a: a["shard"])])
+                    column.append(packed(values))
+            yield {n: batch.column(i) for i, n in enumerate(("block", "doc_ids", "held", "lengths", "tokens"))} | out
+
+    met = words.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("shard", "counts", "numbers")).alias("answers"))  # a block's own words
+    rows = blocks.join(met, "block").select("block", "doc_ids", "held", "lengths", "tokens", "words", "answers")
+    return stored(by_batch(rows, work, "block long, doc_ids array<bigint>, held array<boolean>, lengths binary, tokens binary, ids binary, counts binary"), "numbered")
+
+
+def joined(before: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """A key for a longer context: the pair itself where both fit into 31 bits, else a 62-bit mix of it."""
+    pair = before << np.uint64(31) | context
+    wide = (before | context) >> np.uint64(31) > 0
+    with np.errstate(over="ignore"):
+        return np.where(wide, mixed(before * np.uint64(0x9E3779B97F4A7C15) + context) >> np.uint64(2) | np.uint64(1 << 62), pair)
+
+
+@dataclass
+class NGrams:
+    """The distinct n-grams of one length in a block: contexts in order, and for each n-gram its context and its word."""
+
+    use: np.ndarray  # which tokens have a known context of that length
+    contexts: np.ndarray
+    rank: np.ndarray  # of an n-gram's context
+    words: np.ndarray
+    inverse: np.ndarray  # a used token's n-gram
+
+    def counts(self, learnt: np.ndarray) -> np.ndarray:
+        return np.bincount(self.inverse, learnt[self.use], len(self.words)).astype(np.uint32)
+
+    def dealt(self, totals: np.ndarray, shards: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """rank, word and own (number of the n-gram, -1 for none) in the order in which they are sent, and the shards' parts of it.
+
+        totals: the contexts' counts in training where they are known to reach `hot`. Such a context stands in each of
+        its parts once more, with the unknown word, to be told what that part gives away.
+        """
+        cuts = 1 + (totals // np.uint64(hot)).astype(np.int64)
+        rank, words, own = self.rank, self.words, np.arange(len(self.words))
+        part = (mixed(words) % cuts[rank].astype(np.uint64)).astype(np.int64)
+        cut = np.flatnonzero(cuts > 1)
+        if len(cut):
+            n = cuts[cut]
+            rank, words = np.concatenate([rank, np.repeat(cut, n)]), np.concatenate([words, np.full(n.sum(), UNKNOWN, np.uint64)])
+            part, own = np.concatenate([part, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]), np.concatenate([own, np.full(n.sum(), -1)])
+            order = np.lexsort((words, rank))
+            rank, words, part, own = rank[order], words[order], part[order], own[order]
+        with np.errstate(over="ignore"):
+            hashes = mixed(self.contexts[rank] * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) + np.uint64(1))
+        order, parts = sharded(hashes, shards)
+        return rank[order], words[order], own[order], parts
+
+
+def ngrams(ids: np.ndarray, lengths: np.ndarray, length: int) -> NGrams:
+    """n-grams of texts one after the other; contexts start at a text's begin mark, and hold known words alone."""
     at = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    key, use = ids.astype(np.uint64), np.ones(len(ids), bool)
-    for k in range(1, order):
-        before = np.concatenate([np.full(k, BEGIN, np.uint64), ids[:-k]]) if k < len(ids) else np.full(len(ids), BEGIN, np.uint64)
+    use, context = at >= length - 2, None
+    for k in range(1, length):
+        before = np.concatenate([np.full(min(k, len(ids)), BEGIN, np.uint64), ids[:-k]])
         before = np.where(at >= k, before, np.uint64(BEGIN))
-        key |= before << np.uint64(16 * k)
-        use &= at >= k - 1
-        if order > 2:
-            use &= before != RARE
-    return key, use
+        use = use & (before != UNKNOWN)
+        context = before if context is None else joined(before, context)
+    contexts, rank = np.unique(context[use], return_inverse=True)
+    keys, inverse = np.unique(rank.astype(np.uint64) << np.uint64(WORD) | ids[use], return_inverse=True)
+    return NGrams(use, contexts, (keys >> np.uint64(WORD)).astype(np.int64), keys & np.uint64((1 << WORD) - 1), inverse)
 
 
-def _context_hash(keys: np.ndarray) -> np.ndarray:
-    return mixed((keys >> np.uint64(16)) + np.uint64(0x9E3779B97F4A7C15))
+def _starts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
-def count_ngrams(blocks: DataFrame, one: Unigrams, shards: int, order: int = ORDER, least: int = 2) -> DataFrame:
-    """Answers (block, shard, level, a: codes of shares, b: rest shares of the distinct contexts) and a row with each shard's trie level (no block)."""
-    sc = blocks.sparkSession.sparkContext
-    shared = sc.broadcast(one)
+def context_totals(grams: NGrams, length: int, ids: np.ndarray, counts: np.ndarray, begins: int, lower: tuple[NGrams, dict[int, int]] | None, hot: int) -> np.ndarray:
+    """For each context its count in training where that reaches `hot`, else 0.
+
+    A context of one word has the word's count, the begin mark that of the training texts; a longer one's count as an
+    n-gram of the level below was told by that level's shards: lower has that level's n-grams and counts by number.
+    """
+    totals = np.zeros(len(grams.contexts), np.uint64)
+    if length == 2:
+        known = np.flatnonzero(counts >= hot)
+        keys, values = np.append(ids[known], np.uint64(BEGIN)), np.append(counts[known], np.uint64(begins if begins >= hot else 0))
+    else:
+        below, told = lower
+        if not told:
+            return totals
+        at = np.array(sorted(told), np.int64)
+        keys, values = joined(below.contexts[below.rank[at]], below.words[at]), np.array([told[i] for i in at.tolist()], np.uint64)
+    order = np.argsort(keys)
+    place = np.minimum(np.searchsorted(keys[order], grams.contexts), len(keys) - 1)
+    met = keys[order][place] == grams.contexts
+    totals[met] = values[order][place[met]]
+    return totals
+
+
+def told_counts(own: np.ndarray, parts: list[tuple[int, int, int]], answers: dict[int, dict]) -> dict[int, int]:
+    """Counts by n-gram that shards told for reaching `hot`."""
+    out: dict[int, int] = {}
+    for shard, first, _ in parts:
+        if answers[shard]["big"]:
+            at, n = (unpacked(x) for x in (answers[shard]["big"][: answers[shard]["cut"]], answers[shard]["big"][answers[shard]["cut"] :]))
+            out.update((int(own[first + int(i)]), int(c)) for i, c in zip(at, n, strict=True) if own[first + int(i)] >= 0)
+    return out
+
+
+class Block:
+    """A numbered block's n-grams with what is known about their contexts."""
+
+    def __init__(self, lengths: bytes, tokens: bytes, ids: bytes, counts: bytes):
+        self.lengths = unpacked(lengths).astype(np.int64)
+        self.tokens = unpacked(tokens).astype(np.int64)
+        self.numbers, self.word_counts = unpacked(ids), unpacked(counts)
+        self.ids = self.numbers[self.tokens]
+
+    def levels(self, answers: list[dict], up_to: int, shards: int, hot: int, begins: int) -> Iterator[tuple[NGrams, np.ndarray, tuple, dict[int, dict]]]:
+        """From bigrams on: n-grams, totals of contexts, how they are dealt, and the answers by shard."""
+        lower = None
+        for length in range(2, up_to + 1):
+            own = {a["shard"]: a for a in answers if a["level"] == length}
+            grams = ngrams(self.ids, self.lengths, length)
+            totals = context_totals(grams, length, self.numbers, self.word_counts, begins, lower, hot)
+            dealt = grams.dealt(totals, shards, hot)
+            yield grams, totals, dealt, own
+            if length < up_to:
+                lower = grams, told_counts(dealt[2], dealt[3], own)
+
+
+def count_ngrams(blocks: DataFrame, answers: DataFrame | None, length: int, shards: int, hot: int, begins: int, least: int) -> DataFrame:
+    """Answers (block, level, shard, codes of shares, used: what each context's shares add up to, big counts).
+
+    blocks: numbered ones; answers: those of the levels below.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for block, held, lengths, tokens, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lengths = unpacked(lengths)
-                ids = shared.value.class_ids(unpacked_words(words))[unpacked(tokens)]
-                learnt = np.repeat(~np.array(held), lengths)
-                for level in range(2, order + 1):
-                    key, use = ngram_keys(ids, lengths, level)
-                    key, learnt_ = key[use], learnt[use]
-                    distinct, inverse = np.unique(key, return_inverse=True)
-                    counts = np.bincount(inverse, learnt_, len(distinct)).astype(np.uint32)
-                    order_, ends = sharded(_context_hash(distinct), shards)
-                    parts = list(zip([0, *ends[:-1]], ends, strict=True))
-                    yield {
-                        "shard": list(range(shards)), "block": [block] * shards, "level": [level] * shards,
-                        "keys": [packed(np.diff(distinct[order_[a:b]], prepend=np.uint64(0))) for a, b in parts], "counts": [packed(counts[order_[a:b]]) for a, b in parts],
-                    }
+            for block, held, lengths, tokens, ids, counts, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = Block(lengths, tokens, ids, counts)
+                *_, (grams, totals, (rank, words, number, parts), _) = own.levels(told or [], length, shards, hot, begins)
+                n = np.append(grams.counts(np.repeat(~np.array(held), own.lengths)), np.uint32(0))[number]  # none for -1
+                out: dict[str, list] = {k: [] for k in ("shard", "block", "contexts", "sizes", "words", "counts", "totals")}
+                for shard, a, b in parts:
+                    starts = _starts(rank[a:b])
+                    context = rank[a:b][starts]
+                    values = (np.diff(grams.contexts[context], prepend=np.uint64(0)), np.diff(np.append(starts, b - a)), words[a:b], n[a:b], totals[context])
+                    for column, value in zip(out.values(), (shard, block, *map(packed, values)), strict=True):
+                        column.append(value)
+                yield out
 
     def settle(table: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"block": [], "shard": [], "level": [], "a": [], "b": []}
-
-        def add(*row) -> None:
-            for column, value in zip(out.values(), row, strict=True):
-                column.append(value)
-
         shard = table.column("shard")[0].as_py()
-        for level in range(2, order + 1):
-            own = table.filter(pa.compute.equal(table.column("level"), level))
-            sent = sorted(zip(own.column("block").to_pylist(), own.column("keys").to_pylist(), own.column("counts").to_pylist(), strict=True))
-            keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            waiting: list[tuple[np.ndarray, np.ndarray]] = []
-            held = 0
-            for i, (_, data, n) in enumerate(sent):
-                k, c = np.cumsum(unpacked(data), dtype=np.uint64), unpacked(n).astype(np.int64)
-                waiting.append((k[c > 0], c[c > 0]))
-                held += len(k)
-                if held >= max(1 << 20, len(keys)) or i == len(sent) - 1:
-                    both, every = np.concatenate([keys, *(w[0] for w in waiting)]), np.concatenate([counts, *(w[1] for w in waiting)])
-                    keys, inverse = np.unique(both, return_inverse=True)
-                    counts = np.bincount(inverse, every, len(keys)).astype(np.int64)
-                    waiting, held = [], 0
-            data = to_bytes(TrieLevel.build(keys, counts, least=least))
-            add(None, shard, level, data, None)
-            with memory_mapped(data) as trie:
-                for block, asked, _ in sent:
-                    k = np.cumsum(unpacked(asked), dtype=np.uint64)
-                    codes, rest = trie.lookup(k)
-                    first = np.concatenate([[True], (k[1:] >> np.uint64(16)) != (k[:-1] >> np.uint64(16))]) if len(k) else np.zeros(0, bool)
-                    add(block, shard, level, packed(codes), packed(rest[first].view(np.uint32)))
-        return pa.table([pa.array(out["block"], pa.int64()), pa.array(out["shard"], pa.int32()), pa.array(out["level"], pa.int32()), pa.array(out["a"], pa.binary()), pa.array(out["b"], pa.binary())], names=list(out))
-
-    sent = by_batch(blocks.select("block", "held", "lengths", "tokens", "words"), send, "shard int, block long, level int, keys binary, counts binary")
-    return stored(sent.groupBy("shard").applyInArrow(settle, "block long, shard int, level int, a binary, b binary"), "ngrams")
-
-
-def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, shortlist: int = SHORTLIST, block: int = BLOCK, least: int = 2) -> DataFrame:
+        sent = []
+        for row in zip(*(table.column(c).to_pylist() for c in ("block", "contexts", "sizes", "words", "counts", "totals")), strict=True):
+            context, sizes, words, counts, totals = map(unpacked, row[1:])
+            sent.append((row[0], np.cumsum(context, dtype=np.uint64), sizes.astype(np.int64), words, counts.astype(np.int64), totals))
+        every = np.unique(np.concatenate([s[1] for s in sent]))
+        total = np.zeros(len(every), np.int64)  # of contexts that are cut
+        keys, counts = [], []
+        for _, context, sizes, words, n, totals in sent:
+            place = np.searchsorted(every, context)
+            total[place] = np.maximum(total[place], totals.astype(np.int64))
+            seen = n > 0
+            keys.append((np.repeat(place, sizes).astype(np.uint64) << np.uint64(WORD) | words)[seen])
+            counts.append(n[seen])
+        keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate(counts), len(keys)).astype(np.int64)
+        out: dict[str, list] = {k: [] for k in ("block", "level", "shard", "codes", "used", "big", "cut")}
+        with memory_mapped(to_bytes(TrieLevel.build(every, keys, counts, total, least=least))) as trie:
+            for block, context, sizes, words, _, _ in sent:
+                codes, used = trie.lookup(context, sizes, words)
+                place = np.searchsorted(keys, asked := np.repeat(np.searchsorted(every, context), sizes).astype(np.uint64) << np.uint64(WORD) | words)
+                place = np.minimum(place, max(len(keys) - 1, 0))
+                big = np.flatnonzero((keys[place] == asked) & (counts[place] >= hot)) if len(keys) else np.zeros(0, np.int64)
+                at = packed(big.astype(np.uint64)) if len(big) else b""
+                row = (block, length, shard, packed(codes), packed(used), at + packed(counts[place[big]].astype(np.uint64)) if len(big) else None, len(at))
+                for column, value in zip(out.values(), row, strict=True):
+                    column.append(value)
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
+        return pa.table([pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    rows = blocks.select("block", "held", "lengths", "tokens", "ids", "counts")
+    if answers is None:
+        rows = rows.withColumn("told", F.lit(None).cast(TOLD))
+    else:  # the levels below are asked for contexts that they told to be frequent, a few or none
+        asked = answers.groupBy("block").agg(F.collect_list(F.struct("level", "shard", "big", "cut")).alias("told"))
+        rows = rows.join(asked, "block", "left")
+    sent = by_batch(rows, send, "shard int, block long, contexts binary, sizes binary, words binary, counts binary, totals binary")
+    return stored(sent.groupBy("shard").applyInArrow(settle, "block long, level int, shard int, codes binary, used binary, big binary, cut int"), "ngrams")
+
+
+TOLD = "array<struct<level: int, shard: int, big: binary, cut: int>>"
+
+
+def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, block: int = BLOCK, least: int = 1, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows held out aren't learnt from.
 
     n-grams that training holds fewer than `least` times are left to the lower order.
     """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = text_blocks(docs, held_out, block)
-    counted = count_words(blocks, shards, shortlist)
-    one = unigrams(counted, shortlist)
-    ngrams = count_ngrams(blocks, one, shards, order, least)
-    shared = spark.sparkContext.broadcast(one)
+    first = text_blocks(docs, held_out, block)
+    size = first.agg(F.sum("n").alias("n"), F.sum(F.size(F.filter("held", lambda h: ~h))).alias("begins")).first()
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["n"] or 0) // shard))
+    begins = size["begins"] or 0
+    words = count_words(first, shards)
+    counted = words.where("block is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    n_train, below = counted["n"] or 0, (counted["n"] or 0) + 0.5 * ((counted["v"] or 0) + 1)
+    blocks = numbered(first, words, shards)
+    answers: DataFrame | None = None
+    for length in range(2, order + 1):
+        level = count_ngrams(blocks, answers, length, shards, hot, begins, least)
+        answers = level if answers is None else answers.unionByName(level)
     names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        one = shared.value
         for batch in batches:
-            for doc_ids, held, lengths, tokens, words, answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lengths, words, tokens = unpacked(lengths).astype(np.int64), unpacked_words(words), unpacked(tokens)
-                by_level: dict[int, dict[int, dict]] = {}
-                for x in answers:
-                    by_level.setdefault(x["level"], {})[x["shard"]] = x
-                count = np.zeros(len(words))
-                at, ends = sharded(_word_hashes(words), shards)
-                count[at] = np.concatenate([unpacked(by_level[1][s]["a"]) for s in range(shards)])
-                plain = np.log10((count + 0.5) / one.below)
-                ids = one.class_ids(words)
-                extra = np.where(ids == RARE, plain - np.log10(one.p[RARE]), 0.0)
-                ids, base, extra, known = ids[tokens], plain[tokens], extra[tokens], (count > 0)[tokens]
-                p = one.p[ids.astype(np.int64)]
-                for level in range(2, order + 1):
-                    key, use = ngram_keys(ids, lengths, level)
-                    distinct, inverse = np.unique(key[use], return_inverse=True)
-                    at, ends = sharded(_context_hash(distinct), shards)
-                    codes, rest = np.zeros(len(distinct), np.uint8), np.ones(len(distinct))
-                    for s, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
-                        if b > a:
-                            own = at[a:b]
-                            codes[own] = unpacked(by_level[level][s]["a"])
-                            context = distinct[own] >> np.uint64(16)
-                            group = np.cumsum(np.concatenate([[0], context[1:] != context[:-1]])).astype(np.int64)
-                            rest[own] = unpacked(by_level[level][s]["b"]).view(np.float32)[group]
-                    p[use] = SHARES[codes][inverse] + rest[inverse] * p[use]
-                ends = np.cumsum(lengths)
-                sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])]) for x in (known, base, np.log10(np.maximum(p, 1e-300)) + extra)]
-                yield dict(zip(names, (doc_ids, held, lengths, sums[0].astype(np.int64), [one.n] * len(doc_ids), sums[1], sums[2]), strict=True))
-
-    answers = counted.where("block is not null").select("block", "level", "shard", "a", "b").union(ngrams.where("block is not null").select("block", "level", "shard", "a", "b"))
-    met = answers.groupBy("block").agg(F.collect_list(F.struct("level", "shard", "a", "b")).alias("answers"))  # levels x shards a block
-    rows = blocks.join(met, "block").select("doc_ids", "held", "lengths", "tokens", "words", "answers")
+            for doc_ids, held, lengths, tokens, ids, counts, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = Block(lengths, tokens, ids, counts)
+                count = own.word_counts.astype(float)
+                plain = (count + 0.5) / below
+                p, base, known = plain[own.tokens], np.log10(plain)[own.tokens], (count > 0)[own.tokens]
+                for grams, _, (rank, _, number, parts), by_shard in own.levels(told or [], order, shards, hot, begins):
+                    codes, used = np.zeros(len(grams.words) + 1, np.uint8), np.zeros(len(grams.contexts))
+                    for s, a, b in parts:
+                        codes[number[a:b]] = unpacked(by_shard[s]["codes"])
+                        used[rank[a:b][_starts(rank[a:b])]] += unpacked_floats(by_shard[s]["used"])
+                    p[grams.use] = SHARES[codes[:-1]][grams.inverse] + np.maximum(1 - used, 0)[grams.rank][grams.inverse] * p[grams.use]
+                cuts = np.concatenate([[0], np.cumsum(own.lengths)])
+                sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[cuts]) for x in (known, base, np.log10(np.maximum(p, 1e-300)))]
+                yield dict(zip(names, (doc_ids, held, own.lengths, sums[0].astype(np.int64), [n_train] * len(doc_ids), sums[1], sums[2]), strict=True))
+
+    rows = blocks.select("block", "doc_ids", "held", "lengths", "tokens", "ids", "counts")
+    met = answers.groupBy("block").agg(F.collect_list(F.struct("level", "shard", "codes", "used", "big", "cut")).alias("told"))  # a block's own n-grams
+    rows = rows.join(met, "block", "left").drop("block")
     return by_batch(rows, work, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
