@@ -144,6 +144,21 @@ def by_batch(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[
     return df.mapInArrow(run, schema)
 
 
+def rows_kept(docs: DataFrame, keep: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """The rows of docs whose text (a null one as an empty one) keep says yes to, with all their columns; no shuffle.
+
+    Each row is judged by its own text, so rows without an id or with the id of another are like any other.
+    """
+    place = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in pieces(b)):
+            texts = batch.column(place).cast(pa.binary()).fill_null(b"").to_pylist()
+            yield batch.filter(pa.array(np.asarray(keep(texts), bool)))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def raw(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A column of strings as UTF-8 bytes."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
@@ -152,7 +167,7 @@ def raw(batch: pa.RecordBatch, name: str) -> list[bytes]:
 def pieces(batch: pa.RecordBatch, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about size bytes of text, one row at least: bounds what Python holds at once."""
     start = 0
-    ends = np.cumsum(pc.binary_length(batch.column(batch.schema.get_field_index("text"))).to_numpy(zero_copy_only=False), dtype=np.int64)
+    ends = np.cumsum(pc.binary_length(batch.column(batch.schema.get_field_index("text"))).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
         end = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
