@@ -3,7 +3,9 @@
 Each token's bytes are mapped to printable characters, one for each byte, and become a piece whose score is its negative
 rank; normalisation is the identity. Sentencepiece then merges in the order of the ranks. Pre-tokens (matches of the
 pattern) are encoded each by itself; decoding maps ids back to bytes. Parts of a text that the pattern always splits
-are encoded once and kept in a dictionary of bounded size. One pass, no shuffle. Null and empty texts have no ids.
+are encoded once and kept in a dictionary of bounded size. One pass, no shuffle. Null and empty texts have no ids; a
+very long text is encoded whole; equal texts have equal ids, repeated rows stay; no documents give no rows. Strings of
+special tokens are ordinary text. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

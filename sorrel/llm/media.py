@@ -1,8 +1,10 @@
 """Media columns: Netpbm and BMP images decoded to arrays, area-resized by integral images, kept as NPY tiles.
 
 Netpbm P1 to P6 of up to 8 bits and uncompressed BMP of 8, 24 and 32 bits are read; anything else, null or cut-off
-data gives null columns and a reason in `error`, never a failed job. Every row stands alone: no shuffle, and a task
-holds one Arrow batch of at most 64 MB.
+data, and images of over MOST_PIXELS gives null columns and a reason in `error`, never a failed job. Every row stands
+alone: no shuffle, and a task holds one Arrow batch of at most 64 MB. Equal images give equal tiles and hashes, equal
+neighbours in a hash are no brighter than each other; very long texts are one image each; no rows give no rows. Input
+columns that have the name of a result are kept with `_input` after their name; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
 from sorrel.llm.common import by_batch, documents, pieces, raw, stored
 
 SIDE = 24  # 24 x 24 samples = 576 bytes a tile
+MOST_PIXELS = 1 << 26  # an integral image of these takes 512 MB
 
 
 def encode_pgm(samples: bytes, width: int = SIDE) -> bytes:
@@ -50,6 +54,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     top = 1 if bitmap else fields[2]
     if not width or not height or not 0 < top < 256:
         raise ValueError("unsupported size or depth")
+    if width * height > MOST_PIXELS:
+        raise ValueError("more pixels than are read")
     depth = 3 if kind in (b"P3", b"P6") else 1
     if kind == b"P4":
         rows = np.frombuffer(data, np.uint8, height * -(-width // 8), at + 1).reshape(height, -1)
@@ -60,7 +66,7 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     elif kind == b"P1":
         samples = np.frombuffer(re.sub(rb"[^01]", b"", re.sub(rb"#[^\n]*", b"", data[at:])), np.uint8) - 48
     else:
-        samples = np.array([int(x) for x in re.sub(rb"#[^\n]*", b"", data[at:]).split()], np.int64)
+        samples = np.array([min(int(x), 1 << 16) for x in re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n]], np.int64)
     if len(samples) < n:
         raise ValueError("samples are cut off")
     samples = samples[:n]
@@ -78,6 +84,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     offset, head, width, height, _, bits, packing = struct.unpack_from("<I I i i H H I", data, 10)
     if packing or bits not in (8, 24, 32) or width <= 0 or not height:
         raise ValueError("unsupported BMP")
+    if width * abs(height) > MOST_PIXELS:
+        raise ValueError("more pixels than are read")
     step = (width * bits // 8 + 3) // 4 * 4
     rows = np.frombuffer(data, np.uint8, step * abs(height), offset).reshape(abs(height), step)[:, : width * bits // 8]
     if height > 0:
@@ -132,31 +140,31 @@ def from_npy(data: bytes) -> np.ndarray:
 
 def media_tiles(df: DataFrame, media: str = "media", height: int = SIDE, width: int = SIDE) -> DataFrame:
     """Adds to each row of df: rows, cols, tile (NPY bytes of the grey image resized to height x width), dhash, error."""
-    key = df.select("*", F.col(media).cast("binary").alias("_media"))
-    from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
-
     added = [StructField("rows", IntegerType()), StructField("cols", IntegerType()), StructField("tile", BinaryType()), StructField("dhash", StringType()), StructField("error", StringType())]
-    kept = [f for f in df.schema.fields if f.name not in {x.name for x in added}]
+    taken = {f.name for f in added}
+    own = [F.col(f"`{c}`").alias(f"{c}_input" if c in taken else c) for c in df.columns]
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new: list[list] = [[], [], [], [], []]
-            for data in batch.column(batch.num_columns - 1).to_pylist():
+            new: list[list] = [[] for _ in added]
+            for data in batch.column(1).to_pylist():
                 row = (None, None, None, None, "null")
                 if data is not None:
                     try:
                         image = decode(data)
                         small = np.clip(np.rint(area_resize(grey(image), height, width)), 0, 255).astype(np.uint8)
                         row = (*image.shape[:2], to_npy(small), difference_hash(image), None)
-                    except (ValueError, IndexError, struct.error) as e:
-                        row = (None, None, None, None, str(e))
+                    except (ValueError, IndexError, OverflowError, MemoryError, struct.error) as e:
+                        row = (None, None, None, None, str(e)[:200])
                 for column, value in zip(new, row, strict=True):
                     column.append(value)
-            old = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([*old, *(pa.array(x, k) for x, k in zip(new, kinds, strict=True))], names=[*(f.name for f in kept), *(f.name for f in added)])
+            results = pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(new, kinds, strict=True)], names=[f.name for f in added])
+            yield pa.RecordBatch.from_arrays([batch.column(0), results], names=["row", "result"])
 
-    return key.mapInArrow(work, StructType([*kept, *added]))
+    rows = df.select(F.struct(*own).alias("row"), F.col(f"`{media}`").cast("binary").alias("media"))
+    done = rows.mapInArrow(work, StructType([StructField("row", rows.schema["row"].dataType), StructField("result", StructType(added))]))
+    return done.select("row.*", "result.*")
 
 
 def text_media(docs: DataFrame) -> DataFrame:

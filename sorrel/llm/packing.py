@@ -7,7 +7,9 @@ that fill the widened gap more tightly, if two such remain.
 Pieces of equal length are interchangeable, so the plan is made on counts by length: at most `size` numbers whatever the
 corpus, and each step is repeated as often as the counts allow. The plan's size depends on `size` alone. Pieces are then
 numbered within their length (a running number inside hash buckets of ids plus the buckets' totals before it) and take
-their places from the plan. Null and empty texts are one piece, the end id; repeated rows are packed each.
+their places from the plan. Null and empty texts are one piece, the end id; a very long text is cut into pieces;
+repeated rows are packed each, and dealt over the buckets by their place in the table of pieces, so that rows that equal
+each other wholly don't meet in one; no documents give no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -142,12 +144,12 @@ def placed(rows: DataFrame, plan: Plan) -> DataFrame:
 def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFrame:
     """Every piece with its sequence_id and its offset there, gapless from 0."""
     spark = docs.sparkSession
-    rows = stored(token_pieces(docs, path, size, end), "pieces")
+    rows = stored(token_pieces(docs, path, size, end).withColumn("row", F.monotonically_increasing_id()), "pieces")
     plan = best_two_fit({r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}, size)  # at most `size` rows
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row"), F.lit(buckets)))
     totals = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = totals.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "row")
     ranked = rows.withColumn("own", F.row_number().over(own) - 1).join(before, ["length", "bucket"])
     return placed(ranked.withColumn("rank", (F.col("before") + F.col("own")).cast("long")), plan)

@@ -7,9 +7,11 @@ Cholesky factors.
 
 The fit uses every labelled training row: partitions sum the vectors and their products for each class, so a few
 hundred numbers reach the driver whatever the corpus. Statistics are computed once and kept in the shared folder; the
-join with the labels moves those short rows alone. Null and empty texts have defined statistics; rows without a label
-aren't learnt from; repeated rows give repeated results; with fewer than two labelled classes the score is the share of
-class 1 (0.5 without labels).
+join with the labels moves those short rows alone. Null and empty texts have defined statistics; a very long text has
+the same few numbers as any; rows without a label aren't learnt from, of several labels of an id the largest counts;
+repeated rows give repeated results; with fewer than two labelled classes the score is the share of class 1 (0.5 without
+labels); a score that equals the cut is accepted; no documents give no rows. Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sorrel.llm.common import by_batch, documents, pieces, raw, stored
+from sorrel.llm.common import by_batch, documents, pieces, raw, rows_kept, stored
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -161,6 +163,14 @@ def score_statistics(stats: DataFrame, model: Discriminant, cut: float = 0.7) ->
     return by_batch(stats.select("doc_id", "stats"), work, "doc_id long, score double, predicted int")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
+    """The rows of docs that score cut or more by a model of the labelled ones among them; labelled rows alone are read for the fit."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality in (0, 1)")
+    learnt = docs.join(known.select("doc_id").distinct(), "doc_id", "left_semi")
+    model = train(text_statistics(learnt), known)
+    return rows_kept(docs, lambda texts: model.score(np.array([statistics(t) for t in texts]).reshape(-1, FEATURES)) >= cut)
+
+
 def classify(docs: DataFrame, labels: DataFrame, held_out: str = "false", cut: float = 0.7) -> DataFrame:
     """Scores every row; labels of ids for which the SQL condition held_out is true aren't learnt from."""
     stats = stored(text_statistics(docs), "statistics")

@@ -1,12 +1,21 @@
-"""Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and their components.
+"""Operator 8 over similarity: documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more, and groups.
 
-Equal sets are collapsed first. Each distinct set has BANDS keys, each over ROWS least hashes; sets that share a key are
-a bucket. A pair with a similarity of s shares one of the keys with a probability of 1 - (1 - s ** ROWS) ** BANDS, so of
-pairs at 0.8 about three in a million are missed and fewer above. All pairs of a bucket are compared on the exact
-sets, so nothing is linked by an estimate: a large bucket is cut into chunks, each two of which meet in a group of their
-own, so what a task holds is the sets of two chunks at most. A group returns a forest of its links, never all its pairs.
+Candidates come from operator 8's fingerprints and from keys of least hashes; all are compared on the exact sets, so
+nothing is linked by an estimate. Equal sets are collapsed first.
 
-Null and empty texts have the empty set and are one component; a text of fewer words than a shingle is one shingle.
+- SimHash: the documents that links of at most 4 differing bits of their 64 connect (by covering anchors, as in
+  simhash.py) are candidates of each other. It finds the closest copies alone: fingerprints of sets with a similarity of
+  0.8 differ in about 10 bits, for which covering anchors would need thousands of replicas a fingerprint.
+- So each distinct set has BANDS keys as well, each over ROWS least hashes; sets that share a key are a bucket. A pair
+  with a similarity of s shares one of the keys with a probability of 1 - (1 - s ** ROWS) ** BANDS: of pairs at 0.8 about
+  three in a million are missed, and fewer above.
+
+All pairs of a bucket are compared: a large bucket is cut into chunks, each two of which meet in a group of their own, so
+what a task holds is the sets of two chunks at most. A group returns a forest of its links, never all its pairs.
+
+Null and empty texts have the empty set and are one group; a text of fewer words than a shingle is one shingle; a very
+long text's hashes are held at once, 8 bytes a word; repeated rows share a group; no documents give no rows. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sorrel.llm.common import by_batch, documents, mixed, pieces, raw, shingle_hashes, stored
+from sorrel.llm import simhash
+from sorrel.llm.common import by_batch, documents, mixed, pieces, raw, salted_join, shingle_hashes, spread, stored
 from sorrel.llm.simhash import components, connected
 
 WIDTH, BANDS, ROWS, CHUNK = 5, 32, 5, 256
@@ -48,16 +58,16 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, the id of the set of shingles and its band keys, of every row; no shuffle."""
+    """doc_id, the id of the set of shingles, its SimHash and its band keys, of every row; no shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in (x for b in batches for x in pieces(b)):
             sets = [np.unique(shingle_hashes(t, WIDTH)) for t in raw(batch, "text")]
             with np.errstate(over="ignore"):
                 keys = [band_keys(s).view(np.int64) for s in sets]
-            yield {"doc_id": batch.column(0), "fp": np.array([set_id(s) for s in sets], np.uint64).view(np.int64), "keys": keys}
+            yield {"doc_id": batch.column(0), "fp": np.array([set_id(s) for s in sets], np.uint64).view(np.int64), "sim": np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64), "keys": keys}
 
-    return by_batch(documents(docs), work, "doc_id long, fp long, keys array<bigint>")
+    return by_batch(documents(docs), work, "doc_id long, fp long, sim long, keys array<bigint>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -93,7 +103,11 @@ def linked(sets: list[np.ndarray], tenths: int = 8) -> np.ndarray:
 
 def edges(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs (u, v) of linked sets, u > v as unsigned, that connect what links connect."""
-    distinct = rows.where("size(keys) > 0").groupBy("fp").agg(F.first("keys").alias("keys"))
+    distinct = stored(spread(rows.where("size(keys) > 0"), rows.count(), "fp").groupBy("fp").agg(F.first("sim").alias("sim"), F.first("keys").alias("keys")), "sets-by-id")
+    sims = stored(distinct.select(F.col("sim").alias("fp")).distinct(), "simhashes")
+    close = components(simhash.edges(sims)).select(F.col("fp").alias("sim"), "root")
+    root = F.xxhash64(F.coalesce("root", "sim"), F.lit("simhash"))
+    distinct = distinct.join(close, "sim", "left").select("fp", F.concat("keys", F.array(root)).alias("keys"))
     buckets = distinct.select("fp", F.explode("keys").alias("key")).groupBy("key").agg(F.sort_array(F.collect_set("fp")).alias("fps")).where("size(fps) > 1")
     buckets = stored(buckets.select("fps", F.xxhash64("fps").alias("bucket")).dropDuplicates(["bucket"]), "buckets")  # the same sets meet in many bands
     chunks = F.ceil(F.size("fps") / CHUNK).cast("int")
@@ -134,6 +148,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (smallest doc_id of the component, null where all are null) of every row."""
     rows = stored(fingerprints(docs), "shingled")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    named = distinct.join(components(edges(docs, rows)), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = stored(distinct.join(components(edges(docs, rows)), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "named")
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.select("doc_id", "fp").join(named.join(lows, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    by_fp = salted_join(named, lows, "root").select("fp", "component_id")
+    return salted_join(rows.select("doc_id", "fp"), by_fp, "fp").select("doc_id", "component_id")

@@ -3,7 +3,8 @@
 A sketch is the k smallest distinct hashes of a text's shingles of five words, as big-endian 64-bit integers in order;
 fewer than k mean that it holds them all. The sketch of a union is the k smallest of both, so parts of a corpus merge
 in any order; resemblance, containment and the number of distinct shingles come from sketches alone. Texts without
-words have an empty sketch; two empty sketches resemble each other fully.
+words have an empty sketch; two empty sketches resemble each other fully. A very long text's hashes are held at once, 8
+bytes a word; equal hashes count once; no documents give no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

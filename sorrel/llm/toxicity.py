@@ -6,9 +6,11 @@ graded by how dense the words are that separate the two labels.
 
 Training reads at most `sample` labelled rows, those with the smallest hash of their id; both the words kept as
 features (at most `words`) and the fit come from them, so the model's size and the driver's work don't depend on the
-corpus. Tasks make the rows' bags of words and count features; the driver gets the kept features alone. Scoring is one pass without a shuffle. Null and empty texts have no features and score like the intercept;
-rows without a label or an id aren't learnt from; repeated rows give repeated results; without both labels every
-severity is 0.
+corpus. Tasks make the rows' bags of words and count features; the driver gets the kept features alone. Scoring is one
+pass without a shuffle. Null and empty texts have no features and score like the intercept; a very long text is one bag
+of words; rows without a label or an id aren't learnt from; of equal texts the one with the smallest id is learnt from;
+features of equal z-score are taken in byte order; repeated rows give repeated results; without both labels every
+severity is 0; no documents give no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sorrel.llm.common import by_batch, documents, pieces, raw, stored
+from sorrel.llm.common import by_batch, documents, pieces, raw, rows_kept, stored
 
 #: Bounds of what a fit may read and keep.
 SAMPLE, WORDS = 12000, 4096
@@ -195,6 +197,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", grades: int
     return OrdinalModel(numbers, weights, thresholds)
 
 
+def clean_rows(docs: DataFrame, model: OrdinalModel, cut: float = 0.3) -> DataFrame:
+    """The rows of docs that the model doesn't take for toxic: a chance below cut of a grade over 0."""
+    return rows_kept(docs, lambda texts: model.above(texts)[:, 0] < cut)
+
+
 def score_toxicity(docs: DataFrame, model: OrdinalModel, cut: float = 0.3) -> DataFrame:
     """doc_id, severity (expected grade), p_toxic (chance of a grade over 0), grade (likeliest rank), toxic (0 or 1)."""
 
