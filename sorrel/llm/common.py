@@ -97,6 +97,15 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df written as a table in buckets of a key and read again: what is joined with it on that key moves alone."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    table = f"sorrel_{_run}_{path.rpartition('/')[2]}".replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def spread(df: DataFrame, rows: int, *keys: str, each: int = 20000) -> DataFrame:
     """df in as many partitions as its number of rows asks for, so that work that widens short rows has enough tasks."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

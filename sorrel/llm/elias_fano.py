@@ -122,23 +122,22 @@ class TrieLevel:
         self.contexts, self.pointers, self.successors, self.shares, self.used = contexts, pointers, successors, shares, used
 
     @classmethod
-    def build(cls, contexts: np.ndarray, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray | None = None, discount: float = 0.75, least: int = 1) -> TrieLevel:
+    def build(cls, contexts: np.ndarray, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray | None = None, discount: float = 0.75) -> TrieLevel:
         """contexts, ascending; keys: rank of the context << WORD | word, ascending; totals: of contexts whose counts stand here in part, else 0.
 
-        n-grams seen fewer than `least` times leave their share to the rest.
+        An n-gram's place in keys is its number as a context of the level above.
         """
         owner = (keys >> np.uint64(WORD)).astype(np.int64)
         total = np.bincount(owner, counts, len(contexts))
         if totals is not None:
             total = np.where(totals > 0, totals, total)
-        kept = counts >= least
-        share = (counts[kept] - discount) / total[owner[kept]]
+        share = (counts - discount) / total[owner]
         code = np.minimum(1 + np.ceil(-np.log(share) / STEP - 1e-9), 255).astype(np.uint8)
         code = np.where(SHARES[code] > share + 1e-12, 0, code).astype(np.uint8)
-        here, rank = np.unique(owner[kept], return_inverse=True)
+        here, rank = np.unique(owner, return_inverse=True)
         used = np.bincount(rank, SHARES[code], len(here)).astype(np.float32)
         pointers = np.concatenate([[0], np.cumsum(np.bincount(rank, minlength=len(here)))])
-        words = keys[kept] & np.uint64((1 << WORD) - 1)
+        words = keys & np.uint64((1 << WORD) - 1)
         return cls(EliasFano.build(contexts[here]), EliasFano.build(pointers), EliasFano.build((rank.astype(np.uint64) << np.uint64(WORD)) | words), code, used)
 
     def arrays(self) -> list[np.ndarray]:
@@ -148,19 +147,20 @@ class TrieLevel:
     def of(cls, arrays: Iterator[np.ndarray]) -> TrieLevel:
         return cls(EliasFano.of(arrays), EliasFano.of(arrays), EliasFano.of(arrays), next(arrays), next(arrays))
 
-    def lookup(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For contexts with so many words each: the codes of the n-grams' shares, and what each context's shares add up to (0 if unknown)."""
+    def lookup(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For contexts with so many words each: the codes of the n-grams' shares, their numbers (-1 if unknown), and what each context's shares add up to (0 if unknown)."""
         rank, known = self.contexts.successor(contexts)
         used = np.zeros(len(contexts), np.float32)
         used[known] = self.used[rank[known]]
-        codes = np.zeros(len(words), np.uint8)
+        codes, number = np.zeros(len(words), np.uint8), np.full(len(words), -1, np.int64)
         at = np.flatnonzero(np.repeat(known, sizes))
         if len(at):
             r = np.repeat(rank, sizes)[at]
             child, there = self.successors.successor((r << WORD) | words[at].astype(np.int64))
             there &= (child >= self.pointers[r]) & (child < self.pointers[r + 1])
             codes[at[there]] = self.shares[child[there]]
-        return codes, used
+            number[at[there]] = child[there]
+        return codes, number, used
 
 
 def to_bytes(level: TrieLevel) -> bytes:

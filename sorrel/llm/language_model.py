@@ -4,11 +4,12 @@ Texts are read once and kept as blocks of about a million tokens: local word num
 documents. What depends on the whole corpus is settled by exchanges between blocks and shards, of compact sorted arrays:
 
 1. words: each block sends its distinct words and their training counts to shards by hash; a shard adds them up, numbers
-   its words by falling frequency, and answers every block's words with counts and numbers. Blocks are written again
-   with these numbers in place of the words. Every training word has a number of its own.
-2. n-grams, a level after the other: each block sends its distinct n-grams and training counts to shards by the hash of
-   their context; a shard builds its trie level, writes it to a file that it maps into memory, and answers every
-   block's n-grams by successor search.
+   its words by falling frequency, and answers every block's words with counts and numbers. Every training word has a
+   number of its own.
+2. n-grams, a level after the other: each block sends its distinct n-grams and training counts to shards, bigrams by the
+   hash of their context, longer ones to the shard that numbered the n-gram before their last word; a shard builds its
+   trie level, writes it to a file that it maps into memory, and answers every block's n-grams by successor search. An
+   n-gram's number is its place in its level, and stands for it as a context of the level above.
 
 At last a block and its answers meet and its documents are scored: P(w | u v) = share(u v w) + rest(u v) P(w | v), down
 to the unigram (c + 0.5) / (N + 0.5 (V + 1)). Shares are quantised downwards and the rest takes what they leave, so each
@@ -18,7 +19,8 @@ The number of shards follows the number of tokens, so what a shard holds doesn't
 aren't sent, so what is sent is never more than the blocks' distinct n-grams. A frequent word or n-gram costs one entry
 a block, however often it occurs. A context that training holds more than `hot` times is cut by the words after it into
 parts on shards of their own; its count as an n-gram of the level below is its total, which its parts can't add up, and
-the shares that its parts have given away are summed where a block is scored. The driver gets five sums. The trie's file
+the shares that its parts have given away are summed where a block is scored. Blocks lie in buckets, so answers alone
+move when they meet. The driver gets five sums. The trie's file
 is a temporary one inside one task, which makes it anew when it runs again.
 
 Null and empty texts are the end token alone; a very long text is a block of its own length; rows with a null id are
@@ -38,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sorrel.llm.common import by_batch, mixed, pieces, raw, stored, words_of
+from sorrel.llm.common import bucketed, by_batch, mixed, pieces, raw, stored, words_of
 from sorrel.llm.elias_fano import SHARES, WORD, TrieLevel, memory_mapped, to_bytes
 
 #: Tokens of a block and of a shard; occurrences from which on a context is cut; words in an n-gram.
@@ -126,7 +128,7 @@ def text_blocks(docs: DataFrame, held_out: Column, block: int = BLOCK) -> DataFr
             yield row()
 
     out = by_batch(rows, work, "doc_ids array<bigint>, held array<boolean>, lengths binary, tokens binary, words binary, counts binary, n long")
-    return stored(out.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    return bucketed(out.withColumn("block", F.monotonically_increasing_id()), "blocks", "block")
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
@@ -169,158 +171,154 @@ def count_words(blocks: DataFrame, shards: int) -> DataFrame:
 
 
 def numbered(blocks: DataFrame, words: DataFrame, shards: int) -> DataFrame:
-    """Blocks with the numbers and training counts of their words in place of the words."""
+    """block, ids and counts: the numbers and training counts of each block's words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             out: dict[str, list] = {"ids": [], "counts": []}
-            for data, answers in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
+            for data, answers in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = unpacked_words(data)
                 order, _ = sharded(_word_hashes(own), shards)
                 for name, column in (("counts", out["counts"]), ("numbers", out["ids"])):
                     values = np.zeros(len(own), np.uint64)
                     values[order] = np.concatenate([unpacked(a[name]) for a in sorted(answers, key=lambda a: a["shard"])])
                     column.append(packed(values))
-            yield {n: batch.column(i) for i, n in enumerate(("block", "doc_ids", "held", "lengths", "tokens"))} | out
+            yield {"block": batch.column(0)} | out
 
     met = words.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("shard", "counts", "numbers")).alias("answers"))  # a block's own words
-    rows = blocks.join(met, "block").select("block", "doc_ids", "held", "lengths", "tokens", "words", "answers")
-    return stored(by_batch(rows, work, "block long, doc_ids array<bigint>, held array<boolean>, lengths binary, tokens binary, ids binary, counts binary"), "numbered")
+    return bucketed(by_batch(blocks.select("block", "words").join(met, "block"), work, "block long, ids binary, counts binary"), "numbered", "block")
 
 
-def joined(before: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """A key for a longer context: the pair itself where both fit into 31 bits, else a 62-bit mix of it."""
-    pair = before << np.uint64(31) | context
-    wide = (before | context) >> np.uint64(31) > 0
-    with np.errstate(over="ignore"):
-        return np.where(wide, mixed(before * np.uint64(0x9E3779B97F4A7C15) + context) >> np.uint64(2) | np.uint64(1 << 62), pair)
+def _starts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+#: Bits of an n-gram's number; its shard stands above them.
+PLACE = 40
 
 
 @dataclass
-class NGrams:
-    """The distinct n-grams of one length in a block: contexts in order, and for each n-gram its context and its word."""
+class Level:
+    """The distinct n-grams of one length in a block: contexts in order, and for each n-gram its context and its word.
+
+    A context is a word's number for bigrams, above that shard << PLACE | number of the n-gram before the last word.
+    """
 
+    length: int
     use: np.ndarray  # which tokens have a known context of that length
     contexts: np.ndarray
+    totals: np.ndarray  # their counts in training where those reach `hot`, else 0
     rank: np.ndarray  # of an n-gram's context
     words: np.ndarray
     inverse: np.ndarray  # a used token's n-gram
 
-    def counts(self, learnt: np.ndarray) -> np.ndarray:
-        return np.bincount(self.inverse, learnt[self.use], len(self.words)).astype(np.uint32)
-
-    def dealt(self, totals: np.ndarray, shards: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    def dealt(self, shards: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
         """rank, word and own (number of the n-gram, -1 for none) in the order in which they are sent, and the shards' parts of it.
 
-        totals: the contexts' counts in training where they are known to reach `hot`. Such a context stands in each of
-        its parts once more, with the unknown word, to be told what that part gives away.
+        A context that reaches `hot` is cut into parts by the words; it stands in each part once more, with the unknown
+        word, to be told what that part gives away.
         """
-        cuts = 1 + (totals // np.uint64(hot)).astype(np.int64)
+        cuts = 1 + (self.totals // np.uint64(hot)).astype(np.int64)
         rank, words, own = self.rank, self.words, np.arange(len(self.words))
-        part = (mixed(words) % cuts[rank].astype(np.uint64)).astype(np.int64)
+        part = np.zeros(len(words), np.int64)
         cut = np.flatnonzero(cuts > 1)
         if len(cut):
+            part = (mixed(words) % cuts[rank].astype(np.uint64)).astype(np.int64)
             n = cuts[cut]
             rank, words = np.concatenate([rank, np.repeat(cut, n)]), np.concatenate([words, np.full(n.sum(), UNKNOWN, np.uint64)])
             part, own = np.concatenate([part, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]), np.concatenate([own, np.full(n.sum(), -1)])
             order = np.lexsort((words, rank))
             rank, words, part, own = rank[order], words[order], part[order], own[order]
-        with np.errstate(over="ignore"):
-            hashes = mixed(self.contexts[rank] * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) + np.uint64(1))
-        order, parts = sharded(hashes, shards)
+        context = self.contexts[rank]
+        if self.length == 2:
+            with np.errstate(over="ignore"):
+                place = mixed(context * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) + np.uint64(1))
+        else:
+            place = (context >> np.uint64(PLACE)) + part.astype(np.uint64)
+        order, parts = sharded(place, shards)
         return rank[order], words[order], own[order], parts
 
 
-def ngrams(ids: np.ndarray, lengths: np.ndarray, length: int) -> NGrams:
-    """n-grams of texts one after the other; contexts start at a text's begin mark, and hold known words alone."""
-    at = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    use, context = at >= length - 2, None
-    for k in range(1, length):
-        before = np.concatenate([np.full(min(k, len(ids)), BEGIN, np.uint64), ids[:-k]])
-        before = np.where(at >= k, before, np.uint64(BEGIN))
-        use = use & (before != UNKNOWN)
-        context = before if context is None else joined(before, context)
-    contexts, rank = np.unique(context[use], return_inverse=True)
-    keys, inverse = np.unique(rank.astype(np.uint64) << np.uint64(WORD) | ids[use], return_inverse=True)
-    return NGrams(use, contexts, (keys >> np.uint64(WORD)).astype(np.int64), keys & np.uint64((1 << WORD) - 1), inverse)
-
-
-def _starts(x: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-
-
-def context_totals(grams: NGrams, length: int, ids: np.ndarray, counts: np.ndarray, begins: int, lower: tuple[NGrams, dict[int, int]] | None, hot: int) -> np.ndarray:
-    """For each context its count in training where that reaches `hot`, else 0.
-
-    A context of one word has the word's count, the begin mark that of the training texts; a longer one's count as an
-    n-gram of the level below was told by that level's shards: lower has that level's n-grams and counts by number.
-    """
-    totals = np.zeros(len(grams.contexts), np.uint64)
-    if length == 2:
-        known = np.flatnonzero(counts >= hot)
-        keys, values = np.append(ids[known], np.uint64(BEGIN)), np.append(counts[known], np.uint64(begins if begins >= hot else 0))
-    else:
-        below, told = lower
-        if not told:
-            return totals
-        at = np.array(sorted(told), np.int64)
-        keys, values = joined(below.contexts[below.rank[at]], below.words[at]), np.array([told[i] for i in at.tolist()], np.uint64)
-    order = np.argsort(keys)
-    place = np.minimum(np.searchsorted(keys[order], grams.contexts), len(keys) - 1)
-    met = keys[order][place] == grams.contexts
-    totals[met] = values[order][place[met]]
-    return totals
-
-
-def told_counts(own: np.ndarray, parts: list[tuple[int, int, int]], answers: dict[int, dict]) -> dict[int, int]:
-    """Counts by n-gram that shards told for reaching `hot`."""
-    out: dict[int, int] = {}
-    for shard, first, _ in parts:
-        if answers[shard]["big"]:
-            at, n = (unpacked(x) for x in (answers[shard]["big"][: answers[shard]["cut"]], answers[shard]["big"][answers[shard]["cut"] :]))
-            out.update((int(own[first + int(i)]), int(c)) for i, c in zip(at, n, strict=True) if own[first + int(i)] >= 0)
-    return out
-
-
 class Block:
-    """A numbered block's n-grams with what is known about their contexts."""
+    """A block's tokens by the numbers of their words, and its n-grams level by level."""
 
-    def __init__(self, lengths: bytes, tokens: bytes, ids: bytes, counts: bytes):
+    def __init__(self, lengths: bytes, tokens: bytes, ids: bytes, counts: bytes, begins: int, shards: int, hot: int):
         self.lengths = unpacked(lengths).astype(np.int64)
         self.tokens = unpacked(tokens).astype(np.int64)
         self.numbers, self.word_counts = unpacked(ids), unpacked(counts)
         self.ids = self.numbers[self.tokens]
-
-    def levels(self, answers: list[dict], up_to: int, shards: int, hot: int, begins: int) -> Iterator[tuple[NGrams, np.ndarray, tuple, dict[int, dict]]]:
-        """From bigrams on: n-grams, totals of contexts, how they are dealt, and the answers by shard."""
-        lower = None
+        self.begins, self.shards, self.hot = begins, shards, hot
+        self.at = np.arange(len(self.ids)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+
+    def level(self, length: int, context: np.ndarray, known: np.ndarray, told: dict[int, int]) -> Level:
+        """context and known of each token; told: counts of contexts that reach `hot`."""
+        contexts, rank = np.unique(context[known], return_inverse=True)
+        keys, inverse = np.unique(rank.astype(np.uint64) << np.uint64(WORD) | self.ids[known], return_inverse=True)
+        totals = np.zeros(len(contexts), np.uint64)
+        if told:
+            names = np.array(sorted(told), np.uint64)
+            place = np.minimum(np.searchsorted(names, contexts), len(names) - 1)
+            met = names[place] == contexts
+            totals[met] = np.array([told[x] for x in names.tolist()], np.uint64)[place[met]]
+        return Level(length, known, contexts, totals, (keys >> np.uint64(WORD)).astype(np.int64), keys & np.uint64((1 << WORD) - 1), inverse)
+
+    def levels(self, answers: list[dict], up_to: int) -> Iterator[tuple[Level, tuple, dict[int, dict]]]:
+        """From bigrams on: the level, how it is dealt, and the answers by shard."""
+        context = np.concatenate([np.full(1, BEGIN, np.uint64), self.ids[:-1]])
+        context[self.at == 0] = BEGIN
+        frequent = np.flatnonzero(self.word_counts >= self.hot)
+        told = dict(zip(self.numbers[frequent].tolist(), self.word_counts[frequent].tolist(), strict=True))
+        if self.begins >= self.hot:
+            told[BEGIN] = self.begins
+        known = context != UNKNOWN
         for length in range(2, up_to + 1):
             own = {a["shard"]: a for a in answers if a["level"] == length}
-            grams = ngrams(self.ids, self.lengths, length)
-            totals = context_totals(grams, length, self.numbers, self.word_counts, begins, lower, hot)
-            dealt = grams.dealt(totals, shards, hot)
-            yield grams, totals, dealt, own
-            if length < up_to:
-                lower = grams, told_counts(dealt[2], dealt[3], own)
-
-
-def count_ngrams(blocks: DataFrame, answers: DataFrame | None, length: int, shards: int, hot: int, begins: int, least: int) -> DataFrame:
-    """Answers (block, level, shard, codes of shares, used: what each context's shares add up to, big counts).
-
-    blocks: numbered ones; answers: those of the levels below.
+            level = self.level(length, context, known, told)
+            rank, words, number, parts = dealt = level.dealt(self.shards, self.hot)
+            yield level, dealt, own
+            if length == up_to:
+                return
+            name, found, told = np.zeros(len(level.words) + 1, np.uint64), np.zeros(len(level.words) + 1, bool), {}
+            for shard, a, b in parts:
+                answer = own[shard]
+                seen = np.unpackbits(np.frombuffer(answer["found"], np.uint8), count=b - a).astype(bool)
+                names = np.cumsum(unpacked(answer["numbers"]), dtype=np.uint64) | np.uint64(shard << PLACE)
+                at = number[a:b][seen]
+                name[at], found[at] = names, True
+                if answer["big"]:
+                    big = unpacked(answer["big"])
+                    told.update(zip(names[big[: len(big) // 2].astype(np.int64)].tolist(), big[len(big) // 2 :].tolist(), strict=True))
+            names, ended = np.zeros(len(self.ids) + 1, np.uint64), np.zeros(len(self.ids) + 1, bool)
+            after = np.flatnonzero(known) + 1
+            names[after], ended[after] = name[:-1][level.inverse], found[:-1][level.inverse]
+            context, known = names[:-1], ended[:-1] & (self.at > 0)
+
+
+LEVEL_COLUMNS = ("level", "shard", "codes", "used", "found", "numbers", "big")
+TOLD = "level: int, shard: int, codes: binary, used: binary, found: binary, numbers: binary, big: binary"
+LEVEL = "block long, level int, shard int, codes binary, used binary, found binary, numbers binary, big binary"
+
+
+def count_ngrams(blocks: DataFrame, length: int, shards: int, hot: int, begins: int) -> DataFrame:
+    """Answers (block, level, shard, codes of shares, used: what each context's shares add up to, found and numbers, big counts).
+
+    blocks: with the answers of the levels below as `told`.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for block, held, lengths, tokens, ids, counts, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = Block(lengths, tokens, ids, counts)
-                *_, (grams, totals, (rank, words, number, parts), _) = own.levels(told or [], length, shards, hot, begins)
-                n = np.append(grams.counts(np.repeat(~np.array(held), own.lengths)), np.uint32(0))[number]  # none for -1
-                out: dict[str, list] = {k: [] for k in ("shard", "block", "contexts", "sizes", "words", "counts", "totals")}
+                own = Block(lengths, tokens, ids, counts, begins, shards, hot)
+                *_, (level, (rank, words, number, parts), _) = own.levels(told or [], length)
+                learnt = np.repeat(~np.array(held), own.lengths)
+                n = np.append(np.bincount(level.inverse, learnt[level.use], len(level.words)), 0).astype(np.uint32)[number]  # none for -1
+                out: dict[str, list] = {k: [] for k in ("shard", "block", "home", "contexts", "sizes", "words", "counts", "totals")}
                 for shard, a, b in parts:
                     starts = _starts(rank[a:b])
-                    context = rank[a:b][starts]
-                    values = (np.diff(grams.contexts[context], prepend=np.uint64(0)), np.diff(np.append(starts, b - a)), words[a:b], n[a:b], totals[context])
+                    own_rank = rank[a:b][starts]
+                    context = level.contexts[own_rank]
+                    low = context & np.uint64((1 << PLACE) - 1)
+                    values = (context >> np.uint64(PLACE), _steps(low, context), np.diff(np.append(starts, b - a)), words[a:b], n[a:b], level.totals[own_rank])
                     for column, value in zip(out.values(), (shard, block, *map(packed, values)), strict=True):
                         column.append(value)
                 yield out
@@ -328,52 +326,56 @@ def count_ngrams(blocks: DataFrame, answers: DataFrame | None, length: int, shar
     def settle(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         sent = []
-        for row in zip(*(table.column(c).to_pylist() for c in ("block", "contexts", "sizes", "words", "counts", "totals")), strict=True):
-            context, sizes, words, counts, totals = map(unpacked, row[1:])
-            sent.append((row[0], np.cumsum(context, dtype=np.uint64), sizes.astype(np.int64), words, counts.astype(np.int64), totals))
+        for row in zip(*(table.column(c).to_pylist() for c in ("block", "home", "contexts", "sizes", "words", "counts", "totals")), strict=True):
+            home, steps, sizes, words, counts, totals = map(unpacked, row[1:])
+            sent.append((row[0], _from_steps(home, steps), sizes.astype(np.int64), words, counts.astype(np.int64), totals.astype(np.int64)))
         every = np.unique(np.concatenate([s[1] for s in sent]))
         total = np.zeros(len(every), np.int64)  # of contexts that are cut
         keys, counts = [], []
         for _, context, sizes, words, n, totals in sent:
             place = np.searchsorted(every, context)
-            total[place] = np.maximum(total[place], totals.astype(np.int64))
+            if totals.any():
+                total[place] = np.maximum(total[place], totals)
             seen = n > 0
             keys.append((np.repeat(place, sizes).astype(np.uint64) << np.uint64(WORD) | words)[seen])
             counts.append(n[seen])
         keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate(counts), len(keys)).astype(np.int64)
-        out: dict[str, list] = {k: [] for k in ("block", "level", "shard", "codes", "used", "big", "cut")}
-        with memory_mapped(to_bytes(TrieLevel.build(every, keys, counts, total, least=least))) as trie:
+        large = counts >= hot
+        out: dict[str, list] = {k: [] for k in ("block", "level", "shard", "codes", "used", "found", "numbers", "big")}
+        with memory_mapped(to_bytes(TrieLevel.build(every, keys, counts, total))) as trie:
             for block, context, sizes, words, _, _ in sent:
-                codes, used = trie.lookup(context, sizes, words)
-                place = np.searchsorted(keys, asked := np.repeat(np.searchsorted(every, context), sizes).astype(np.uint64) << np.uint64(WORD) | words)
-                place = np.minimum(place, max(len(keys) - 1, 0))
-                big = np.flatnonzero((keys[place] == asked) & (counts[place] >= hot)) if len(keys) else np.zeros(0, np.int64)
-                at = packed(big.astype(np.uint64)) if len(big) else b""
-                row = (block, length, shard, packed(codes), packed(used), at + packed(counts[place[big]].astype(np.uint64)) if len(big) else None, len(at))
+                codes, number, used = trie.lookup(context, sizes, words)
+                known = number >= 0
+                numbers, big = number[known], None
+                if large.any() and len(at := np.flatnonzero(large[numbers])):
+                    big = packed(np.concatenate([at, counts[numbers[at]]]).astype(np.uint64))
+                row = (block, length, shard, packed(codes), packed(used), np.packbits(known).tobytes(), packed(np.diff(numbers, prepend=0).astype(np.uint64)), big)
                 for column, value in zip(out.values(), row, strict=True):
                     column.append(value)
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         return pa.table([pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    rows = blocks.select("block", "held", "lengths", "tokens", "ids", "counts")
-    if answers is None:
-        rows = rows.withColumn("told", F.lit(None).cast(TOLD))
-    else:  # the levels below are asked for contexts that they told to be frequent, a few or none
-        asked = answers.groupBy("block").agg(F.collect_list(F.struct("level", "shard", "big", "cut")).alias("told"))
-        rows = rows.join(asked, "block", "left")
-    sent = by_batch(rows, send, "shard int, block long, contexts binary, sizes binary, words binary, counts binary, totals binary")
-    return stored(sent.groupBy("shard").applyInArrow(settle, "block long, level int, shard int, codes binary, used binary, big binary, cut int"), "ngrams")
+    sent = by_batch(blocks.select("block", "held", "lengths", "tokens", "ids", "counts", "told"), send, "shard int, block long, home binary, contexts binary, sizes binary, words binary, counts binary, totals binary")
+    return stored(sent.groupBy("shard").applyInArrow(settle, LEVEL), "ngrams")
 
 
-TOLD = "array<struct<level: int, shard: int, big: binary, cut: int>>"
+def _steps(low: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """What is added to the one before, within the contexts of one home."""
+    home = context >> np.uint64(PLACE)
+    first = np.concatenate([[True], home[1:] != home[:-1]]) if len(home) else np.zeros(0, bool)
+    return np.where(first, low, low - np.append(np.uint64(0), low[:-1])) if len(low) else low
 
 
-def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, block: int = BLOCK, least: int = 1, shard: int = SHARD, hot: int = HOT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows held out aren't learnt from.
+def _from_steps(home: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    first = _starts(home)
+    total = np.cumsum(steps, dtype=np.uint64)
+    before = np.repeat(total[first] - steps[first], np.diff(np.append(first, len(home))))
+    return home << np.uint64(PLACE) | (total - before)
 
-    n-grams that training holds fewer than `least` times are left to the lower order.
-    """
+
+def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, block: int = BLOCK, shard: int = SHARD, hot: int = HOT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows held out aren't learnt from."""
     spark = docs.sparkSession
     first = text_blocks(docs, held_out, block)
     size = first.agg(F.sum("n").alias("n"), F.sum(F.size(F.filter("held", lambda h: ~h))).alias("begins")).first()
@@ -382,31 +384,32 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER, block: in
     words = count_words(first, shards)
     counted = words.where("block is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_train, below = counted["n"] or 0, (counted["n"] or 0) + 0.5 * ((counted["v"] or 0) + 1)
-    blocks = numbered(first, words, shards)
+    blocks = first.select("block", "doc_ids", "held", "lengths", "tokens").join(numbered(first, words, shards), "block")
     answers: DataFrame | None = None
+    rows = blocks.withColumn("told", F.lit(None).cast(f"array<struct<{TOLD}>>"))
     for length in range(2, order + 1):
-        level = count_ngrams(blocks, answers, length, shards, hot, begins, least)
+        level = count_ngrams(rows, length, shards, hot, begins)
         answers = level if answers is None else answers.unionByName(level)
+        met = answers.groupBy("block").agg(F.collect_list(F.struct(*LEVEL_COLUMNS)).alias("told"))  # a block's own n-grams
+        rows = blocks.join(met, "block", "left")
     names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for doc_ids, held, lengths, tokens, ids, counts, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = Block(lengths, tokens, ids, counts)
+                own = Block(lengths, tokens, ids, counts, begins, shards, hot)
                 count = own.word_counts.astype(float)
                 plain = (count + 0.5) / below
                 p, base, known = plain[own.tokens], np.log10(plain)[own.tokens], (count > 0)[own.tokens]
-                for grams, _, (rank, _, number, parts), by_shard in own.levels(told or [], order, shards, hot, begins):
-                    codes, used = np.zeros(len(grams.words) + 1, np.uint8), np.zeros(len(grams.contexts))
+                for level, (rank, _, number, parts), by_shard in own.levels(told or [], order):
+                    codes, used = np.zeros(len(level.words) + 1, np.uint8), np.zeros(len(level.contexts))
                     for s, a, b in parts:
                         codes[number[a:b]] = unpacked(by_shard[s]["codes"])
                         used[rank[a:b][_starts(rank[a:b])]] += unpacked_floats(by_shard[s]["used"])
-                    p[grams.use] = SHARES[codes[:-1]][grams.inverse] + np.maximum(1 - used, 0)[grams.rank][grams.inverse] * p[grams.use]
+                    p[level.use] = SHARES[codes[:-1]][level.inverse] + np.maximum(1 - used, 0)[level.rank][level.inverse] * p[level.use]
                 cuts = np.concatenate([[0], np.cumsum(own.lengths)])
                 sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[cuts]) for x in (known, base, np.log10(np.maximum(p, 1e-300)))]
                 yield dict(zip(names, (doc_ids, held, own.lengths, sums[0].astype(np.int64), [n_train] * len(doc_ids), sums[1], sums[2]), strict=True))
 
-    rows = blocks.select("block", "doc_ids", "held", "lengths", "tokens", "ids", "counts")
-    met = answers.groupBy("block").agg(F.collect_list(F.struct("level", "shard", "codes", "used", "big", "cut")).alias("told"))  # a block's own n-grams
-    rows = rows.join(met, "block", "left").drop("block")
+    rows = rows.select("doc_ids", "held", "lengths", "tokens", "ids", "counts", "told")
     return by_batch(rows, work, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -159,7 +159,8 @@ def test_trie_distributions_sum_to_one():
     keys, counts = np.unique((rng.zipf(1.3, 50000) % 300).astype(np.uint64) << np.uint64(WORD) | (rng.zipf(1.2, 50000) % 1000).astype(np.uint64), return_counts=True)
     rank, words = (keys >> np.uint64(WORD)).astype(np.int64), keys & np.uint64((1 << WORD) - 1)
     with memory_mapped(to_bytes(TrieLevel.build(contexts, keys, counts))) as level:
-        codes, used = level.lookup(contexts, np.bincount(rank, minlength=300), words)
+        codes, number, used = level.lookup(contexts, np.bincount(rank, minlength=300), words)
+        assert number.tolist() == list(range(len(keys)))
         assert (codes > 0).any() and np.allclose(np.bincount(rank, SHARES[codes], 300), used, atol=1e-5) and (used < 1).all()
         assert level.lookup(contexts[:1] + np.uint64(1), np.array([1]), words[:1])[0].tolist() == [0]
 
