@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -15,6 +16,12 @@ def compatible(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(StringType())
+def plain_form(text: pd.Series) -> pd.Series:
+    """NFKC without citation marks and white space; null stays null."""
+    return text.map(lambda t: None if t is None else "".join(re.sub(r"\[S[0-9]+\]", "", unicodedata.normalize("NFKC", t)).split()))
+
+
 #: Katakana that have a hiragana form lie at a fixed distance from it.
 KATAKANA, DISTANCE = range(0x30A1, 0x30F7), 0x60
 _TO_HIRAGANA = {c: c - DISTANCE for c in KATAKANA}

@@ -1,76 +1,132 @@
-"""Text overlap: the longest run of characters that a draft shares with a source.
+"""Text overlap: the runs of characters that a draft shares with sources, the longest one, and where they stand.
 
 Runs shorter than `least` don't matter, which is what makes the search a join: with grams of g characters at every place
 of the drafts and at every s-th place of the sources, where g + s - 1 <= least, any shared run of `least` characters
 holds a gram of the sources. So sources give about one gram for each s characters; the gram's hash is the join's key,
-and only pairs that share a gram are compared.
+and only pairs that share a gram are compared. A pair is compared by window hashes in memory in proportion to its texts,
+and every hit is checked letter by letter.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
-def longest_common(a: str, b: str, least: int = 1) -> int:
-    """Length of the longest common substring, 0 if it is shorter than least."""
-    short, long = sorted((a, b), key=len)
 
-    def shared(n: int) -> bool:
-        parts = {short[i : i + n] for i in range(len(short) - n + 1)}
-        return any(long[i : i + n] in parts for i in range(len(long) - n + 1))
+def plain(text: str) -> str:
+    """Width, citation marks such as [S1] and white space ignored."""
+    return "".join(re.sub(r"\[S[0-9]+\]", "", unicodedata.normalize("NFKC", text)).split())
+
+
+def letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+
+def windows(x: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the `size` letters from each place on, built up by doubling."""
+    if len(x) < size:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        part, width, power = (x + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9), 1, _BASE
+        out, done = np.zeros(len(x), np.uint64), 0
+        while True:
+            if size & width:
+                out = part[: len(part)] if not done else out[: len(x) - done - width + 1] * power + part[done : done + len(x) - done - width + 1]
+                done += width
+            if done == size:
+                return out[: len(x) - size + 1]
+            part = part[:-width] * power + part[width:]
+            width, power = width * 2, power * power
+
+
+def common_places(a: str, b: str, size: int) -> np.ndarray:
+    """Places in a whose next `size` letters stand in b."""
+    x, y = windows(letters(a), size), windows(letters(b), size)
+    values, first = np.unique(y, return_index=True)
+    if not len(values):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+    hits = np.flatnonzero(values[at] == x)
+    return np.array([i for i in hits.tolist() if a[i : i + size] == b[(j := int(first[at[i]])) : j + size]], np.int64)
 
-    low, high = least - 1, len(short)
+
+def longest_common(a: str, b: str, least: int = 1) -> int:
+    """Length of the longest common substring, 0 if it is shorter than least."""
+    low, high = least - 1, min(len(a), len(b))
     while low < high:
         mid = (low + high + 1) // 2
-        low, high = (mid, high) if shared(mid) else (low, mid - 1)
+        low, high = (mid, high) if len(common_places(a, b, mid)) else (low, mid - 1)
     return low if low >= least else 0
 
 
-def plain(text: str) -> str:
-    """Width and white space ignored."""
-    import unicodedata
-
-    return "".join(unicodedata.normalize("NFKC", text).split())
+def matching_spans(a: str, b: str, least: int) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a that stand in b in runs of `least` letters or more; runs that touch are one."""
+    at = common_places(a, b, least)
+    if not len(at):
+        return []
+    cuts = np.flatnonzero(np.diff(at) > least)
+    return list(zip(at[np.append(0, cuts + 1)].tolist(), (at[np.append(cuts, len(at) - 1)] + least).tolist(), strict=True))
 
 
 def _grams(df: DataFrame, key: str, size: int, step: int) -> DataFrame:
     """key and the hash of each distinct gram at every step-th place of a text."""
-    import pyarrow as pa
+    kind = pa.int64()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                t = plain(text or "")
-                grams = sorted({t[k : k + size] for k in range(0, len(t) - size + 1, step)})
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(grams), batch.column(0).type), pa.array(grams, pa.string())], names=[key, "gram"])
+            hashes = [np.unique(windows(letters(plain(t or "")), size)[::step]) for t in batch.column(1).to_pylist()]
+            owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(np.concatenate([*hashes, np.zeros(0, np.uint64)]).view(np.int64), kind)], names=[key, "h"])
 
-    return df.select(key, "text").mapInArrow(work, f"{key} {dict(df.dtypes)[key]}, gram string").select(key, F.xxhash64("gram").alias("h"))
+    return df.select(key, "text").mapInArrow(work, f"{key} {dict(df.dtypes)[key]}, h long")
 
 
-def shared_runs(drafts: DataFrame, sources: DataFrame, draft: str, source: str, least: int = 30) -> DataFrame:
-    """(draft, source, longest) of all pairs that share a run of `least` characters; both sides have a column text."""
+def _compared(drafts: DataFrame, sources: DataFrame, draft: str, source: str, least: int, schema: str, compare) -> DataFrame:
+    """What compare(a, b) -> list of tuples gives for each pair that shares a gram."""
     size = (least + 1) // 2
-    step = least - size + 1
-    a = _grams(drafts, draft, size, 1)
-    b = _grams(sources, source, size, step)
-    pairs = a.join(b, "h").select(draft, source).distinct()
+    pairs = _grams(drafts, draft, size, 1).join(_grams(sources, source, size, least - size + 1), "h").select(draft, source).distinct()
     texts = pairs.join(drafts.select(draft, F.col("text").alias("_a")), draft).join(sources.select(source, F.col("text").alias("_b")), source)
     kinds = dict(texts.dtypes)
+    names = [draft, source, *(f.split()[0] for f in schema.split(", "))]
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            longest = [longest_common(plain(x or ""), plain(y or ""), least) for x, y in zip(frame["_a"], frame["_b"], strict=True)]
-            out = frame[[draft, source]].assign(longest=longest)
-            yield out[out["longest"] > 0]
+            rows = [(i, j, *r) for i, j, x, y in frame[[draft, source, "_a", "_b"]].itertuples(index=False) for r in compare(plain(x or ""), plain(y or ""))]
+            yield pd.DataFrame(rows, columns=names)
+
+    return texts.select(draft, source, "_a", "_b").mapInPandas(work, f"{draft} {kinds[draft]}, {source} {kinds[source]}, {schema}")
 
-    return texts.select(draft, source, "_a", "_b").mapInPandas(work, f"{draft} {kinds[draft]}, {source} {kinds[source]}, longest int")
+
+def shared_runs(drafts: DataFrame, sources: DataFrame, draft: str, source: str, least: int = 30) -> DataFrame:
+    """(draft, source, longest) of all pairs that share a run of `least` characters; both sides have a column text."""
+    return _compared(drafts, sources, draft, source, least, "longest int", lambda a, b: [(n,)] if (n := longest_common(a, b, least)) else [])
 
 
 def longest_runs(drafts: DataFrame, sources: DataFrame, draft: str, source: str, least: int = 30) -> DataFrame:
     """For each draft its longest shared run over all sources (0 if under least) and whether it fails (is there one)."""
     best = shared_runs(drafts, sources, draft, source, least).groupBy(draft).agg(F.max("longest").alias("longest"))
     return drafts.select(draft).join(best, draft, "left").select(draft, F.coalesce("longest", F.lit(0)).alias("longest"), F.col("longest").isNotNull().alias("failed"))
+
+
+def shared_spans(drafts: DataFrame, sources: DataFrame, draft: str, source: str, least: int = 30) -> DataFrame:
+    """(draft, start, end, text) of the parts of each draft, in its plain form, that any source has; parts that touch are one."""
+    def spans(a: str, b: str) -> list[tuple]:
+        return [(s, e, a[s:e]) for s, e in matching_spans(a, b, least)]
+
+    parts = _compared(drafts, sources, draft, source, least, "start int, end int, text string", spans).select(draft, "start", "end", "text").distinct()
+    by = Window.partitionBy(draft).orderBy("start", "end")  # one draft's spans
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    marked = parts.withColumn("_new", (reach.isNull() | (F.col("start") > reach)).cast("int")).withColumn("_reach", F.coalesce(reach, F.lit(0)))
+    marked = marked.withColumn("_part", F.sum("_new").over(by))
+    tail = F.when(F.col("_new") == 1, F.col("text")).otherwise(F.expr("substring(text, greatest(_reach - start, 0) + 1)"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", tail.alias("tail")))), lambda x: x["tail"]), "")
+    return marked.groupBy(draft, "_part").agg(F.min("start").alias("start"), F.max("end").alias("end"), joined.alias("text")).drop("_part")

@@ -23,14 +23,36 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], by: str, *ties: Column |
 def first_candidate(rows: DataFrame, candidates: DataFrame, match: Column, keys: Sequence[str], priority: str, order: Order) -> DataFrame:
     """Rows joined with a small table of candidates; of each key the candidate of lowest priority, then the first row.
 
-    `conflict` tells whether the winning candidate matched rows with different values of the column `value`.
+    `conflict` tells whether the winning candidate matched rows with different values of the column `value`. Both steps
+    are partial aggregates, so a key that holds most rows is no more work than another.
     """
-    met = rows.join(F.broadcast(candidates), match)
-    low = F.min(priority).over(Window.partitionBy(*keys))
-    best = met.withColumn("_low", low).where(F.col(priority) == F.col("_low")).drop("_low")
-    span = Window.partitionBy(*keys)
-    best = best.withColumn("conflict", F.min("value").over(span) != F.max("value").over(span))
-    return first_per_key(best, keys, order)
+    met = rows.join(candidates, match)
+    names = [c for c in met.columns if c not in keys]
+    per = met.groupBy(*keys, priority).agg(F.min_by(F.struct(*names), F.struct(*order)).alias("_row"), (F.min("value") != F.max("value")).alias("conflict"))
+    best = per.groupBy(*keys).agg(F.min_by(F.struct("_row", "conflict"), priority).alias("_best"))
+    return best.select(*keys, "_best._row.*", "_best.conflict")
+
+
+def places(df: DataFrame, keys: Sequence[str], order: Order, name: str = "place") -> DataFrame:
+    """df with each row's place (from 1) within its keys, for keys that are few or hold many rows.
+
+    Rows are dealt into ranges of keys and order, so a key may span many tasks; a place is the rows of the key in the
+    ranges before plus the place in the own range. The order must be total.
+    """
+    from sorrel.session import kept
+
+    by = [*(F.col(k) for k in keys), *order]
+    dealt = kept(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")).drop("_n")  # a row a range
+    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    null_safe = [dealt["_range"] == before["_range"], *(dealt[k].eqNullSafe(before[k]) for k in keys)]
+    placed = dealt.withColumn("_own", own)
+    condition = null_safe[0]
+    for c in null_safe[1:]:
+        condition = condition & c
+    joined = placed.join(before, condition)
+    return joined.select(*(placed[c] for c in df.columns), (F.col("_before") + F.col("_own")).cast("bigint").alias(name))
 
 
 def earlier_period(df: DataFrame, keys: Sequence[str], day: str, least: int, most: int, same: str, order: str) -> DataFrame:
@@ -110,22 +132,22 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], id_: st
 def greedy_pairs(pairs: DataFrame, group: str, left: str, right: str, score: str, least: float) -> DataFrame:
     """One-to-one assignment within each group: best score first, ties by left and right, each used once.
 
-    Pairs below `least` go before grouping, so a group is the candidate pairs of one small unit (a document's points).
+    A pair that is the best of both its sides is what taking the best pair first would take at some time, so all such
+    pairs are taken at once, what they use goes, and so on: rounds of aggregates and joins, however large a group is.
     """
-    kinds = dict(pairs.dtypes)
-
-    def assign(frame):
-        frame = frame.sort_values([score, left, right], ascending=[False, True, True])
-        used_left, used_right, kept = set(), set(), []
-        for i, a, b in zip(frame.index, frame[left], frame[right], strict=True):
-            if a not in used_left and b not in used_right:
-                used_left.add(a)
-                used_right.add(b)
-                kept.append(i)
-        return frame.loc[kept]
-
-    chosen = pairs.where(F.col(score) >= least).select(group, left, right, score)
-    return chosen.groupBy(group).applyInPandas(assign, ", ".join(f"{c} {kinds[c]}" for c in (group, left, right, score)))
+    from sorrel.session import kept
+
+    rest = kept(pairs.where(F.col(score) >= least).select(group, left, right, score).distinct(), "pairs")
+    chosen: DataFrame | None = None
+    while not rest.isEmpty():
+        rank = F.struct(F.col(score).alias("s"), (-F.col(left)).alias("l"), (-F.col(right)).alias("r"))
+        best_left = rest.groupBy(group, left).agg(F.max_by(right, rank).alias("_right"))
+        best_right = rest.groupBy(group, right).agg(F.max_by(left, rank).alias("_left"))
+        taken = rest.join(best_left, [group, left]).join(best_right, [group, right]).where((F.col("_right") == F.col(right)) & (F.col("_left") == F.col(left)))
+        taken = kept(taken.select(group, left, right, score), "taken")
+        chosen = taken if chosen is None else chosen.unionByName(taken)
+        rest = kept(rest.join(taken.select(group, left), [group, left], "left_anti").join(taken.select(group, right), [group, right], "left_anti"), "pairs")
+    return rest if chosen is None else chosen
 
 
 def running_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str, budget: float) -> DataFrame:

@@ -16,7 +16,7 @@ from sorrel.streaming import merges, windows
 f AS (SELECT o_custkey, o_orderpriority, list_reduce(l, lambda a, x: CASE WHEN a.v = x.v OR (x.c AND abs(a.v - x.v) < 20000) THEN a ELSE struct_pack(d := x.d, k := x.k, v := x.v, c := x.c, s := x.s, r := a.r + 1) END) AS x FROM v)
 SELECT o_custkey, o_orderpriority, CAST(x.v AS DOUBLE) AS value, x.s AS source, CAST(x.r AS BIGINT) AS n_revisions FROM f""")
 def merged_state(spark: SparkSession, d: str) -> DataFrame:
-    """INC03 to INC13: cells folded in the order of their sources; coarse versions that hardly differ keep the older value."""
+    """INC05, INC06: cells folded in the order of their sources; coarse versions that hardly differ keep the older value."""
     o = table(spark, d, "orders").withColumn("amount", money("o_totalprice"))
     cells = folded_cells(o, ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"], "amount", "o_orderkey", F.col("o_orderstatus") == "F", F.lit(20000))
     return cells.select("o_custkey", "o_orderpriority", F.col("value").cast("double").alias("value"), "source", F.col("n_revisions").cast("bigint").alias("n_revisions"))
@@ -35,7 +35,7 @@ def ingested_periods(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2""")
 def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
-    """INC22 as a stream: counts and sums by day and kind, with a watermark for late rows."""
+    """Counts as a stream: counts and sums by day and kind, with a watermark for late rows."""
     e = windows.read(spark, f"{d}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
     counted = windows.by_window(e, "at", "1 day", "40 days", ["event_type"], {"n": F.count("*"), "total": F.sum(money("value"))})
     rows = windows.settled(counted, ["start", "event_type"])
@@ -44,6 +44,6 @@ def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT user_id, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id, count(*) AS n FROM events GROUP BY 1""")
 def streamed_latest(spark: SparkSession, d: str) -> DataFrame:
-    """INC01 as a stream: the latest row of each key by event time, whatever order rows come in, and how many came."""
+    """INC01, INC06 as a stream: the latest row of each key by event time, whatever order rows come in, and how many came."""
     e = windows.read(spark, f"{d}/events.parquet").select("user_id", "ts", "event_id")
     return merges.latest(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "n")

@@ -25,13 +25,14 @@ def collected_pages(spark: SparkSession, d: str) -> DataFrame:
     return R.first_seen(both, "key", ["src", "page_id"], seen).select("page_id", "key")
 
 
-@query("""SELECT o_orderkey, o_totalprice, 'kept' AS change FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 6 <> 0 UNION ALL
-SELECT o_orderkey, o_totalprice + 1, CASE WHEN o_orderkey % 2 = 0 THEN 'replaced' ELSE 'added' END FROM orders WHERE o_orderkey % 3 = 0""")
+@query("""SELECT o_orderkey, o_totalprice, 'kept' AS change FROM orders WHERE o_orderdate < DATE '1995-01-01' UNION ALL
+SELECT o_orderkey, o_totalprice + 1, CASE WHEN o_orderdate < DATE '1996-01-01' THEN 'replaced' ELSE 'added' END FROM orders WHERE o_orderdate >= DATE '1995-01-01'""")
 def upserted_rows(spark: SparkSession, d: str) -> DataFrame:
     """SET03, SET04, SET10: new rows replace those of the same key; every row says what happened."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    new = o.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
-    return R.upsert(o.where("o_orderkey % 2 = 0"), new, ["o_orderkey"])
+    o, day = table(spark, d, "orders"), F.col("o_orderdate").cast("date")
+    base = o.where(day < F.lit("1996-01-01").cast("date")).select("o_orderkey", "o_totalprice")
+    new = o.where(day >= F.lit("1995-01-01").cast("date")).select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    return R.upsert(base, new, ["o_orderkey"])
 
 
 @query("""SELECT kind, key FROM (SELECT DISTINCT 'part' AS kind, unnest(string_split(lower(p_name), ' ')) AS key FROM part UNION ALL SELECT DISTINCT 'nation', lower(n_name) FROM nation UNION ALL SELECT DISTINCT 'region', lower(r_name) FROM region) WHERE length(key) >= 2""")
@@ -61,7 +62,7 @@ def enum_parity(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT user_id, event_type, strftime(first, '%Y-%m-%d %H:%M:%S') AS first FROM (SELECT user_id, event_type, min(ts) AS first FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2) x WHERE NOT EXISTS (SELECT 1 FROM events y WHERE y.user_id = x.user_id AND y.event_type = x.event_type AND y.ts >= TIMESTAMP '2024-01-20')""")
 def vanished_keys(spark: SparkSession, d: str) -> DataFrame:
-    """SET02, JON12: keys of one side that the other side doesn't have, with their first time."""
+    """SET02: keys of one side that the other side doesn't have, with their first time."""
     e = table(spark, d, "events")
     cut = F.lit("2024-01-20").cast("timestamp_ntz")
     old = e.where(F.col("ts") < cut).groupBy("user_id", "event_type").agg(F.min("ts").alias("first"))

@@ -121,3 +121,30 @@ def assigned_customers(spark: SparkSession, d: str) -> DataFrame:
 
 
 query(None)(assigned_customers)
+
+
+def assigned_points(spark: SparkSession, d: str) -> DataFrame:
+    """JON15, STR16: points and claims of a conversation paired one to one by common pairs of characters, best first, from 0.15 on; leftovers of both sides stay; claims against points first, then by side and place. Without SQL, as each choice depends on those before."""
+    c = table(spark, d, "conversations").withColumn("g", S.bigrams(F.substring("text", 1, 200)))
+    p = c.where("role = 'user'").groupBy("conv_id", F.col("turn").alias("point")).agg(F.first("g").alias("gp"))
+    q = c.where("role = 'assistant'").groupBy("conv_id", F.col("turn").alias("claim")).agg(F.first("g").alias("gq"))
+    score = F.size(F.array_intersect("gp", "gq")) / F.size(F.array_union("gp", "gq"))
+    pairs = R.greedy_pairs(p.join(q, "conv_id").withColumn("score", score), "conv_id", "point", "claim", "score", 0.15)
+    met = p.select("conv_id", "point").join(pairs, ["conv_id", "point"], "left").select("conv_id", "point", "claim", "score")
+    alone = q.select("conv_id", "claim").join(pairs.select("conv_id", "claim"), ["conv_id", "claim"], "left_anti").select("conv_id", F.lit(None).cast("bigint").alias("point"), "claim", F.lit(None).cast("double").alias("score"))
+    rows = met.unionByName(alone)
+    return rows.orderBy("conv_id", F.when(F.col("score").isNotNull(), 0).when(F.col("claim").isNotNull(), 1).otherwise(2), "point", "claim")
+
+
+query(None)(assigned_points)
+
+
+@query("""WITH t AS (SELECT conv_id, turn, min(role) AS role, max(length(text)) AS n FROM conversations GROUP BY 1, 2), s AS (SELECT a.conv_id, a.turn AS error, arg_max(b.turn, struct_pack(s := 1.0 / (1 + abs(a.n - b.n)), k := -b.turn)) AS claim, max(1.0 / (1 + abs(a.n - b.n))) AS best FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant' GROUP BY 1, 2)
+SELECT conv_id, error, CASE WHEN best >= 0.01 THEN claim END AS claim FROM s""")
+def best_matches(spark: SparkSession, d: str) -> DataFrame:
+    """AGG23: the most similar claim (here by length) for each error of the same document, if it is similar enough."""
+    t = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.max(F.length("text")).alias("n"))
+    a, b = t.where("role = 'user'").select("conv_id", F.col("turn").alias("error"), F.col("n").alias("na")), t.where("role = 'assistant'").select("conv_id", F.col("turn").alias("k"), F.col("n").alias("nb"))
+    s = a.join(b, "conv_id").withColumn("s", F.lit(1.0) / (1 + F.abs(F.col("na") - F.col("nb"))))
+    best = s.groupBy("conv_id", "error").agg(F.max_by("k", F.struct("s", -F.col("k"))).alias("claim"), F.max("s").alias("best"))
+    return best.select("conv_id", "error", F.when(F.col("best") >= 0.01, F.col("claim")).alias("claim"))

@@ -64,7 +64,7 @@ def turn_neighbours(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_partkey, p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS BIGINT) AS place FROM part")
 def rank_in_stage(spark: SparkSession, d: str) -> DataFrame:
     """WIN08: place within the group."""
-    return table(spark, d, "part").select("p_partkey", "p_brand", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_size", "p_partkey")).cast("bigint").alias("place"))
+    return R.places(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), ["p_brand"], ["p_size", "p_partkey"]).select("p_partkey", "p_brand", "place")
 
 
 @query("""SELECT o_orderkey FROM (SELECT o_orderkey, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders) WHERE before > o_totalprice""")
@@ -101,20 +101,20 @@ def numbered_top(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY v DESC NULLS LAST, c_custkey) AS BIGINT) AS falling, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY v NULLS LAST, c_custkey) AS BIGINT) AS rising FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS v FROM customer)""")
 def blanks_last(spark: SparkSession, d: str) -> DataFrame:
     """SRT03, SRT09: places in either direction, blanks last in both."""
-    v = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))
-    by = Window.partitionBy("c_nationkey")
-    place = lambda order: F.row_number().over(by.orderBy(order, "c_custkey")).cast("bigint")
-    return table(spark, d, "customer").select("c_custkey", place(v.desc_nulls_last()).alias("falling"), place(v.asc_nulls_last()).alias("rising"))
+    rows = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("v"))
+    falling = R.places(rows, ["c_nationkey"], [F.col("v").desc_nulls_last(), "c_custkey"], "falling")
+    return R.places(falling, ["c_nationkey"], [F.col("v").asc_nulls_last(), "c_custkey"], "rising").select("c_custkey", "falling", "rising")
 
 
 @query("""WITH l AS (SELECT o_custkey, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS k FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1)
 SELECT o_custkey, k AS o_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS lines FROM l JOIN lineitem ON l_orderkey = k GROUP BY 1, 2""")
 def latest_regions(spark: SparkSession, d: str) -> DataFrame:
     """SRT04: the latest row that has parts, with its parts by falling value."""
-    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct((-F.col("l_extendedprice")).alias("v"), "l_linenumber", "l_partkey", "l_suppkey"))).alias("parts"))
-    rows = table(spark, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"))
-    best = rows.groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "parts"), F.struct("o_orderdate", "o_orderkey")).alias("b"))
-    return best.select("o_custkey", "b.o_orderkey", F.array_join(F.transform("b.parts", lambda x: x["l_linenumber"].cast("string")), ",").alias("lines"))
+    li = table(spark, d, "lineitem")
+    known = li.select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    best = table(spark, d, "orders").join(known, "o_orderkey", "left_semi").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
+    lines = li.join(best, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "o_orderkey").agg(F.sort_array(F.collect_list(F.struct((-F.col("l_extendedprice")).alias("v"), "l_linenumber", "l_partkey", "l_suppkey"))).alias("parts"))  # one order's lines
+    return lines.select("o_custkey", "o_orderkey", F.array_join(F.transform("parts", lambda x: x["l_linenumber"].cast("string")), ",").alias("lines"))
 
 
 @query("""WITH t AS (SELECT p_partkey, p_name, p_type, string_split(lower(p_name), ' ') AS keys FROM part),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[8]", app: str = "sorrel", partitions: int = 8) -> SparkSession:
@@ -24,9 +24,21 @@ def session(master: str = "local[8]", app: str = "sorrel", partitions: int = 8)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor sees; a temporary one where it is unset, as in tests."""
+    """A new folder below spark.checkpoint.dir, which every executor sees; a temporary one on a single machine, as in tests.
+
+    Without that setting a cluster has no folder that all its machines share, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="sorrel-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new folder and read again, for what is used more than once."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _FENCED = r"(?s)^﻿?---\r?\n(.*?)\r?\n---\r?\n?(.*)$"
 
 
+def split_documents(files: DataFrame) -> DataFrame:
+    """Rows with a column value, a whole file, with front (text of the front matter), body and error in its place."""
+    good = F.col("value").rlike(_FENCED)
+    return files.withColumn("front", F.when(good, F.regexp_extract("value", _FENCED, 1))).withColumn("body", F.when(good, F.regexp_extract("value", _FENCED, 2))).withColumn("error", F.when(~good, "no front matter")).drop("value")
+
+
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """path, front (text of the front matter), body, error of each file below path."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    good = F.col("value").rlike(_FENCED)
-    return files.select("path", F.when(good, F.regexp_extract("value", _FENCED, 1)).alias("front"), F.when(good, F.regexp_extract("value", _FENCED, 2)).alias("body"), F.when(~good, "no front matter").alias("error"))
+    return split_documents(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
 def front_value(front: Column, name: str) -> Column:
@@ -30,24 +34,23 @@ def kind_of(path: Column, kinds: dict[str, str]) -> Column:
 
 
 def sections(docs: DataFrame, key: str, body: str = "body") -> DataFrame:
-    """key, place, heading, text of second-level sections; headings inside code fences don't count."""
-    lines = F.split(F.regexp_replace(body, "\r", ""), "\n")
-    start = F.struct(F.lit(False).alias("fenced"), F.array().cast("array<struct<heading:string,text:string>>").alias("parts"))
-
-    def step(acc: Column, line: Column) -> Column:
-        fenced = acc["fenced"] != line.startswith("```")
-        head = ~acc["fenced"] & line.startswith("## ")
-        n = F.size(acc["parts"])
-        last = F.element_at(acc["parts"], -1)
-        grown = F.concat(F.slice(acc["parts"], 1, F.greatest(n - 1, F.lit(0))), F.array(F.struct(last["heading"].alias("heading"), F.concat(last["text"], line, F.lit("\n")).alias("text"))))
-        new = F.concat(acc["parts"], F.array(F.struct(F.substring(line, 4, 1 << 20).alias("heading"), F.lit("").alias("text"))))
-        return F.struct(fenced.alias("fenced"), F.when(head, new).when(n > 0, grown).otherwise(acc["parts"]).cast("array<struct<heading:string,text:string>>").alias("parts"))
-
-    parts = F.aggregate(lines, start, step)["parts"]
-    return docs.select(key, F.posexplode(parts).alias("place", "s")).select(key, "place", F.trim("s.heading").alias("heading"), F.trim(F.regexp_replace("s.text", "^\n+|\n+$", "")).alias("text"))
+    """key, place, heading, text of second-level sections; headings inside code fences don't count.
+
+    Lines are numbered, fences and headings counted along them, and each section's lines gathered, so the work is in
+    proportion to a document's lines; what stands before the first heading is left out.
+    """
+    lines = docs.select(key, F.posexplode(F.split(F.regexp_replace(body, "\r", ""), "\n")).alias("at", "line"))
+    along = Window.partitionBy(key).orderBy("at")
+    fence = F.col("line").startswith("```").cast("int")
+    fenced = (F.sum(fence).over(along) - fence) % 2 == 1
+    marked = lines.withColumn("head", (~fenced & F.col("line").startswith("## ")).cast("int"))
+    parts = marked.withColumn("place", F.sum("head").over(along) - 1).where("place >= 0").groupBy(key, "place").agg(F.sort_array(F.collect_list(F.struct("at", "head", "line"))).alias("lines"))
+    heading = F.expr("substring(lines[0].line, 4)")
+    text = F.array_join(F.transform(F.expr("slice(lines, 2, size(lines))"), lambda x: x["line"]), "\n")
+    return parts.select(key, F.col("place").cast("int").alias("place"), F.trim(heading).alias("heading"), F.trim(F.regexp_replace(text, "^\n+|\n+$", "")).alias("text"))
 
 
 def split_quiz(body: Column, heading: str) -> tuple[Column, Column]:
     """The text before a heading and the text after it (null without it)."""
     at = F.instr(F.concat(F.lit("\n"), body), F.lit(f"\n## {heading}\n"))
-    return F.when(at > 0, F.substring(body, F.lit(1), at - 1)).otherwise(body), F.when(at > 0, F.substring(body, at + len(heading) + 4, F.lit(1 << 20)))
+    return F.when(at > 0, F.substring(body, F.lit(1), at - 1)).otherwise(body), F.when(at > 0, F.substring(body, at + len(heading) + 4, F.length(body)))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sorrel.session import new_folder
 
@@ -29,4 +30,6 @@ def latest(stream: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
 
     done: list[int] = []
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    if not done:  # no row has come
+        return spark.createDataFrame([], StructType([*stream.schema.fields, StructField("n", LongType())]))
     return spark.read.parquet(f"{folder}/version={done[-1]}")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sorrel.session import new_folder
 
@@ -35,6 +36,13 @@ def settled(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/part={number}")
 
     stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{folder}/out").drop("part")
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).option("recursiveFileLookup", "true").parquet(folder_of(spark, f"{folder}/out"))
     values = [c for c in stream.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+
+
+def folder_of(spark: SparkSession, path: str) -> str:
+    """The folder, made if no batch has written to it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
+    return path
