@@ -347,3 +347,21 @@ def typed_documents(spark: SparkSession, d: str) -> DataFrame:
     kinds = spark.createDataFrame([("PROMO: type promo\nSMALL: type small",)], "text string").select(F.explode(F.split("text", "\n")).alias("line"))
     kinds = kinds.select(F.split("line", ": ")[0].alias("code"), F.split("line", ": ")[1].alias("doc_type"))
     return table(spark, d, "part").groupBy(F.col("p_type").alias("code")).agg(F.count("*").alias("n")).join(kinds, "code").select("code", "doc_type", "n")
+
+
+@query("""SELECT event_id, 'Event ' || CAST(event_id AS VARCHAR) || ' news' AS title, 'https://a.example/' || CAST(event_id AS VARCHAR) AS url, CASE WHEN event_id % 4 < 3 THEN strftime(ts, '%Y-%m-%d') ELSE strftime(ts - INTERVAL 1 DAY, '%Y-%m-%d') END AS published FROM events""")
+def feed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """SRC15, SRC16, DAT05: items of RSS, RDF and Atom feeds and of pages' links with the day that stands near them."""
+    from sorrel.sources import feeds
+
+    e, k = table(spark, d, "events"), F.col("event_id").cast("string")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    title, url = F.concat(F.lit("Event "), k, F.lit(" news")), F.concat(F.lit("https://a.example/"), k)
+    rss = F.concat(F.lit("<rss version='2.0'><channel><item><title>"), title, F.lit("</title><link>"), url, F.lit("</link><pubDate>"), F.date_format("ts", "dd MMM yyyy"), F.lit(" 10:00:00 +0900</pubDate></item></channel></rss>"))
+    rdf = F.concat(F.lit("<rdf:RDF xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#' xmlns='http://purl.org/rss/1.0/' xmlns:dc='http://purl.org/dc/elements/1.1/'><item><title>"), title, F.lit("</title><link>"), url, F.lit("</link><dc:date>"), day, F.lit("</dc:date></item></rdf:RDF>"))
+    atom = F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'><entry><title>"), title, F.lit("</title><link rel='self' href='x'/><link href='"), url, F.lit("'/><updated>"), day, F.lit("T00:00:00Z</updated></entry></feed>"))
+    page = F.concat(F.lit("<p>"), F.date_format(F.col("ts") - F.expr("interval 1 day"), "yyyy.MM.dd"), F.lit("</p><a href='/"), k, F.lit("'>"), title, F.lit("</a><a href='/s'>short</a> "), F.date_format("ts", "yyyy年MM月dd日"))
+    body = F.when(F.col("event_id") % 4 == 0, rss).when(F.col("event_id") % 4 == 1, rdf).when(F.col("event_id") % 4 == 2, atom).otherwise(page)
+    bodies = e.select(F.col("event_id").alias("source"), F.when(F.col("event_id") % 4 < 3, "feed").otherwise("page").alias("kind"), F.lit("https://a.example/list").alias("base"), body.cast("binary").alias("body"))
+    rows = feeds.items(bodies.withColumn("source", F.col("source").cast("string")))
+    return rows.select(F.col("source").cast("bigint").alias("event_id"), "title", "url", F.date_format("published", "yyyy-MM-dd").alias("published"))
