@@ -29,3 +29,23 @@ def repeated(df: DataFrame, key: Column, file: str, rule: str, severity: str = "
 
 def all_problems(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+def schema_rules(schema: dict, prefix: str = "") -> list[tuple[str, Column, str]]:
+    """Rules for row_rules from a JSON Schema of an object: required, type of text, enum, pattern, bounds, lengths; nested objects too."""
+    out: list[tuple[str, Column, str]] = []
+    for name in sorted(schema.get("properties", {})):
+        rule, path = schema["properties"][name], f"{prefix}{name}"
+        value = F.col(path)
+        if name in schema.get("required", []):
+            out.append((f"{path}: required", value.isNull(), "error"))
+        if "enum" in rule:
+            out.append((f"{path}: enum", value.isNotNull() & ~value.isin(*rule["enum"]), "error"))
+        if "pattern" in rule:
+            out.append((f"{path}: pattern", ~value.rlike(rule["pattern"]), "error"))
+        for key, bad in (("minimum", lambda v, n: v < n), ("maximum", lambda v, n: v > n), ("minLength", lambda v, n: F.length(v) < n), ("maxLength", lambda v, n: F.length(v) > n), ("maxItems", lambda v, n: F.size(v) > n)):
+            if key in rule:
+                out.append((f"{path}: {key}", bad(value, rule[key]), "error"))
+        if rule.get("type") == "object":
+            out += schema_rules(rule, f"{path}.")
+    return out
