@@ -70,6 +70,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if len(samples) < n:
         raise ValueError("samples are cut off")
     samples = samples[:n]
+    if kind in (b"P2", b"P3") and int(samples.max()) > top:
+        raise ValueError("a sample is over the depth")
     if kind == b"P1":
         samples = 1 - samples
     if top != 255:
