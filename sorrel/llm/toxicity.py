@@ -1,8 +1,9 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 One weight vector is shared by all thresholds: P(severity <= k) = sigmoid(threshold_k - weights . features). Grades
-run from 0 (not toxic) to the highest; the score is the expected grade. Labels may be graded already; binary labels are
-graded by how dense the words are that separate the two labels.
+run from 0 (not toxic) to the highest; the score is the expected grade. Labels may be graded already; toxic rows of
+binary labels are graded by their margin in a first fit to the two labels, in equal shares, so that the grades rise with
+what separates the labels and the shared weights serve all thresholds.
 
 Training reads at most `sample` labelled rows, those with the smallest hash of their id; both the words kept as
 features (at most `words`) and the fit come from them, so the model's size and the driver's work don't depend on the
@@ -61,7 +62,7 @@ class OrdinalModel:
                 found = known.get(word)
                 if found is None:
                     found = tuple(self.words[f] for f in word_features(word) if f in self.words)
-                    if len(known) >= 1 << 18:
+                    if len(known) >= 1 << 17:
                         known.clear()
                     known[word] = found
                 for feature in found:
@@ -131,12 +132,12 @@ def separating_features(bags: DataFrame, n_toxic: int, n_clean: int, most: int =
     return [(bytes(r["feature"]), r["z"]) for r in best.collect()]
 
 
-def grade_binary(density: np.ndarray, toxic: np.ndarray, grades: int) -> np.ndarray:
-    """0 for rows that aren't toxic, else 1 to grades - 1 by equal shares of the density of toxic features."""
+def grade_binary(margin: np.ndarray, toxic: np.ndarray, grades: int) -> np.ndarray:
+    """0 for rows that aren't toxic, else 1 to grades - 1 by equal shares of the margin."""
     out = np.zeros(len(toxic), np.int64)
     if toxic.any():
-        cuts = np.quantile(density[toxic > 0], np.linspace(0, 1, grades)[1:-1])
-        out[toxic > 0] = 1 + np.searchsorted(cuts, density[toxic > 0], side="left")
+        cuts = np.quantile(margin[toxic > 0], np.linspace(0, 1, grades)[1:-1])
+        out[toxic > 0] = 1 + np.searchsorted(cuts, margin[toxic > 0], side="left")
     return out
 
 
@@ -168,32 +169,30 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", grades: int
     if not kept:
         return OrdinalModel({}, np.zeros(0), np.zeros(0))
     numbers = {f: i for i, (f, _) in enumerate(kept)}
-    marked = np.array([z > 0 for _, z in kept])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("cols", "counts", "density")}
+            out: dict[str, list] = {k: [] for k in ("cols", "counts")}
             for found, often in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 bag: Counter[int] = Counter()
-                total = 0
                 for word, n in zip(found.split(), np.frombuffer(often, "<u4").tolist(), strict=True):
-                    features = word_features(word)
-                    total += n * len(features)
-                    for f in features:
+                    for f in word_features(word):
                         if f in numbers:
                             bag[numbers[f]] += n
-                cols, counts = np.fromiter(bag.keys(), "<i4", len(bag)), np.fromiter(bag.values(), "<i4", len(bag))
-                for column, value in zip(out.values(), (cols.tobytes(), counts.tobytes(), float(counts[marked[cols]].sum() / max(total, 1))), strict=True):
-                    column.append(value)
+                for column, values in zip(out.values(), (bag.keys(), bag.values()), strict=True):
+                    column.append(np.fromiter(values, "<i4", len(bag)).tobytes())
             yield out | {"digest": batch.column(0), "grade": batch.column(1)}
 
-    rows = by_batch(bags.select("digest", "grade", "words", "counts"), work, "digest binary, grade int, cols binary, counts binary, density double").orderBy("digest").drop("digest").collect()  # at most `sample`
+    rows = by_batch(bags.select("digest", "grade", "words", "counts"), work, "digest binary, grade int, cols binary, counts binary").orderBy("digest").drop("digest").collect()  # at most `sample`
     cols = [np.frombuffer(r["cols"], "<i4") for r in rows]
     y = np.array([r["grade"] for r in rows], np.int64)
-    grade = y if y.max() > 1 else grade_binary(np.array([r["density"] for r in rows]), (y > 0).astype(np.int64), grades)
-    row = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
+    row, cols = np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate(cols)
     values = 1 + np.log(np.concatenate([np.frombuffer(r["counts"], "<i4") for r in rows]))
-    weights, thresholds = fit_ordinal(row, np.concatenate(cols), values, grade, len(kept))
+    grade = y
+    if y.max() == 1:
+        first, _ = fit_ordinal(row, cols, values, y, len(kept))
+        grade = grade_binary(np.bincount(row, first[cols] * values, len(rows)), y, grades)
+    weights, thresholds = fit_ordinal(row, cols, values, grade, len(kept))
     return OrdinalModel(numbers, weights, thresholds)
 
 
