@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -19,7 +20,7 @@ HELD_OUT = "crc32(cast(doc_id as string)) % 4 = 2"
 
 @pytest.fixture(scope="module")
 def larger(spark):
-    d = "/root/testdata/sf0.1"
+    d = os.environ.get("TEST_LABELLED_DIR", "/root/testdata/sf0.1")  # enough labelled rows for a share of them
     return spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
 
 
@@ -150,6 +151,8 @@ def test_elias_fano(values):
     asked = np.unique(np.array([*values, *(x + 1 for x in values), 0, 2000000], np.uint64))
     index, found = ef.successor(asked)
     assert index.tolist() == np.searchsorted(np.array(values, np.uint64), asked).tolist()
+    if n:
+        assert ef.values().tolist() == values
     assert found.tolist() == [int(x) in set(values) for x in asked]
 
 
@@ -172,4 +175,6 @@ def test_successors_in_many_sequences():
         values = np.unique(rng.integers(0, top, int(rng.integers(1, 300))).astype(np.uint64))
         asked = np.unique(np.concatenate([values, values + np.uint64(1), rng.integers(0, top + 5, 50).astype(np.uint64)]))
         index, found = EliasFano.build(values).successor(asked)
+        few = [EliasFano.build(np.concatenate([values, values[-1] + np.arange(1, 400, dtype=np.uint64)])).successor(asked[k : k + 3])[0] for k in range(0, 9, 3)]
+        assert (np.concatenate(few) == np.searchsorted(np.concatenate([values, values[-1] + np.arange(1, 400, dtype=np.uint64)]), asked[:9])).all()
         assert (index == np.searchsorted(values, asked)).all() and (found == np.isin(asked, values)).all()

@@ -6,11 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sorrel.llm import packing, quality, simhash, toxicity
-
-
-def ids(df):
-    return sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in df.select("doc_id").collect())
+from sorrel.llm import packing, quality, similar, toxicity
 
 
 def with_columns(df):
@@ -23,11 +19,11 @@ def test_stages_keep_columns_and_take_effect(spark, sf_dir, odd_docs, labels):
         kept = stage(spark, docs, sf_dir)
         assert kept.columns == docs.columns, name
         assert kept.count() <= docs.count()
-    low = {r["doc_id"] for r in quality.classify(docs, labels, cut=corpus_pipeline.KEEP_QUALITY).where("predicted = 0").collect()}
-    assert ids(corpus_pipeline.keep_good(spark, docs, sf_dir)) == ids(docs.where(~F.col("doc_id").isin([x for x in low if x is not None]) | F.col("doc_id").isNull()))
-    toxic = {r["doc_id"] for r in toxicity.score_toxicity(docs, toxicity.train(docs, labels)).where("toxic = 1").collect()}
-    assert ids(corpus_pipeline.drop_toxic(spark, docs, sf_dir)) == ids(docs.where(~F.col("doc_id").isin([x for x in toxic if x is not None]) | F.col("doc_id").isNull()))
-    groups = simhash.near_duplicates(docs).select("component_id", "doc_id").collect()
+    low = quality.classify(docs, labels, cut=corpus_pipeline.KEEP_QUALITY).where("predicted = 0").count()
+    assert corpus_pipeline.keep_good(spark, docs, sf_dir).count() == docs.count() - low
+    toxic = toxicity.score_toxicity(docs, toxicity.train(docs, labels), corpus_pipeline.DROP_TOXIC).where("toxic = 1").count()
+    assert corpus_pipeline.drop_toxic(spark, docs, sf_dir).count() == docs.count() - toxic
+    groups = similar.similar_documents(docs).select("component_id", "doc_id").collect()
     first = {r["component_id"] for r in groups if r["component_id"] is not None}
     assert {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, sf_dir).select("doc_id").collect()} - {None} == first
 
