@@ -30,7 +30,7 @@ UNITS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 class Kept:
     """Results by text, in two generations of bounded size: what was met lately outlives what was not."""
 
-    def __init__(self, make, most: int = 1 << 18):
+    def __init__(self, make, most: int = 1 << 16):
         self.make, self.most = make, most  # make: list of new texts -> their results
         self.young: dict = {}
         self.old: dict = {}
@@ -83,6 +83,13 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _drop_at_exit(spark: SparkSession, table: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    except Exception:  # noqa: BLE001  the session has ended before
+        pass
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what lies there is deleted when the process ends."""
     path = f"{shared_folder(spark)}/sorrel-{_run}/{next(_tables):05d}-{name}"
@@ -103,6 +110,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     table = f"sorrel_{_run}_{path.rpartition('/')[2]}".replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    atexit.register(_drop_at_exit, spark, table)
     return spark.table(table)
 
 

@@ -43,7 +43,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         encode = kept_encoder(LibraryEncoder, path).encode_column
-        for batch in (x for b in batches for x in pieces(b)):
+        for batch in (x for b in batches for x in pieces(b, 1 << 21)):
             ids, ends = encode(batch.column(1))
             data = memoryview(np.insert(ids, ends, end).astype("<u4", copy=False).tobytes())
             rows, at = [], 0

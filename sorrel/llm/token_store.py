@@ -99,7 +99,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end: int = 1, vocabu
         encode = kept_encoder(LibraryEncoder, tokenizer).encode_column
         table = id_values(np.arange(vocabulary))
         seen: set[bytes] = set()
-        for batch in (x for b in batches for x in pieces(b)):
+        for batch in (x for b in batches for x in pieces(b, 1 << 21)):
             ids, ends = encode(batch.column(1))
             ids = np.insert(ids, ends, end)
             ends = ends + np.arange(1, len(ends) + 1)
@@ -115,7 +115,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end: int = 1, vocabu
                 names = [digest(c) for c in chunks]
                 for name, chunk in zip(names, chunks, strict=True):
                     if name not in seen:
-                        if len(seen) >= 1 << 18:
+                        if len(seen) >= 1 << 17:
                             seen.clear()
                         seen.add(name)
                         for column, value in zip(out.values(), ("chunk", name, None, None, None, None, None, chunk), strict=True):
