@@ -39,6 +39,8 @@ _STOP = np.zeros(256, bool)
 _STOP[list(b".,;:!?'\"()-")] = True
 _OTHER = ~(_LETTER | _DIGIT | _SPACE | _STOP)
 FEATURES = 16
+#: Labelled rows that `accepted` reads for its fit at most.
+SAMPLE = 50000
 
 
 def statistics(text: bytes) -> list[float]:
@@ -163,10 +165,15 @@ def score_statistics(stats: DataFrame, model: Discriminant, cut: float = 0.7) ->
     return by_batch(stats.select("doc_id", "stats"), work, "doc_id long, score double, predicted int")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
-    """The rows of docs that score cut or more by a model of the labelled ones among them; labelled rows alone are read for the fit."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality in (0, 1)")
-    learnt = docs.join(known.select("doc_id").distinct(), "doc_id", "left_semi")
+def accepted(docs: DataFrame, labels: DataFrame, cut: float = 0.7, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that score cut or more by a model of the labelled ones among them.
+
+    The fit reads at most `sample` labelled rows, those with the smallest hash of their id, so their ids can be sent to
+    all tasks and no text is shuffled; every row is judged.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality in (0, 1) and doc_id is not null")
+    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    learnt = docs.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")  # at most `sample` ids
     model = train(text_statistics(learnt), known)
     return rows_kept(docs, lambda texts: model.score(np.array([statistics(t) for t in texts]).reshape(-1, FEATURES)) >= cut)
 
