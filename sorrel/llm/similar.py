@@ -10,8 +10,11 @@ nothing is linked by an estimate. Equal sets are collapsed first.
   with a similarity of s shares one of the keys with a probability of 1 - (1 - s ** ROWS) ** BANDS: of pairs at 0.8 about
   three in a million are missed, and fewer above.
 
-All pairs of a bucket are compared: a large bucket is cut into chunks, each two of which meet in a group of their own, so
-what a task holds is the sets of two chunks at most. A group returns a forest of its links, never all its pairs.
+Each set of a bucket is compared with the bucket's first one, which connects those that it links; the others meet all
+sets of the bucket, in chunks, each two of which are a group of their own, so what a task holds is the sets of two chunks
+at most. Pairs that are connected already aren't compared, so a large group of near copies costs in proportion to its
+size. A group returns a forest of its links, never all its pairs. A set's shingles move for the distinct pairs with first
+sets alone, not for each key.
 
 Null and empty texts have the empty set and are one group; a text of fewer words than a shingle is one shingle; a very
 long text's hashes are held at once, 8 bytes a word; repeated rows share a group; no documents give no rows. Other
@@ -28,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sorrel.llm import simhash
-from sorrel.llm.common import by_batch, documents, mixed, pieces, raw, salted_join, shingle_hashes, spread, stored
+from sorrel.llm.common import by_batch, documents, frequent, hot_values, mixed, pieces, raw, salted_join, shingle_hashes, spread, stored
 from sorrel.llm.simhash import components, connected
 
 WIDTH, BANDS, ROWS, CHUNK = 5, 32, 5, 256
+_FLIP = -(1 << 63)  # turns the order of unsigned integers into that of signed ones
 _rng = np.random.default_rng(42)
 _XOR = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 _TIMES = _rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -108,15 +112,38 @@ def edges(docs: DataFrame, rows: DataFrame) -> DataFrame:
     close = components(simhash.edges(sims)).select(F.col("fp").alias("sim"), "root")
     root = F.xxhash64(F.coalesce("root", "sim"), F.lit("simhash"))
     distinct = distinct.join(close, "sim", "left").select("fp", F.concat("keys", F.array(root)).alias("keys"))
-    buckets = distinct.select("fp", F.explode("keys").alias("key")).groupBy("key").agg(F.sort_array(F.collect_set("fp")).alias("fps")).where("size(fps) > 1")
-    buckets = stored(buckets.select("fps", F.xxhash64("fps").alias("bucket")).dropDuplicates(["bucket"]), "buckets")  # the same sets meet in many bands
-    chunks = F.ceil(F.size("fps") / CHUNK).cast("int")
-    members = buckets.select("bucket", chunks.alias("chunks"), F.posexplode("fps").alias("pos", "fp")).withColumn("own", F.floor(F.col("pos") / CHUNK).cast("int"))
-    # Of two chunks or more each meets each other one, which compares a chunk with itself too.
-    other = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("own")))
-    members = members.withColumn("other", F.explode(other)).select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
+    keyed = stored(distinct.select("fp", F.explode("keys").alias("key")), "keyed")
+    # A bucket is a key with its number of sets, its first set and two sums that tell sets of sets apart; the same sets
+    # meet in many bands, and one of those buckets is kept.
+    sums = [F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit("again"))).alias("y")]
+    buckets = keyed.groupBy("key").agg(F.count("*").cast("int").alias("n"), F.min("fp").alias("pivot"), *sums).where("n > 1")
+    buckets = stored(buckets.groupBy("n", "pivot", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "pivot"), "buckets")
+    members = stored(salted_join(keyed, buckets, "key").withColumnRenamed("key", "bucket"), "members")
     sets = shingle_sets(docs).groupBy("fp").agg(F.first("data").alias("data"))
-    sets = stored(sets.join(buckets.select(F.explode("fps").alias("fp")).distinct(), "fp", "left_semi"), "sets")
+    sets = stored(sets.join(members.select("fp").distinct(), "fp", "left_semi"), "sets")
+    # Each set against the first of its bucket: near copies have the same first set in most bands, so these are few pairs
+    # for each set. Those that it links are connected by it; the others alone must meet all members of the bucket.
+    pairs = members.where("fp <> pivot").select("fp", "pivot").distinct()
+    firsts = sets.select(F.col("fp").alias("pivot"), F.col("data").alias("pivot_data"))
+    hot = hot_values(members.agg(*frequent("pivot")).first(), "pivot")
+    met = salted_join(pairs.join(sets, "fp"), firsts, "pivot", hot=hot, salt=F.xxhash64("fp"))
+
+    def against_first(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                near.append(18 * len(np.intersect1d(x, y, assume_unique=True)) >= 8 * (len(x) + len(y)))
+            yield {"fp": batch.column(0), "pivot": batch.column(1), "near": near}
+
+    tested = stored(by_batch(met.select("fp", "pivot", "data", "pivot_data"), against_first, "fp long, pivot long, near boolean"), "tested")
+    apart = members.where("n > 2").join(tested.where("not near").select("fp", "pivot"), ["fp", "pivot"], "left_semi")
+    apart = stored(apart, "apart")
+    parts = apart.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    alone = salted_join(apart, parts, "bucket").select("bucket", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("b"), "fp")
+    every = salted_join(members, parts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("a"), F.pmod(F.xxhash64("fp", F.lit("chunk")), chunks).cast("int").alias("b"), "fp")
+    groups = alone.unionByName(every).distinct()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         def settled() -> dict:
@@ -140,8 +167,10 @@ def edges(docs: DataFrame, rows: DataFrame) -> DataFrame:
         if held:
             yield settled()
 
-    dealt = members.join(sets, "fp").select("bucket", "a", "b", "fp", "data").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    return by_batch(dealt, compare, "u long, v long").distinct()
+    dealt = groups.join(sets, "fp").select("bucket", "a", "b", "fp", "data").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    u, v = (F.col(c).bitwiseXOR(F.lit(_FLIP)) for c in ("fp", "pivot"))
+    by_first = tested.where("near").select(F.greatest(u, v).bitwiseXOR(F.lit(_FLIP)).alias("u"), F.least(u, v).bitwiseXOR(F.lit(_FLIP)).alias("v"))
+    return by_batch(dealt, compare, "u long, v long").unionByName(by_first).distinct()
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
