@@ -20,6 +20,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
+        self.decoded: np.ndarray | None = None
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -83,9 +84,22 @@ class EliasFano:
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(i, True) - i) << self.low_bits) + self._low(i)
 
+    def values(self) -> np.ndarray:
+        """All elements, decoded at once."""
+        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little")) - np.arange(self.n)
+        return (high << self.low_bits) + self._low(np.arange(self.n))
+
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the first element that is not below x (n if none), and whether it equals x."""
+        """Index of the first element that is not below x (n if none), and whether it equals x.
+
+        For many x the sequence is decoded once, for few each one's bucket is searched.
+        """
         x = x.astype(np.int64)
+        if len(x) * 16 > self.n > 0:
+            if self.decoded is None:
+                self.decoded = self.values()
+            index = np.searchsorted(self.decoded, x)
+            return index, self.decoded[np.minimum(index, self.n - 1)] == x
         bucket, low = x >> self.low_bits, x & ((1 << self.low_bits) - 1)
         zeros = len(self.high) * 8 - self.n
         inside = bucket < zeros

@@ -44,7 +44,7 @@ from sorrel.llm.common import bucketed, by_batch, mixed, pieces, raw, stored, wo
 from sorrel.llm.elias_fano import SHARES, WORD, TrieLevel, memory_mapped, to_bytes
 
 #: Tokens of a block and of a shard; occurrences from which on a context is cut; words in an n-gram.
-BLOCK, SHARD, HOT, ORDER = 1 << 20, 1 << 21, 1 << 20, 3
+BLOCK, SHARD, HOT, ORDER = 1 << 20, 1 << 20, 1 << 20, 3
 UNKNOWN, BEGIN, FIRST = 0, 1, 2  # numbers below the words'
 
 
