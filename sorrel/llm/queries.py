@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sorrel.llm import bpe, language_model, licenses, media, packing, quality, simhash, sketch, token_store, toxicity
+from sorrel.llm import bpe, divergence, importance, language_id, language_model, licenses, media, oracles, packing, quality, simhash, sketch, token_store, toxicity
 from sorrel.llm.common import read_documents
 
 
@@ -59,6 +59,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_token_store, op3_byte_bpe, op4_lm_score, op5_fingerprints, op6_quality, op7_media, op8_simhash, op9_packing, op10_licenses)}
-#: No operator's full result can be expressed in SQL; each is tested against brute force, a round trip or held-out labels.
-ORACLES: dict[str, str] = {}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found = language_id.identify(docs, language_id.train(docs, ~held_out))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_documents(spark, sf_dir))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_token_store, op3_byte_bpe, op4_lm_score, op5_fingerprints, op6_quality, op7_media, op8_simhash, op9_packing, op10_licenses, op11_language_id, op12_divergence, op13_resampling)}
+#: The other operators' full results can't be expressed in SQL; each is tested against brute force, a round trip or held-out labels.
+ORACLES: dict[str, str] = {"op12_divergence": oracles.DIVERGENCE, "op13_resampling": oracles.RESAMPLING}
