@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 
@@ -155,3 +156,26 @@ def test_stages_equal_plain_versions(spark, sf_dir, odd_docs, rows, labels):
     assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in one.collect()) == Counter(first.values()) and one.columns == docs.columns
     pieces = corpus_pipeline.pack(spark, one, sf_dir)
     assert pieces.count() == packing.token_pieces(one, public_tokenizers.path("byte_bpe_50k.json")).count()
+
+
+def test_texts_of_any_length_are_media(spark):
+    text = "abcdefg " * (1 << 23) + "x"  # 64 MiB and a byte
+    docs = spark.createDataFrame([(1, "x" * 100)], "doc_id long, text string").union(spark.range(1).selectExpr("id", f"concat(repeat('abcdefg ', {1 << 23}), 'x')"))
+    got = {r["doc_id"]: r for r in media.store_and_read(docs).collect()}
+    payload = text.encode() + b"\xff" * (-len(text) % 576)
+    assert (got[0]["n_bytes"], got[0]["payload_bytes"], got[0]["payload_sha256"]) == (len(text), len(payload), hashlib.sha256(payload).hexdigest())
+    assert got[1]["n_bytes"] == 100
+
+
+def test_bands_change_no_tile(monkeypatch):
+    image = np.random.default_rng(1).integers(0, 256, (301, 24), np.uint8)
+    whole = media.area_resize(image, 24, 24)
+    monkeypatch.setattr(media, "BAND", 24 * 7)
+    assert (media.area_resize(image, 24, 24) == whole).all()
+    assert (media.decode(media.encode_bmp(image.tobytes())) == image).all() and media.decode(media.encode_pgm(image.tobytes())).tobytes() == image.tobytes()
+
+
+def test_columns_of_the_user_stay(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "a b c d e f g", "x", "p", "en"), (2, "a b c d e f g", "y", "q", "en"), (3, "other words are here now", "z", "r", "de")], "doc_id long, text string, _row string, row string, lang string")
+    got = corpus_pipeline.one_of_each(spark, docs, sf_dir)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} == {(1, "a b c d e f g", "x", "p", "en"), (3, "other words are here now", "z", "r", "de")}
