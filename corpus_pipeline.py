@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sorrel.llm import packing, quality, similar, toxicity
-from sorrel.llm.common import stored
+from sorrel.llm.common import free_name, stored
 
 #: A document whose quality score is lower goes; lower than the classifier's own cut, so that clean documents stay.
 KEEP_QUALITY = 0.3
@@ -20,29 +20,43 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject.
+
+    Null, empty and very long texts are scored as any; repeated rows and rows without an id are each judged by their own
+    text; a score that equals the cut stays; no documents give no rows; all columns stay, whatever their names.
+    """
     return quality.accepted(docs, _labels(spark, sf_dir), KEEP_QUALITY)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't flag."""
+    """Documents that the toxicity model doesn't flag.
+
+    Null, empty and very long texts are scored as any; repeated rows and rows without an id are each judged by their own
+    text; a chance that equals the cut goes; no documents give no rows; all columns stay, whatever their names.
+    """
     return toxicity.clean_rows(docs, toxicity.train(docs, _labels(spark, sf_dir)), DROP_TOXIC)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of a Jaccard similarity of 0.8 or more over five-word shingles connect.
 
-    The one with the smallest id stays, a null id after all others; of rows with equal ids the first in the table.
+    The one with the smallest id stays, a null id after all others; of rows with equal ids the first in the table. Null
+    and empty texts are one group; no documents give no rows; all columns stay as they are, whatever their names.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = similar.similar_documents(rows.select(F.col("_row").alias("doc_id"), "text"))
-    named = groups.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
-    return rows.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
+    row = free_name(docs, "row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = similar.similar_documents(rows.select(F.col(row).alias("doc_id"), "text"))
+    named = groups.select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, "doc_id"), row)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first"))
+    return rows.join(first.select(f"first.{row}"), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences."""
+    """The pieces of all documents with their sequences.
+
+    A null or empty text is one piece of the end id; very long texts are cut into pieces; repeated rows are packed each;
+    pieces of one length go to any of the places for it; no documents give no rows; other columns are ignored.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
