@@ -135,7 +135,7 @@ def fenced_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH u AS (SELECT event_type, sum(CAST(value AS DECIMAL(18,2))) AS own FROM events GROUP BY 1), t AS (SELECT sum(own) AS spent FROM u) SELECT event_type, CASE WHEN event_type = 'error' THEN 'paused' WHEN own + 50 > 20000 THEN 'own cap' WHEN spent + 50 > 90000 THEN 'total cap' ELSE 'go' END AS gate FROM u, t""")
 def budget_gates(spark: SparkSession, d: str) -> DataFrame:
-    """INC24, INC23: may an agent spend 50 more: not while paused, not over its own cap or that of all; one row an agent."""
+    """INC24: may an agent spend 50 more (calls one after another are `admitted_calls`): not while paused, not over its own cap or that of all; one row an agent."""
     own = table(spark, d, "events").groupBy("event_type").agg(F.sum(money("value")).alias("own"))
     spent = F.sum("own").over(Window.partitionBy(F.lit(1)))  # a row an agent
     rows = own.withColumn("spent", spent)

@@ -85,7 +85,7 @@ def stacked_series(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT event_id, CAST(running AS DOUBLE) AS running FROM (SELECT event_id, sum(CAST(value AS DECIMAL(18,2))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS running FROM events) WHERE running <= 2500""")
 def admitted_within_budget(spark: SparkSession, d: str) -> DataFrame:
-    """INC23, INC24, ADD47: rows admitted while the running sum of their key stays within the budget."""
+    """ADD47: rows up to the one at which the running sum of their key leaves the budget; refused calls that cost nothing are in `admitted_calls`."""
     e = table(spark, d, "events").withColumn("amount", money("value"))
     return R.running_budget(e, ["user_id"], ["ts", "event_id"], "amount", 2500).select("event_id", F.col("running").cast("double").alias("running"))
 
