@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sorrel.llm.common import by_batch, pieces, stored
+from sorrel.llm.common import by_batch, pieces, salted_join, stored
 
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 _GAP = re.compile(rb"[^a-z\x80-\xff]")
@@ -84,7 +84,7 @@ def kept_terms(counts: DataFrame, least: int) -> DataFrame:
     """lang, term, chunk, position and the language's count of the terms that at least `least` documents of it hold."""
     terms = counts.where(F.col("term").isNotNull()).groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("held").alias("held")).where(F.col("held") >= least).drop("held")
     sizes = terms.groupBy("lang").agg(F.count("*").alias("size"), F.sum("lang_n").alias("lang_total"))
-    terms = terms.join(sizes, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.ceil(F.col("size") / CHUNK)).cast("int"))
+    terms = salted_join(terms, sizes, "lang", salt=F.xxhash64("term")).withColumn("chunk", F.pmod(F.xxhash64("term"), F.ceil(F.col("size") / CHUNK)).cast("int"))
     return terms.withColumn("position", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1)
 
 
