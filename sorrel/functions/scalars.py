@@ -102,6 +102,24 @@ def bigrams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(plain) - 1, F.lit(1))), lambda i: F.substring(plain, i, F.lit(2))))
 
 
+#: White space and marks that don't count when texts are compared.
+_MARKS = r"[ \t\n\r\f\x0b\u00a0\u3000、。，．,.「」『』（）()・:：;；]"
+
+
+def plain_letters(text: Column) -> Column:
+    """A text without case, white space and marks."""
+    return F.regexp_replace(F.lower(text), _MARKS, "")
+
+
+def letter_pairs(text: Column) -> Column:
+    """Distinct pairs of neighbouring characters without case, white space and marks; a shorter text is its own one pair."""
+    letters = F.split(plain_letters(text), "")
+    n = F.greatest(F.size(letters) - 1, F.lit(1))
+    # Neighbours are put side by side first: an expression within a lambda runs again for each element.
+    both = F.arrays_zip(F.slice(letters, F.lit(1), n), F.slice(letters, F.lit(2), n))
+    return F.array_distinct(F.transform(both, lambda p: F.concat(p["0"], F.coalesce(p["1"], F.lit("")))))
+
+
 def bigram_jaccard(a: Column, b: Column) -> Column:
     x, y = bigrams(a), bigrams(b)
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))

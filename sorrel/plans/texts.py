@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sorrel.functions import scalars as S
 from sorrel.functions.unicode import plain_form, search_key
+from sorrel.operators import setjoin
 from sorrel.operators.claims import check_numbers, extract_claims
 from sorrel.operators.overlap import longest_runs
 from sorrel.plans.metrics import money
@@ -46,12 +47,24 @@ def claim_verdicts(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), g AS (SELECT name, list_distinct(list_transform(generate_series(1, greatest(length(p) - 1, 1)), lambda i: p[i:i+1])) AS g FROM (SELECT name, replace(name, ' ', '') AS p FROM n)),
 s AS (SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.g, b.g)) / CAST(len(list_distinct(a.g || b.g)) AS DOUBLE), 6) AS similarity FROM g a JOIN g b ON a.name < b.name) SELECT * FROM s WHERE similarity >= 0.4""")
 def similar_names(spark: SparkSession, d: str) -> DataFrame:
-    """STR16: pairs of names that share 0.4 of their pairs of characters or more; found by the pairs that they share, counted before they leave a task."""
-    n = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("g", S.bigrams(F.col("name")))
-    grams = n.select("name", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    a, b = grams.select(F.col("name").alias("a"), F.col("n").alias("na"), "gram"), grams.select(F.col("name").alias("b"), F.col("n").alias("nb"), "gram")
-    common = a.join(b, "gram").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
-    return common.select("a", "b", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("similarity")).where("similarity >= 0.4")
+    """STR16: names of which two share 0.4 of their pairs of characters or more."""
+    n = table(spark, d, "part").select(F.col("p_name").alias("a")).distinct().withColumn("g", S.bigrams(F.col("a")))
+    pairs = setjoin.similar_pairs(n, n.withColumnRenamed("a", "b"), "a", "b", "g", 0.4)
+    return pairs.where("a < b").select("a", "b", F.round("similarity", 6).alias("similarity")).where("similarity >= 0.4")
+
+
+#: Distinct pairs of characters of a text, as `letter_pairs` gives them.
+PAIRS = "list_distinct(list_transform(range(1, greatest(length(p) - 1, 1) + 1), lambda i: p[i:i + 1]))"
+PLAIN = "regexp_replace(lower(text), '[ \\t\\n\\r\\f\\x{0B}\\x{A0}\\x{3000}、。，．,.「」『』（）()・:：;；]', '', 'g')"
+
+
+@query(f"""WITH t AS (SELECT DISTINCT conv_id, turn, role, {PLAIN} AS p FROM conversations), g AS (SELECT DISTINCT md5(p) AS id, {PAIRS} AS g FROM t WHERE p <> '')
+SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.g, b.g)) / CAST(len(list_distinct(a.g || b.g)) AS DOUBLE), 6) AS similarity FROM g AS a JOIN g AS b ON a.id < b.id AND len(list_intersect(a.g, b.g)) >= 0.8 * len(list_distinct(a.g || b.g))""")
+def similar_turns(spark: SparkSession, d: str) -> DataFrame:
+    """STR16: distinct texts of conversations, whole, of which two share at least four fifths of their pairs of characters."""
+    t = table(spark, d, "conversations").select(S.plain_letters(F.col("text")).alias("p")).where("p <> ''").distinct()
+    t = t.select(F.md5("p").alias("a"), S.letter_pairs(F.col("p")).alias("g"))
+    return setjoin.similar_pairs(t, t.withColumnRenamed("a", "b"), "a", "b", "g", 0.8).where("a < b").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query(r"""SELECT conv_id, turn, CAST(length(regexp_replace(text, 'https?://[^\s]+', repeat('x', 23), 'g')) AS BIGINT) AS post, CAST(len(regexp_extract_all(regexp_replace(text, 'https?://[^\s]+', '', 'g'), '#[A-Za-z0-9_]+')) AS BIGINT) AS tags, sha1_prefix AS print FROM (SELECT *, substr(sha1(role || ':' || text), 1, 10) AS sha1_prefix FROM conversations)""")

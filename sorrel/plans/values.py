@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from sorrel.functions import scalars as S
 from sorrel.operators import relational as R
+from sorrel.operators import setjoin
 from sorrel.plans.metrics import money
 from sorrel.plans.registry import query
+from sorrel.plans.texts import PAIRS, PLAIN
 from sorrel.sources.tables import table
 
 
@@ -123,28 +125,37 @@ def assigned_customers(spark: SparkSession, d: str) -> DataFrame:
 query(None)(assigned_customers)
 
 
-def assigned_points(spark: SparkSession, d: str) -> DataFrame:
-    """JON15, STR16: points and claims of a conversation paired one to one by common pairs of characters, best first, from 0.15 on; leftovers of both sides stay; claims against points first, then by side and place. Without SQL, as each choice depends on those before."""
-    c = table(spark, d, "conversations").withColumn("g", S.bigrams(F.substring("text", 1, 200)))
-    p = c.where("role = 'user'").groupBy("conv_id", F.col("turn").alias("point")).agg(F.first("g").alias("gp"))
-    q = c.where("role = 'assistant'").groupBy("conv_id", F.col("turn").alias("claim")).agg(F.first("g").alias("gq"))
-    score = F.size(F.array_intersect("gp", "gq")) / F.size(F.array_union("gp", "gq"))
-    pairs = R.greedy_pairs(p.join(q, "conv_id").withColumn("score", score), "conv_id", "point", "claim", "score", 0.15)
-    met = p.select("conv_id", "point").join(pairs, ["conv_id", "point"], "left").select("conv_id", "point", "claim", "score")
-    alone = q.select("conv_id", "claim").join(pairs.select("conv_id", "claim"), ["conv_id", "claim"], "left_anti").select("conv_id", F.lit(None).cast("bigint").alias("point"), "claim", F.lit(None).cast("double").alias("score"))
-    rows = met.unionByName(alone)
-    return rows.orderBy("conv_id", F.when(F.col("score").isNotNull(), 0).when(F.col("claim").isNotNull(), 1).otherwise(2), "point", "claim")
+def _turns(spark: SparkSession, d: str, role: str, key: str) -> DataFrame:
+    """A role's turns with their pairs of characters; of several texts of a turn the first in order counts."""
+    c = table(spark, d, "conversations").where(F.col("role") == role).groupBy("conv_id", F.col("turn").cast("bigint").alias(key)).agg(F.min("text").alias("text"))
+    return c.select("conv_id", key, S.letter_pairs(F.col("text")).alias("g"))
+
 
+_TURNS = f"t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, {PLAIN} AS p FROM (SELECT conv_id, turn, role, min(text) AS text FROM conversations GROUP BY ALL)), g AS (SELECT *, {PAIRS} AS g FROM t), s AS (SELECT a.conv_id, a.turn AS i, b.turn AS j, len(list_intersect(a.g, b.g)) / CAST(len(list_distinct(a.g || b.g)) AS DOUBLE) AS score FROM g AS a JOIN g AS b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant')"
 
-query(None)(assigned_points)
+
+@query(f"""WITH RECURSIVE {_TURNS},
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, i, j) AS k FROM s WHERE score >= 0.15),
+f AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS points, CAST([] AS BIGINT[]) AS claims, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS j, CAST(NULL AS DOUBLE) AS score FROM t
+  UNION ALL
+  SELECT f.conv_id, r.k, CASE WHEN free THEN list_append(f.points, r.i) ELSE f.points END, CASE WHEN free THEN list_append(f.claims, r.j) ELSE f.claims END, CASE WHEN free THEN r.i END, CASE WHEN free THEN r.j END, r.score
+  FROM f JOIN r ON r.conv_id = f.conv_id AND r.k = f.k + 1, LATERAL (SELECT NOT list_contains(f.points, r.i) AND NOT list_contains(f.claims, r.j) AS free)),
+m AS (SELECT conv_id, i AS point, j AS claim, round(score, 9) AS score FROM f WHERE i IS NOT NULL)
+SELECT * FROM m UNION ALL SELECT conv_id, turn, NULL, NULL FROM t WHERE role = 'user' AND (conv_id, turn) NOT IN (SELECT (conv_id, point) FROM m)
+UNION ALL SELECT conv_id, NULL, turn, NULL FROM t WHERE role = 'assistant' AND (conv_id, turn) NOT IN (SELECT (conv_id, claim) FROM m)""")
+def assigned_points(spark: SparkSession, d: str) -> DataFrame:
+    """JON15, STR16: points and claims of a conversation paired one to one by common pairs of characters of their whole texts, best first, from 0.15 on; leftovers of both sides stay."""
+    p, q = _turns(spark, d, "user", "point"), _turns(spark, d, "assistant", "claim")
+    pairs = setjoin.assigned(p, q, "point", "claim", "g", 0.15, "conv_id")
+    met = p.select("conv_id", "point").join(pairs, ["conv_id", "point"], "left").select("conv_id", "point", "claim", F.round("similarity", 9).alias("score"))
+    alone = q.select("conv_id", "claim").join(pairs.select("conv_id", "claim"), ["conv_id", "claim"], "left_anti")
+    return met.unionByName(alone.select("conv_id", F.lit(None).cast("bigint").alias("point"), "claim", F.lit(None).cast("double").alias("score")))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, min(role) AS role, max(length(text)) AS n FROM conversations GROUP BY 1, 2), s AS (SELECT a.conv_id, a.turn AS error, arg_max(b.turn, struct_pack(s := 1.0 / (1 + abs(a.n - b.n)), k := -b.turn)) AS claim, max(1.0 / (1 + abs(a.n - b.n))) AS best FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant' GROUP BY 1, 2)
-SELECT conv_id, error, CASE WHEN best >= 0.01 THEN claim END AS claim FROM s""")
+@query(f"""WITH {_TURNS} SELECT conv_id, turn AS error, (SELECT s.j FROM s WHERE s.conv_id = t.conv_id AND s.i = t.turn AND score >= 0.15 ORDER BY score DESC, j LIMIT 1) AS claim FROM t WHERE role = 'user'""")
 def best_matches(spark: SparkSession, d: str) -> DataFrame:
-    """AGG23: the most similar claim (here by length) for each error of the same document, if it is similar enough."""
-    t = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.max(F.length("text")).alias("n"))
-    a, b = t.where("role = 'user'").select("conv_id", F.col("turn").alias("error"), F.col("n").alias("na")), t.where("role = 'assistant'").select("conv_id", F.col("turn").alias("k"), F.col("n").alias("nb"))
-    s = a.join(b, "conv_id").withColumn("s", F.lit(1.0) / (1 + F.abs(F.col("na") - F.col("nb"))))
-    best = s.groupBy("conv_id", "error").agg(F.max_by("k", F.struct("s", -F.col("k"))).alias("claim"), F.max("s").alias("best"))
-    return best.select("conv_id", "error", F.when(F.col("best") >= 0.01, F.col("claim")).alias("claim"))
+    """AGG23, STR16: for each error the most similar claim of the same document by common pairs of characters, if there is one from 0.15 on."""
+    errors = _turns(spark, d, "user", "error")
+    best = setjoin.best_matches(errors, _turns(spark, d, "assistant", "claim"), "error", "claim", "g", 0.15, ["conv_id"])
+    return errors.select("conv_id", "error").join(best.select("conv_id", "error", "claim"), ["conv_id", "error"], "left")
