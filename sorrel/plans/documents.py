@@ -19,6 +19,7 @@ from sorrel.operators import facts as X
 from sorrel.operators import overlap, restate
 from sorrel.plans.metrics import money
 from sorrel.plans.registry import query
+from sorrel.plans.texts import WINDOWS
 from sorrel.session import kept, new_folder
 from sorrel.sources import archives
 from sorrel.sources.tables import table
@@ -248,9 +249,10 @@ def chosen_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return M.rows_by(docs, "doc_id", "text", "paragraph int, length int, missed boolean", rows)
 
 
-@query(None)
+@query(f"""WITH {WINDOWS}, hits AS (SELECT DISTINCT item_id, i FROM xw SEMI JOIN yw USING (w)), marked AS (SELECT item_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY item_id ORDER BY i) <= 30 THEN 0 ELSE 1 END AS new FROM hits), parts AS (SELECT item_id, i, sum(new) OVER (PARTITION BY item_id ORDER BY i) AS part FROM marked)
+SELECT item_id, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS end, p[a + 1:b] AS text FROM (SELECT item_id, min(i) AS a, max(i) + 30 AS b FROM parts GROUP BY item_id, part) JOIN x USING (item_id)""")
 def reprinted_spans(spark: SparkSession, d: str) -> DataFrame:
-    """STR07, STR08, STR06: the parts of each benchmark text of 30 characters or more that any document holds; without SQL, as in `reprinted_items`."""
+    """STR07, STR08: the parts of each benchmark text of 30 characters or more that any document holds; parts that touch are one."""
     return overlap.shared_spans(table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id")
 
 

@@ -104,7 +104,14 @@ def compatible_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.length(plain_form(F.col("text"))).cast("bigint").alias("n"), F.length(search_key(F.col("text"))).cast("bigint").alias("n_search"))
 
 
-@query(None)
+#: Windows of 30 letters of both sides in their plain form, and where the items' stand in documents.
+WINDOWS = r"""x AS (SELECT item_id, regexp_replace(regexp_replace(coalesce(text, ''), '\[S[0-9]+\]', '', 'g'), '[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]', '', 'g') AS p FROM benchmark), y AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\[S[0-9]+\]', '', 'g'), '[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]', '', 'g') AS p FROM documents),
+xw AS (SELECT item_id, i, p[i + 1:i + 30] AS w FROM (SELECT item_id, p, unnest(range(length(p) - 29)) AS i FROM x)), yw AS (SELECT doc_id, j, p[j + 1:j + 30] AS w FROM (SELECT doc_id, p, unnest(range(length(p) - 29)) AS j FROM y))"""
+
+
+@query(f"""WITH {WINDOWS}, met AS (SELECT item_id, doc_id, i, i - j AS d FROM xw JOIN yw USING (w)), runs AS (SELECT item_id, doc_id, d, i - row_number() OVER (PARTITION BY item_id, doc_id, d ORDER BY i) AS run FROM met),
+best AS (SELECT item_id, max(n) AS longest FROM (SELECT item_id, count(*) + 29 AS n FROM runs GROUP BY item_id, doc_id, d, run) GROUP BY 1)
+SELECT item_id, CAST(coalesce(longest, 0) AS INTEGER) AS longest, longest IS NOT NULL AS failed FROM benchmark LEFT JOIN best USING (item_id)""")
 def reprinted_items(spark: SparkSession, d: str) -> DataFrame:
     """STR06, STR09, STR10, AGG13: the longest run of 30 or more characters that each benchmark text shares with any document."""
     return longest_runs(table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id")

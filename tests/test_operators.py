@@ -25,7 +25,9 @@ def plain_longest(a: str, b: str) -> int:
     return best
 
 
-def test_longest_runs_equal_brute_force(spark):
+@pytest.mark.parametrize("most", [overlap.WINDOWS, 0])
+def test_longest_runs_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(overlap, "WINDOWS", most)
     rng = random.Random(5)
     base = "".join(rng.choice("abcdefghij") for _ in range(3000))
     sources = [(k, "".join(rng.choice("klmnop") for _ in range(50)) + base[a : a + n] + " tail") for k, (a, n) in enumerate([(0, 29), (100, 30), (300, 31), (500, 200), (900, 64), (1200, 0)])]
@@ -38,6 +40,20 @@ def test_longest_runs_equal_brute_force(spark):
     assert best[0] == (0, False) and best[1] == (30, True) and best[9] == (0, False)
 
 
+def test_a_line_that_all_texts_hold_is_one_fragment(spark):
+    """Drafts and sources that share one line make no row for each pair of them."""
+    line = "this line stands in each and every one of all these texts"
+    a = spark.range(300).select(F.col("id").alias("draft"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit(line), F.sha2((-F.col("id")).cast("string"), 256)).alias("text"))
+    x, y = overlap.fragments(a, a.select((F.col("draft") + 1000).alias("source"), F.concat(F.upper(F.sha2("text", 256)), F.lit(f"-{line}-"), F.upper(F.sha2("text", 224))).alias("text")), "draft", "source", 30)
+    assert x.select("text").distinct().count() < 10 and y.select("text").distinct().count() < 10 and x.select("draft").distinct().count() == 300
+
+
+def test_a_mark_within_a_mark(spark):
+    a = spark.createDataFrame([(1, "[S[S1]2]" + "abcdefghij" * 4)], "draft int, text string")
+    got = overlap.longest_runs(a, a.withColumnRenamed("draft", "source"), "draft", "source").first()
+    assert got["longest"] == 44
+
+
 def test_width_and_space_are_ignored(spark):
     a = spark.createDataFrame([(1, "ＡＢＣ " + "d e f " * 10)], "draft int, text string")
     b = spark.createDataFrame([(1, "ABC" + "def" * 10)], "source int, text string")
