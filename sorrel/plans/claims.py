@@ -89,3 +89,20 @@ def dictionary_words(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     parts = [p.select(F.lower("p_name").alias("word")), p.select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")), table(spark, d, "nation").select(F.lower("n_name").alias("word")), table(spark, d, "supplier").select(F.lower("s_name").alias("word"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).where("word <> ''").distinct()
+
+
+@query("""WITH w AS (SELECT o_orderkey, o_orderstatus AS s, CASE WHEN o_orderkey % 2 = 0 THEN replace(c_name, '#', '') ELSE replace(s_name, '#', '') END AS name FROM orders JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = o_custkey % (SELECT count(*) FROM supplier))
+SELECT o_orderkey, 6 AS place, CASE s WHEN 'O' THEN left(name, length(name) - 1) || 'x' ELSE left(name, 3) || substr(name, 5) END AS form FROM w WHERE s <> 'F'""")
+def misspelt_names(spark: SparkSession, d: str) -> DataFrame:
+    """STR12: names with one wrong letter in texts, by a dictionary table of all customers', suppliers' and parts' names.
+
+    An order's text names its customer or a supplier: rightly, with another last letter, or with a letter left out, by its
+    status.
+    """
+    c, s, p = (table(spark, d, t) for t in ("customer", "supplier", "part"))
+    plain = lambda x: F.replace(x, F.lit("#"), F.lit(""))
+    words = c.select(plain(F.col("c_name")).alias("word")).unionByName(s.select(plain(F.col("s_name")).alias("word"))).unionByName(p.select(F.col("p_name").alias("word")))
+    o = table(spark, d, "orders").join(c, F.col("c_custkey") == F.col("o_custkey")).withColumn("place_", F.col("o_custkey") % s.count())
+    o = o.join(s, F.col("s_suppkey") == F.col("place_")).withColumn("name", plain(F.when(F.col("o_orderkey") % 2 == 0, F.col("c_name")).otherwise(F.col("s_name"))))
+    said = F.when(F.col("o_orderstatus") == "O", F.concat(F.expr("left(name, length(name) - 1)"), F.lit("x"))).when(F.col("o_orderstatus") == "F", F.col("name")).otherwise(F.concat(F.expr("left(name, 3)"), F.expr("substring(name, 5)")))
+    return factcheck.misspelt(o.select("o_orderkey", F.concat(F.lit("Order "), said, F.lit(" of parts")).alias("text")), "o_orderkey", "text", words)

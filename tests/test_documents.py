@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import random
+import re
 import shutil
 import subprocess
 import sys
@@ -38,7 +39,7 @@ def plain_misspelt(text, words):
         for n in (len(w) - 1, len(w), len(w) + 1) if len(w) >= 4 else ():
             for p in range(len(text) - n + 1):
                 c = text[p : p + n]
-                if (c[:2] == w[:2] or c[-2:] == w[-2:]) and distance(c, w) == 1 and w not in c and factcheck._WORDLIKE(c) and not any(a <= p and p + n <= b for a, b in exact):
+                if (c[:2] == w[:2] or c[-2:] == w[-2:]) and distance(c, w) == 1 and w not in c and re.fullmatch(factcheck.WORDLIKE, c) and not any(a <= p and p + n <= b for a, b in exact):
                     found.add((p, c))
     out = []
     for p, c in sorted(found, key=lambda x: (-len(x[1]), x[0])):
@@ -47,9 +48,12 @@ def plain_misspelt(text, words):
     return sorted(out)
 
 
-def test_misspelt_names_equal_brute_force():
+@pytest.mark.parametrize("most", [factcheck.SIGNS, 0])
+def test_misspelt_names_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(factcheck, "SIGNS", most)
     draw = random.Random(1)
-    words = ["alphabet", "betagam", "gamma", "del", "東京電子工業"]
+    words = ["alphabet", "betagam", "gamma", "del", "東京電子工業", "two words"]
+    texts = []
     for _ in range(300):
         parts = []
         for _ in range(4):
@@ -58,11 +62,21 @@ def test_misspelt_names_equal_brute_force():
                 k = draw.randrange(len(w))
                 w[k : k + 1] = draw.choice([[], [w[k], "x"], ["y"]])
             parts.append("".join(w))
-        text = draw.choice([" ", "", "、"]).join(parts)
-        assert factcheck.misspelt(text, words) == plain_misspelt(text, words), text
-    for _ in range(500):
-        a, b = ("".join(draw.choices("abc", k=draw.randrange(6))) for _ in range(2))
-        assert factcheck.one_edit(a, b) == (distance(a, b) == 1)
+        texts.append(draw.choice([" ", "", "、"]).join(parts))
+    df = spark.createDataFrame([*enumerate(texts), (-1, None), (-2, "")], "doc int, text string")
+    got: dict = {}
+    for r in factcheck.misspelt(df, "doc", "text", words).collect():
+        got.setdefault(r["doc"], []).append((r["place"], r["form"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, t in enumerate(texts) if (v := plain_misspelt(t, words))}
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_near_words_equal_all_distances(spark, most):
+    draw = random.Random(4)
+    words = sorted({"".join(draw.choices("abc", k=draw.randrange(1, 6))) for _ in range(60)})
+    forms = sorted({"".join(draw.choices("abc", k=draw.randrange(6))) for _ in range(60)})
+    got = factcheck.near_words(spark.createDataFrame([(f,) for f in forms], "form string"), spark.createDataFrame([(w,) for w in words], "word string"), most).collect()
+    assert {tuple(r) for r in got} == {(f, w, d) for f in forms for w in words if (d := distance(f, w)) <= most}
 
 
 SOURCE = "2025年12月期の売上収益は12,345億円となり、従業員数は5,000人です。営業利益 54,321百万円。設立は1998年4月1日。"
@@ -91,7 +105,7 @@ def test_claims_have_verdicts(verdicts):
 
 
 def test_labels_end_at_stops_and_lose_particles():
-    rows = factcheck.claim_rows("前期の売上高は100億円、うち（国内）は30億円", [])
+    rows = factcheck.claim_rows("前期の売上高は100億円、うち（国内）は30億円")
     assert [(r[1], r[6]) for r in rows if r[0] == "number"] == [("100億円", "前期の売上高"), ("30億円", "")]
 
 
