@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sorrel.functions import markup as M
+from sorrel.functions import paragraphs as P
 from sorrel.operators import facts as X
 from sorrel.operators import overlap, restate
 from sorrel.plans.metrics import money
@@ -218,35 +219,39 @@ def listed_bundles(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey").cast("string")
     ids = F.udf(lambda t: ",".join(M.listed_ids(t, "原資料束")), "string", useArrow=True)
     feeds = F.udf(lambda t: ",".join(M.feed_addresses(t, "https://a.example/x")), "string", useArrow=True)
-    printed = F.udf(lambda t: "|".join(M.page_lines_to_paragraphs(t)), "string", useArrow=True)
-    return table(spark, d, "part").select("p_partkey", ids(F.concat(F.lit("## 他\n`no`\n## 原資料束\n`b-"), k, F.lit("` と `c-1`\n`b-"), k, F.lit("`\n## 次\n`z`"))).alias("ids"), feeds(F.concat(F.lit("<link rel='alternate' type='application/rss+xml' href='/feed/"), k, F.lit("'><link rel='icon' href='/i'>"))).alias("feeds"), printed(F.concat(F.lit("半導\n体の"), F.col("p_name"), F.lit("。\nnext\nline"))).alias("printed"))
+    return table(spark, d, "part").select("p_partkey", ids(F.concat(F.lit("## 他\n`no`\n## 原資料束\n`b-"), k, F.lit("` と `c-1`\n`b-"), k, F.lit("`\n## 次\n`z`"))).alias("ids"), feeds(F.concat(F.lit("<link rel='alternate' type='application/rss+xml' href='/feed/"), k, F.lit("'><link rel='icon' href='/i'>"))).alias("feeds"), F.array_join(P.printed_paragraphs(F.concat(F.lit("半導\n体の"), F.col("p_name"), F.lit("。\nnext\nline"))), "|").alias("printed"))
 
 
 @query("""SELECT p_partkey, p_name || ' テスト' AS text FROM part""")
 def decoded_pages(spark: SparkSession, d: str) -> DataFrame:
     """STR23, ADD29, ADD49, SRC17: bytes decoded by the declared encoding, the page's own, or the first that fits."""
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for k, t in zip(frame["p_partkey"], frame["text"], strict=True):
-                name = ["utf-8", "cp932", "euc-jp", "utf-16"][k % 4]
-                declared = {2: "text/html; charset=euc-jp", 3: "text/html; charset=utf-16"}.get(k % 4, "")
-                out.append((k, M.decoded(t.encode(name), declared)))
-            yield pd.DataFrame(out, columns=["p_partkey", "text"])
-
-    return table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(" テスト")).alias("text")).mapInPandas(work, "p_partkey bigint, text string")
-
-
-@query(None)
+    which, text = F.col("p_partkey") % 4, F.concat("p_name", F.lit(" テスト"))
+    rows = table(spark, d, "part").select("p_partkey", written(text, which).alias("data"), F.when(which == 2, "text/html; charset=euc-jp").when(which == 3, "text/html; charset=utf-16").alias("type"))
+    return rows.select("p_partkey", P.decoded(F.col("data"), F.col("type")).alias("text"))
+
+
+@F.pandas_udf("binary")
+def written(text: pd.Series, which: pd.Series) -> pd.Series:
+    """Texts as bytes of one of four encodings."""
+    return pd.Series([t.encode(("utf-8", "cp932", "euc-jp", "utf-16")[k]) for t, k in zip(text, which, strict=True)])
+
+
+@query(r"""WITH p AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS ps FROM documents),
+m AS (SELECT doc_id, ps, list_transform(ps, lambda t: regexp_matches(lower(t), '(^|[^a-z0-9])(the|und|que)($|[^a-z0-9])')) AS hit FROM p),
+o AS (SELECT doc_id, ps, hit, NOT list_contains(hit, true) AS missed FROM m),
+r AS (SELECT doc_id, missed, list_sort(list_filter(list_transform(range(1, len(ps) + 1), lambda i: CASE
+  WHEN missed THEN struct_pack(turn := 0, ord := i, cut := 1, place := i - 1, n := length(ps[i]))
+  WHEN hit[i] THEN struct_pack(turn := 0, ord := i, cut := 200, place := i - 1, n := length(ps[i]))
+  WHEN i > 1 AND hit[i - 1] THEN struct_pack(turn := 1, ord := 2 * (i - 1) - 1, cut := 2147483647, place := i - 1, n := length(ps[i]))
+  WHEN i < len(ps) AND hit[i + 1] THEN struct_pack(turn := 1, ord := 2 * (i - 1) + 2, cut := 2147483647, place := i - 1, n := length(ps[i])) END), lambda x: x IS NOT NULL)) AS turns FROM o),
+f AS (SELECT doc_id, missed, list_reduce(turns, lambda s, x: CASE WHEN x.n <= s.room THEN struct_pack(room := s.room - x.n, kept := list_append(s.kept, struct_pack(place := x.place, n := x.n))) WHEN s.room >= x.cut THEN struct_pack(room := CAST(0 AS BIGINT), kept := list_append(s.kept, struct_pack(place := x.place, n := s.room))) ELSE s END,
+  struct_pack(room := CAST(CASE WHEN missed THEN 1500 ELSE 6000 END AS BIGINT), kept := CAST([] AS STRUCT(place BIGINT, n BIGINT)[]))) AS s FROM r)
+SELECT doc_id, CAST(k.place AS INTEGER) AS paragraph, CAST(k.n AS INTEGER) AS length, missed FROM (SELECT doc_id, missed, unnest(s.kept) AS k FROM f)""")
 def chosen_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """STR24, STR25: of each document's lines those with the words first, their neighbours next, under a budget of characters; without SQL, as what is left out frees no room in a running sum."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-
-    def rows(text: str) -> list[tuple]:
-        kept, missed = M.chosen_paragraphs([x for x in text.split("\n") if x], ["the", "und", "que"])
-        return [(at, len(t), missed) for at, t in kept]
-
-    return M.rows_by(docs, "doc_id", "text", "paragraph int, length int, missed boolean", rows)
+    """STR24, STR25: of each document's lines those with the words first, their neighbours next, under a budget of characters."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != "")
+    chosen = P.under_budget(table(spark, d, "documents").select("doc_id", lines.alias("lines")), "lines", ["the", "und", "que"])
+    return chosen.select("doc_id", F.explode("kept").alias("k"), "missed").select("doc_id", F.col("k.place").alias("paragraph"), F.length("k.text").alias("length"), "missed")
 
 
 @query(f"""WITH {WINDOWS}, hits AS (SELECT DISTINCT item_id, i FROM xw SEMI JOIN yw USING (w)), marked AS (SELECT item_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY item_id ORDER BY i) <= 30 THEN 0 ELSE 1 END AS new FROM hits), parts AS (SELECT item_id, i, sum(new) OVER (PARTITION BY item_id ORDER BY i) AS part FROM marked)

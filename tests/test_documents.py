@@ -17,6 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sorrel.functions import markup as M
+from sorrel.functions import paragraphs as P
 from sorrel.operators import factcheck, overlap, restate
 from sorrel.operators import relational as R
 from sorrel.sources import archives
@@ -204,13 +205,30 @@ def test_places_equal_a_window(spark):
     assert got == {(r["k"], r["place"]) for r in df.select("k", F.row_number().over(by).alias("place")).collect()}
 
 
-def test_paragraphs_under_a_budget():
+def test_paragraphs_under_a_budget(spark):
+    def chosen(paragraphs, words, keep=6000):
+        row = P.under_budget(spark.createDataFrame([(paragraphs,)], "p array<string>"), "p", words, keep).first()
+        return [tuple(k) for k in row["kept"]], row["missed"]
+
     text = ["a" * 300, "Tool word", "b" * 500, "c" * 200, "another tool", "d" * 10]
-    kept, missed = M.chosen_paragraphs(text, ["tool"], keep=300)
-    assert (kept, missed) == ([(1, "Tool word"), (3, "c" * 200), (4, "another tool"), (5, "d" * 10)], False)  # what doesn't fit frees room for others
-    assert M.chosen_paragraphs(["x" * 1000, "y" * 1000], ["none"]) == ([(0, "x" * 1000), (1, "y" * 500)], True)
-    assert M.chosen_paragraphs(["tool " * 200], ["tool"], keep=250) == ([(0, "tool " * 50)], False)
-    assert M.matcher(["EDA"])("an eda tool") and not M.matcher(["EDA"])("freda") and M.matcher(["半導 体"])("半 導体")
+    assert chosen(text, ["tool"], 300) == ([(1, "Tool word"), (3, "c" * 200), (4, "another tool"), (5, "d" * 10)], False)  # what doesn't fit frees room for others
+    assert chosen(["x" * 1000, "y" * 1000], ["none"]) == ([(0, "x" * 1000), (1, "y" * 500)], True)
+    assert chosen(["tool " * 200], ["tool"], 250) == ([(0, "tool " * 50)], False)
+    assert chosen([], ["tool"]) == ([], True) and chosen(["", "tool", ""], ["tool"]) == ([(1, "tool")], False)
+
+
+def test_words_of_any_width(spark):
+    cases = [("an eda tool", ["EDA"], True), ("freda", ["EDA"], False), ("半 導体", ["半導 体"], True), ("ＥＤＡ！", ["eda"], True), ("x  y", ["x y"], True), ("a", [], False)]
+    for text, words, want in cases:
+        assert spark.createDataFrame([(text,)], "t string").select(P.holds_word(F.col("t"), words)).first()[0] == want
+
+
+def test_printed_lines_and_encodings(spark):
+    df = spark.createDataFrame([("半導\r\n体の x。\nnext \n line\n\n\nz\nlast！\n",), ("",), (None,)], "t string").select(P.printed_paragraphs(F.col("t")).alias("p"))
+    assert [r["p"] for r in df.collect()] == [["半導体の x。", "next line", "z last！"], [], None]
+    pages = [("日本".encode("euc-jp"), "text/html; charset=EUC-JP", "日本"), ("日本①".encode("cp932"), None, "日本①"), (b"<meta charset='shift_jis'>" + "①".encode("cp932"), "", "<meta charset='shift_jis'>①"), ("é".encode(), "charset=no-such", "é"), (None, "", None), (b"", "", "")]
+    df = spark.createDataFrame(pages, "b binary, c string, want string").select(P.decoded(F.col("b"), F.col("c")).alias("got"), "want")
+    assert [r["got"] for r in df.collect()] == [w for *_, w in pages]
 
 
 def test_markdown_forms():
@@ -231,7 +249,6 @@ def test_pages_give_paragraphs():
     page = "<html><head><title>T</title></head><body><nav>menu</nav><div class='ads'>ad</div><article><h1>Head</h1><p>One  two<br>three</p><p>One two</p><table><tr><td>a</td><td>b</td></tr></table><div aria-hidden='true'>no</div></article><p>outside</p></body></html>"
     assert M.html_paragraphs(page) == ["Head", "One two", "three", "One two", "a b"]
     assert M.html_paragraphs("<p>半 導体</p><p>x y") == ["半導体", "x y"]
-    assert M.decoded("日本".encode("euc-jp"), "text/html; charset=EUC-JP") == "日本" and M.decoded("日本①".encode("cp932")) == "日本①" and M.decoded(b"<meta charset='shift_jis'>" + "①".encode("cp932")).endswith("①")
     assert M.feed_addresses("<link rel='alternate' type='application/atom+xml' href='/f?a=1&amp;b=2'>", "https://x.example/y") == ["https://x.example/f?a=1&b=2"]
 
 
