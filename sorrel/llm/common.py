@@ -8,9 +8,11 @@ import os
 import re
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -155,6 +157,36 @@ def salted_join(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner"
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+#: Bits of a map that `among` sends to all tasks at most: 16 MB.
+MOST_BITS = 1 << 27
+
+
+def among(df: DataFrame, key: str, known: DataFrame) -> Column:
+    """A condition on df that holds wherever key is one of known's values (a column of the same name), and for few other rows.
+
+    Known values set bits of a map that grows with them up to MOST_BITS, so what is sent is bounded; beyond that the map
+    lets more rows through, and none less. For what an exact join does after it, on fewer rows.
+    """
+    values = known.select(key).distinct()
+    size = min(MOST_BITS, 1 << max(15, (64 * values.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit("bits")), F.lit(size))
+    parts = values.select((place(F.col(key)) + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()  # size / 8 bytes at most
+    bits = np.zeros((-(-size // 32768), 4096), np.uint8)
+    for r in parts:
+        bits[r["b"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    sent = df.sparkSession.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
+    held: list[np.ndarray] = []
+
+    @F.pandas_udf("boolean")
+    def found(at: pd.Series) -> pd.Series:
+        if not held:
+            held.append(np.frombuffer(zlib.decompress(sent.value), np.uint8))
+        x = at.to_numpy(np.int64)
+        return pd.Series((held[0][x >> 3] >> (x & 7)) & 1 == 1)
+
+    return found(place(F.col(key)))
+
+
 def by_batch(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[dict[str, object]]], schema: str) -> DataFrame:
     """mapInArrow for a function that yields columns; Spark bounds each batch by rows and by 64 MB."""
     from pyspark.sql.pandas.types import to_arrow_schema

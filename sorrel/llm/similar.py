@@ -13,8 +13,11 @@ nothing is linked by an estimate. Equal sets are collapsed first.
 Each set of a bucket is compared with the bucket's first one, which connects those that it links; the others meet all
 sets of the bucket, in chunks, each two of which are a group of their own, so what a task holds is the sets of two chunks
 at most. Pairs that are connected already aren't compared, so a large group of near copies costs in proportion to its
-size. A group returns a forest of its links, never all its pairs. A set's shingles move for the distinct pairs with first
-sets alone, not for each key.
+size. A group returns a forest of its links, never all its pairs. Sizes alone tell many pairs apart before a set moves.
+
+A set is compared by 32 bits of each shingle's hash, so two different shingles of a pair are taken for one with a chance
+of one in four thousand million. Sets are made in a second scan, only of texts that a map of bits doesn't rule out, and
+move for the distinct pairs with first sets alone, not for each key.
 
 Null and empty texts have the empty set and are one group; a text of fewer words than a shingle is one shingle; a very
 long text's hashes are held at once, 8 bytes a word; repeated rows share a group; no documents give no rows. Other
@@ -27,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sorrel.llm import simhash
-from sorrel.llm.common import by_batch, documents, frequent, hot_values, mixed, pieces, raw, salted_join, shingle_hashes, spread, stored
+from sorrel.llm.common import among, by_batch, documents, frequent, hot_values, mixed, pieces, raw, salted_join, shingle_hashes, spread, stored
 from sorrel.llm.simhash import components, connected
 
 WIDTH, BANDS, ROWS, CHUNK = 5, 32, 5, 256
@@ -62,27 +66,38 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, the id of the set of shingles, its SimHash and its band keys, of every row; no shuffle."""
+    """doc_id, a hash of the text, the id of the set of shingles, its size, its SimHash and its band keys, of every row; no shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in (x for b in batches for x in pieces(b)):
-            sets = [np.unique(shingle_hashes(t, WIDTH)) for t in raw(batch, "text")]
+            texts = raw(batch, "text")
+            sets = [np.unique(shingle_hashes(t, WIDTH)) for t in texts]
             with np.errstate(over="ignore"):
                 keys = [band_keys(s).view(np.int64) for s in sets]
-            yield {"doc_id": batch.column(0), "fp": np.array([set_id(s) for s in sets], np.uint64).view(np.int64), "sim": np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64), "keys": keys}
+            yield {"doc_id": batch.column(0), "th": text_hashes(texts), "size": [len(s) for s in sets], "fp": np.array([set_id(s) for s in sets], np.uint64).view(np.int64), "sim": np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64), "keys": keys}
+
+    return by_batch(documents(docs), work, "doc_id long, th long, size int, fp long, sim long, keys array<bigint>")
+
 
-    return by_batch(documents(docs), work, "doc_id long, fp long, sim long, keys array<bigint>")
+def text_hashes(texts: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(t, 11) for t in texts], np.uint64).view(np.int64)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """The id and the bytes of the set of shingles of every row."""
+def shingle_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """fp, the set's id, and data, its bytes, for needed (fp, th: the hash of one text that has the set)."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in (x for b in batches for x in pieces(b)):
+            yield {"th": text_hashes(raw(batch, "text")), "text": batch.column(1)}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in (x for b in batches for x in pieces(b)):
-            sets = [np.unique(shingle_hashes(t, WIDTH)) for t in raw(batch, "text")]
-            yield {"fp": np.array([set_id(s) for s in sets], np.uint64).view(np.int64), "data": [s.tobytes() for s in sets]}
+            sets = [np.unique((shingle_hashes(t, WIDTH) >> np.uint64(32)).astype(np.uint32)) for t in raw(batch, "text")]
+            yield {"th": batch.column(0), "data": [s.tobytes() for s in sets]}
 
-    return by_batch(documents(docs), work, "fp long, data binary")
+    texts = by_batch(documents(docs), hashed, "th long, text string")
+    some = by_batch(texts.where(among(texts, "th", needed)), work, "th long, data binary")
+    return needed.join(some.groupBy("th").agg(F.first("data").alias("data")), "th").select("fp", "data")
 
 
 def linked(sets: list[np.ndarray], tenths: int = 8) -> np.ndarray:
@@ -107,37 +122,39 @@ def linked(sets: list[np.ndarray], tenths: int = 8) -> np.ndarray:
 
 def edges(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs (u, v) of linked sets, u > v as unsigned, that connect what links connect."""
-    distinct = stored(spread(rows.where("size(keys) > 0"), rows.count(), "fp").groupBy("fp").agg(F.first("sim").alias("sim"), F.first("keys").alias("keys")), "sets-by-id")
+    first = [F.first("sim").alias("sim"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.min("th").alias("th")]
+    distinct = stored(spread(rows.where("size > 0"), rows.count(), "fp").groupBy("fp").agg(*first), "sets-by-id")
     sims = stored(distinct.select(F.col("sim").alias("fp")).distinct(), "simhashes")
     close = components(simhash.edges(sims)).select(F.col("fp").alias("sim"), "root")
     root = F.xxhash64(F.coalesce("root", "sim"), F.lit("simhash"))
-    distinct = distinct.join(close, "sim", "left").select("fp", F.concat("keys", F.array(root)).alias("keys"))
-    keyed = stored(distinct.select("fp", F.explode("keys").alias("key")), "keyed")
+    keyed = distinct.join(close, "sim", "left").select("fp", "size", F.explode(F.concat("keys", F.array(root))).alias("key"))
+    keyed = stored(keyed, "keyed")
     # A bucket is a key with its number of sets, its first set and two sums that tell sets of sets apart; the same sets
     # meet in many bands, and one of those buckets is kept.
     sums = [F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit("again"))).alias("y")]
-    buckets = keyed.groupBy("key").agg(F.count("*").cast("int").alias("n"), F.min("fp").alias("pivot"), *sums).where("n > 1")
-    buckets = stored(buckets.groupBy("n", "pivot", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "pivot"), "buckets")
-    members = stored(salted_join(keyed, buckets, "key").withColumnRenamed("key", "bucket"), "members")
-    sets = shingle_sets(docs).groupBy("fp").agg(F.first("data").alias("data"))
-    sets = stored(sets.join(members.select("fp").distinct(), "fp", "left_semi"), "sets")
+    buckets = keyed.groupBy("key").agg(F.count("*").cast("int").alias("n"), F.min(F.struct("fp", "size")).alias("pivot"), *sums).where("n > 1")
+    buckets = stored(buckets.groupBy("n", "pivot", "x", "y").agg(F.min("key").alias("key")).select("key", "n", F.col("pivot.fp").alias("pivot"), F.col("pivot.size").alias("pivot_size")), "buckets")
+    members = stored(salted_join(keyed.where(among(keyed, "key", buckets)), buckets, "key").withColumnRenamed("key", "bucket"), "members")
+    needed = stored(members.select("fp").distinct().join(distinct.select("fp", "th"), "fp"), "needed")
+    sets = stored(shingle_sets(docs, needed), "sets")
     # Each set against the first of its bucket: near copies have the same first set in most bands, so these are few pairs
     # for each set. Those that it links are connected by it; the others alone must meet all members of the bucket.
-    pairs = members.where("fp <> pivot").select("fp", "pivot").distinct()
+    pairs = stored(members.where("fp <> pivot").select("fp", "pivot", (5 * F.least("size", "pivot_size") >= 4 * F.greatest("size", "pivot_size")).alias("fits")).distinct(), "pairs")
     firsts = sets.select(F.col("fp").alias("pivot"), F.col("data").alias("pivot_data"))
     hot = hot_values(members.agg(*frequent("pivot")).first(), "pivot")
-    met = salted_join(pairs.join(sets, "fp"), firsts, "pivot", hot=hot, salt=F.xxhash64("fp"))
+    met = salted_join(pairs.where("fits").drop("fits").join(sets, "fp"), firsts, "pivot", hot=hot, salt=F.xxhash64("fp"))
 
     def against_first(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             near = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 near.append(18 * len(np.intersect1d(x, y, assume_unique=True)) >= 8 * (len(x) + len(y)))
             yield {"fp": batch.column(0), "pivot": batch.column(1), "near": near}
 
     tested = stored(by_batch(met.select("fp", "pivot", "data", "pivot_data"), against_first, "fp long, pivot long, near boolean"), "tested")
-    apart = members.where("n > 2").join(tested.where("not near").select("fp", "pivot"), ["fp", "pivot"], "left_semi")
+    unlinked = tested.where("not near").select("fp", "pivot").unionByName(pairs.where("not fits").select("fp", "pivot"))
+    apart = members.where("n > 2").join(unlinked, ["fp", "pivot"], "left_semi")
     apart = stored(apart, "apart")
     parts = apart.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
@@ -161,7 +178,7 @@ def edges(docs: DataFrame, rows: DataFrame) -> DataFrame:
                             out[k].extend(v.tolist())
                     last, ids, held = (bucket, a, b), [], []
                 ids.append(fp)
-                held.append(np.frombuffer(data, np.uint64))
+                held.append(np.frombuffer(data, np.uint32))
             yield out
             out = {"u": [], "v": []}
         if held:
