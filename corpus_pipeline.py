@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sorrel.llm import packing, quality, similar, toxicity
-from sorrel.llm.common import free_name, stored
+from sorrel.llm.common import among, free_name, salted_join, stored
 
 #: A document whose quality score is lower goes; lower than the classifier's own cut, so that clean documents stay.
 KEEP_QUALITY = 0.3
@@ -46,9 +46,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = free_name(docs, "row")
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     groups = similar.similar_documents(rows.select(F.col(row).alias("doc_id"), "text"))
-    named = groups.select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, "doc_id"), row)
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first"))
-    return rows.join(first.select(f"first.{row}"), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    named = stored(groups.select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, "doc_id"), row), "groups")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first"), F.count("*").alias("n"))
+    first = first.where("n > 1").select("component_id", F.col(f"first.{row}").alias("first"))
+    others = stored(salted_join(named, first, "component_id").where(F.col(row) != F.col("first")).select(row), "others")
+    # Texts move only where a map of bits can't tell that their row stays.
+    suspect = among(rows, row, others)
+    kept = rows.where(~suspect).unionByName(rows.where(suspect).join(others, row, "left_anti").select(*rows.columns))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
