@@ -160,18 +160,23 @@ def process_companies(spark: SparkSession, d: str) -> DataFrame:
     return lists.select("l_orderkey", F.array_join(F.transform("c", lambda x: x["l_suppkey"].cast("string")), ",").alias("companies"))
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderdate FROM orders) SELECT o_orderkey, change, logged FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'removed' WHEN o_orderdate < DATE '1995-01-01' THEN 'kept' WHEN o_orderdate < DATE '1996-01-01' THEN 'replaced' ELSE 'added' END AS change, CASE WHEN o_orderstatus = 'P' OR o_orderdate >= DATE '1995-01-01' THEN 1 ELSE 0 END AS logged FROM o)""")
+@query("""WITH o AS (SELECT o_orderkey AS k, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS p, o_orderstatus = 'P' AS failed, CAST(o_orderdate AS DATE) AS day FROM orders)
+SELECT k AS o_orderkey, 'first' AS commit, 'added' AS change, CAST(NULL AS DOUBLE) AS old, p AS new FROM o WHERE day < DATE '1996-01-01'
+UNION ALL SELECT k, 'second', 'removed', p, NULL FROM o WHERE failed AND day < DATE '1996-01-01'
+UNION ALL SELECT k, 'second', CASE WHEN day < DATE '1996-01-01' THEN 'replaced' ELSE 'added' END, CASE WHEN day < DATE '1996-01-01' THEN p END, p + 1 FROM o WHERE NOT failed AND day >= DATE '1995-01-01'""")
 def audited_upserts(spark: SparkSession, d: str) -> DataFrame:
-    """SET04, SET10: failed rows go before others replace them or are added, and each change has a line in a log."""
-    from sorrel.operators import relational as R
+    """SET04, SET10: a table of orders until 1996, then those from 1995 on put in their place, failed ones deleted before; the log that the writes have kept, with old and new values."""
+    from sorrel.sources import versions
 
+    path = new_folder(spark, "audited")
     day, failed = F.col("o_orderdate").cast("date"), F.col("o_orderstatus") == "P"
-    o = table(spark, d, "orders")
+    o = table(spark, d, "orders").select("o_orderkey", money("o_totalprice").cast("double").alias("price"), day.alias("day"), failed.alias("failed"))
     cut = lambda t: F.lit(t).cast("date")
-    base, new = o.where((day < cut("1996-01-01")) & ~failed).select("o_orderkey"), o.where((day >= cut("1995-01-01")) & ~failed).select("o_orderkey")
-    rows = R.upsert(base, new, ["o_orderkey"]).unionByName(o.where(failed).select("o_orderkey", F.lit("removed").alias("change")))
-    log = rows.where("change <> 'kept'").select("o_orderkey", F.lit(1).alias("logged"))
-    return rows.join(log, "o_orderkey", "left").select("o_orderkey", "change", F.coalesce("logged", F.lit(0)).alias("logged"))
+    versions.upsert(spark, path, "orders", o.where(F.col("day") < cut("1996-01-01")).select("o_orderkey", "price"), ["o_orderkey"], "first", parts=8)
+    new = o.where((F.col("day") >= cut("1995-01-01")) & ~F.col("failed")).select("o_orderkey", (F.col("price") + 1).alias("price"))
+    for _ in range(2):  # the second time is a repeat
+        versions.upsert(spark, path, "orders", new, ["o_orderkey"], "second", o.where("failed").select("o_orderkey"), parts=8)
+    return versions.read(spark, path, "orders_log").select("o_orderkey", "commit", "change", F.col("old.price").alias("old"), F.col("new.price").alias("new"))
 
 
 @query("""SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS kinds, CAST(min(o_orderkey) AS VARCHAR) || ' ' || arg_min(o_orderstatus, o_orderkey) AS first_row FROM orders GROUP BY 1""")

@@ -23,6 +23,7 @@ from sorrel.plans.registry import query
 from sorrel.plans.texts import WINDOWS
 from sorrel.session import kept, new_folder
 from sorrel.sources import archives
+from sorrel.sources import versions
 from sorrel.sources.tables import table
 
 _HEADER = ["要素ID", "項目名", "コンテキストID", "単位", "値"]
@@ -261,42 +262,27 @@ def reprinted_spans(spark: SparkSession, d: str) -> DataFrame:
     return overlap.shared_spans(table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id")
 
 
-def _rows(df: DataFrame, path: str, form: str, *partition: str) -> None:
-    df.write.mode("overwrite").partitionBy(*partition).format(form).save(path)
-
-
-def replace_whole(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> None:
-    """Writes several tables below a new folder and puts it in place of path at once: readers see all of them or none."""
-    fresh = f"{path}.new"
-    for name, df in tables.items():
-        _rows(df, f"{fresh}/{name}", "json")
-    target, source = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(target):
-        files.delete(target, True)
-    if not files.rename(source, target):
-        raise RuntimeError(f"{path} can't be replaced")
-
-
 @query("""SELECT 'nation' AS name, CAST(n_nationkey AS BIGINT) AS key, n_name AS label FROM nation UNION ALL SELECT 'region', r_regionkey, r_name FROM region""")
 def written_together(spark: SparkSession, d: str) -> DataFrame:
-    """SNK01, SNK02, SNK06: several JSON tables written all or none, read back with their schema."""
+    """SNK01, SNK02, SNK06: several JSON tables written as one version, all or none, and read back; a later version takes their place."""
     path = new_folder(spark, "tables")
-    n, r = table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("label")), table(spark, d, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("label"))
-    for _ in range(2):  # the second time replaces what the first has written
-        replace_whole(spark, path, {"nation": n, "region": r})
-    read = lambda name: spark.read.schema("key long, label string").json(f"{path}/{name}").select(F.lit(name).alias("name"), "key", "label")
+    n, r = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("label")), table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("key"), F.col("r_name").alias("label"))
+    versions.commit(spark, path, "first", replace={"nation": n.select("key", F.lower("label").alias("label")), "region": r}, form="json")
+    versions.commit(spark, path, "second", replace={"nation": n, "region": r}, form="json")
+    read = lambda name: versions.read(spark, path, name).select(F.lit(name).alias("name"), "key", "label")
     return read("nation").unionByName(read("region"))
 
 
 @query("""SELECT strftime(ts + INTERVAL 9 HOUR, '%Y-%m') AS month, event_id, CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS cost FROM events""")
 def ledger_by_month(spark: SparkSession, d: str) -> DataFrame:
-    """SNK05: rows appended to a ledger of JSON lines, a folder a month, here in two batches."""
+    """SNK05: rows appended to a ledger of JSON lines, a folder a month, a batch an event type; a batch that is tried again adds nothing."""
     path = new_folder(spark, "ledger")
-    e = table(spark, d, "events").select(F.date_format(F.col("ts") + F.expr("interval 9 hours"), "yyyy-MM").alias("month"), "event_id", money("value").cast("double").alias("cost"))
-    for part in (F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1):
-        e.where(part).write.mode("append").partitionBy("month").json(path)
-    return spark.read.schema("month string, event_id long, cost double").json(path).select("month", "event_id", "cost")
+    e = table(spark, d, "events").select(F.date_format(F.col("ts") + F.expr("interval 9 hours"), "yyyy-MM").alias("month"), "event_id", money("value").cast("double").alias("cost"), "event_type")
+    kinds = ("click", "error", "purchase", "signup", "view")
+    for kind in (*kinds, "click", "other"):
+        rows = e.where(~F.col("event_type").isin(*kinds) | F.col("event_type").isNull() if kind == "other" else F.col("event_type") == kind)
+        versions.commit(spark, path, f"batch {kind}", append={"ledger": rows.drop("event_type")}, form="json", part_by="month")
+    return versions.read(spark, path, "ledger")
 
 
 @query(r"""SELECT lower(regexp_replace(url, '#.*$', '')) AS loc, max(strftime(DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER), '%Y-%m-%d')) AS lastmod FROM pages WHERE NOT contains(url, 'utm_') GROUP BY 1""")

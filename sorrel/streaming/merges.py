@@ -1,35 +1,42 @@
-"""A stream merged into a table of latest rows, one version of the table for each micro-batch."""
+"""A stream merged into a table of latest rows, in parts: a micro-batch rewrites the parts that its keys fall in."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from sorrel.session import new_folder
+from sorrel.sources import versions
 
 
-def latest(stream: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The row of each key that is last by order, with n, the rows that came for the key.
+def merge_latest(stream: DataFrame, keys: Sequence[str], order: Sequence[str], path: str, parts: int = 64, keep: int = 2) -> None:
+    """Runs the stream over what there is; the table `latest` below path has the row of each key that is last by order, with n, the rows that came for it.
 
-    Version k of the table is version k - 1 merged with micro-batch k: partial results of both are combined, so late
-    rows lose to newer ones and a batch that runs again gives the same version.
+    A micro-batch is a commit with its number as id, so one that runs again after a failure changes nothing, and late rows
+    lose to newer ones. The stream goes on from its checkpoint below path; of old versions the last `keep` stay.
     """
-    spark, folder = stream.sparkSession, new_folder(stream.sparkSession, "latest")
+    spark = stream.sparkSession
     values = [c for c in stream.columns if c not in keys]
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("n", F.lit(1).cast("bigint"))
-        if number:
-            rows = rows.unionByName(spark.read.parquet(f"{folder}/version={number - 1}"))
+    def combine(old: DataFrame | None, new: DataFrame) -> tuple[DataFrame, Mapping[str, DataFrame]]:
+        rows = new if old is None else new.unionByName(old)
         best = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("v"), F.sum("n").alias("n"))
-        best.select(*keys, "v.*", "n").write.mode("overwrite").parquet(f"{folder}/version={number}")
-        done.append(number)
+        return best.select(*keys, "v.*", "n"), {}
+
+    def merge(batch: DataFrame, number: int) -> None:
+        versions.merged(spark, path, "latest", batch.withColumn("n", F.lit(1).cast("bigint")), keys, f"batch {number}", combine, parts)
+        versions.vacuum(spark, path, keep)
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+
 
-    done: list[int] = []
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    if not done:  # no row has come
+def latest(stream: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int = 64) -> DataFrame:
+    """The table of `merge_latest` in a new folder, read when the stream has come to its end."""
+    spark, path = stream.sparkSession, new_folder(stream.sparkSession, "latest")
+    merge_latest(stream, keys, order, path, parts)
+    if not versions.manifest(spark, path)["version"]:  # no row has come
         return spark.createDataFrame([], StructType([*stream.schema.fields, StructField("n", LongType())]))
-    return spark.read.parquet(f"{folder}/version={done[-1]}")
+    return versions.read(spark, path, "latest")
