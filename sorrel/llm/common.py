@@ -12,7 +12,6 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -157,34 +156,48 @@ def salted_join(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner"
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-#: Bits of a map that `among` sends to all tasks at most: 16 MB.
+#: Bits of a `Bits` map at most: 16 MB.
 MOST_BITS = 1 << 27
 
 
-def among(df: DataFrame, key: str, known: DataFrame) -> Column:
-    """A condition on df that holds wherever key is one of known's values (a column of the same name), and for few other rows.
+class Bits:
+    """A map of bits, sent to all tasks, that tells which hashes aren't among known ones; it never says so of one that is.
 
-    Known values set bits of a map that grows with them up to MOST_BITS, so what is sent is bounded; beyond that the map
-    lets more rows through, and none less. For what an exact join does after it, on fewer rows.
+    The map grows with the known hashes (a column of 64-bit hashes without bias) up to MOST_BITS, so what is sent is
+    bounded; beyond that it lets more through, and none less. For rows that an exact join follows.
     """
-    values = known.select(key).distinct()
-    size = min(MOST_BITS, 1 << max(15, (64 * values.count()).bit_length()))
-    place = lambda c: F.pmod(F.xxhash64(c, F.lit("bits")), F.lit(size))
-    parts = values.select((place(F.col(key)) + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()  # size / 8 bytes at most
-    bits = np.zeros((-(-size // 32768), 4096), np.uint8)
-    for r in parts:
-        bits[r["b"] - 1] = np.frombuffer(r["bits"], np.uint8)
-    sent = df.sparkSession.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
-    held: list[np.ndarray] = []
-
-    @F.pandas_udf("boolean")
-    def found(at: pd.Series) -> pd.Series:
-        if not held:
-            held.append(np.frombuffer(zlib.decompress(sent.value), np.uint8))
-        x = at.to_numpy(np.int64)
-        return pd.Series((held[0][x >> 3] >> (x & 7)) & 1 == 1)
-
-    return found(place(F.col(key)))
+
+    def __init__(self, known: DataFrame, key: str):
+        values = known.select(F.col(key).alias("h")).distinct()
+        self.size = min(MOST_BITS, 1 << max(15, (64 * values.count()).bit_length()))
+        place = F.pmod("h", F.lit(self.size)) + 1
+        parts = values.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # size / 8 bytes at most
+        bits = np.zeros((self.size // 32768, 4096), np.uint8)
+        for r in parts:
+            bits[r["b"] - 1] = np.frombuffer(r["bits"], np.uint8)
+        self.sent = known.sparkSession.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
+        self.held: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"held": None}
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        if self.held is None:
+            self.held = np.frombuffer(zlib.decompress(self.sent.value), np.uint8)
+        at = hashes.astype(np.int64, copy=False) & (self.size - 1)
+        return (self.held[at >> 3] >> (at & 7)) & 1 == 1
+
+    def rows(self, df: DataFrame, key: str, held: bool = True) -> DataFrame:
+        """The rows of df whose hash in a column may be among the known ones, or those whose hash isn't; null hashes are none."""
+        own, place = self, df.columns.index(key)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = batch.column(place)
+                found = own(h.fill_null(0).to_numpy()) & ~h.is_null().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(found if held else ~found))
+
+        return df.mapInArrow(work, df.schema)
 
 
 def by_batch(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[dict[str, object]]], schema: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sorrel.llm import simhash
-from sorrel.llm.common import among, by_batch, documents, frequent, hot_values, mixed, pieces, raw, salted_join, shingle_hashes, spread, stored
+from sorrel.llm.common import Bits, by_batch, documents, frequent, hot_values, mixed, pieces, raw, salted_join, shingle_hashes, spread, stored
 from sorrel.llm.simhash import components, connected
 
 WIDTH, BANDS, ROWS, CHUNK = 5, 32, 5, 256
@@ -86,17 +86,17 @@ def text_hashes(texts: list[bytes]) -> np.ndarray:
 def shingle_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """fp, the set's id, and data, its bytes, for needed (fp, th: the hash of one text that has the set)."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in (x for b in batches for x in pieces(b)):
-            yield {"th": text_hashes(raw(batch, "text")), "text": batch.column(1)}
+    some_need = Bits(needed, "th")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in (x for b in batches for x in pieces(b)):
-            sets = [np.unique((shingle_hashes(t, WIDTH) >> np.uint64(32)).astype(np.uint32)) for t in raw(batch, "text")]
-            yield {"th": batch.column(0), "data": [s.tobytes() for s in sets]}
+            texts = raw(batch, "text")
+            th = text_hashes(texts)
+            at = np.flatnonzero(some_need(th))
+            sets = (np.unique((shingle_hashes(texts[i], WIDTH) >> np.uint64(32)).astype(np.uint32)) for i in at.tolist())
+            yield {"th": th[at], "data": [s.tobytes() for s in sets]}
 
-    texts = by_batch(documents(docs), hashed, "th long, text string")
-    some = by_batch(texts.where(among(texts, "th", needed)), work, "th long, data binary")
+    some = by_batch(documents(docs), work, "th long, data binary")
     return needed.join(some.groupBy("th").agg(F.first("data").alias("data")), "th").select("fp", "data")
 
 
@@ -134,7 +134,7 @@ def edges(docs: DataFrame, rows: DataFrame) -> DataFrame:
     sums = [F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit("again"))).alias("y")]
     buckets = keyed.groupBy("key").agg(F.count("*").cast("int").alias("n"), F.min(F.struct("fp", "size")).alias("pivot"), *sums).where("n > 1")
     buckets = stored(buckets.groupBy("n", "pivot", "x", "y").agg(F.min("key").alias("key")).select("key", "n", F.col("pivot.fp").alias("pivot"), F.col("pivot.size").alias("pivot_size")), "buckets")
-    members = stored(salted_join(keyed.where(among(keyed, "key", buckets)), buckets, "key").withColumnRenamed("key", "bucket"), "members")
+    members = stored(salted_join(Bits(buckets, "key").rows(keyed, "key"), buckets, "key").withColumnRenamed("key", "bucket"), "members")
     needed = stored(members.select("fp").distinct().join(distinct.select("fp", "th"), "fp"), "needed")
     sets = stored(shingle_sets(docs, needed), "sets")
     # Each set against the first of its bucket: near copies have the same first set in most bands, so these are few pairs
