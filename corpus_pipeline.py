@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sorrel.llm import packing, quality, similar, toxicity
-from sorrel.llm.common import among, free_name, salted_join, stored
+from sorrel.llm.common import Bits, free_name, salted_join, stored
 
 #: A document whose quality score is lower goes; lower than the classifier's own cut, so that clean documents stay.
 KEEP_QUALITY = 0.3
@@ -51,8 +51,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = first.where("n > 1").select("component_id", F.col(f"first.{row}").alias("first"))
     others = stored(salted_join(named, first, "component_id").where(F.col(row) != F.col("first")).select(row), "others")
     # Texts move only where a map of bits can't tell that their row stays.
-    suspect = among(rows, row, others)
-    kept = rows.where(~suspect).unionByName(rows.where(suspect).join(others, row, "left_anti").select(*rows.columns))
+    key = free_name(rows, "hash")
+    rows, mark = rows.withColumn(key, F.xxhash64(row)), Bits(others.select(F.xxhash64(row).alias(key)), key)
+    kept = mark.rows(rows, key, held=False).unionByName(mark.rows(rows, key).join(others, row, "left_anti").select(*rows.columns))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
