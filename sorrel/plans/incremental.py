@@ -47,3 +47,38 @@ def streamed_latest(spark: SparkSession, d: str) -> DataFrame:
     """INC01, INC06 as a stream: the latest row of each key by event time, whatever order rows come in, and how many came."""
     e = windows.read(spark, f"{d}/events.parquet").select("user_id", "ts", "event_id")
     return merges.latest(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "n")
+
+
+#: Events by the week in which they come: their own, errors one week later.
+_WEEKS = "w AS (SELECT *, CAST((day(ts) - 1) // 7 + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS INTEGER) AS week FROM events)"
+
+
+@query(f"""WITH {_WEEKS}, m AS (SELECT week, max(ts) AS latest FROM w GROUP BY 1), k AS (SELECT w.*, (SELECT max(latest) FROM m WHERE m.week <= w.week - 2) - INTERVAL 2 DAY AS mark FROM w)
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM k WHERE mark IS NULL OR date_trunc('day', ts) + INTERVAL 1 DAY > mark GROUP BY 1, 2""")
+def late_windows(spark: SparkSession, d: str) -> DataFrame:
+    """SET01 as a stream: counts and sums by day and kind over weekly micro-batches; what comes after its day has closed is dropped.
+
+    A window closes when the watermark that the batch before last has left is past its end.
+    """
+    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), "event_type", money("value").alias("value"))
+    week = F.expr("(day(at) - 1) div 7").cast("int") + F.when(F.col("event_type") == "error", 1).otherwise(0)
+    stream = windows.staged(e.withColumn("week", week), "week", range(6))
+    counted = windows.by_window(stream, "at", "1 day", "2 days", ["event_type"], {"n": F.count("*"), "total": F.sum("value")})
+    rows = windows.settled(counted, ["start", "event_type"])
+    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.col("total").cast("double").alias("total"))
+
+
+@query(f"""WITH {_WEEKS}, f AS (SELECT user_id, min(week) AS week FROM w GROUP BY 1) SELECT user_id, CAST(f.week AS INTEGER) AS week, count(*) AS n FROM f JOIN w USING (user_id, week) GROUP BY 1, 2""")
+def first_weeks(spark: SparkSession, d: str) -> DataFrame:
+    """SET01, SRC18 as a stream: keys seen before are left out over weekly micro-batches; each key with the week in which it came first."""
+    from sorrel.session import new_folder
+    from sorrel.streaming import attempts
+
+    week = F.expr("(day(ts) - 1) div 7").cast("int") + F.when(F.col("event_type") == "error", 1).otherwise(0)
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type").withColumn("week", week)
+    weeks = e.groupBy("user_id", "week").agg(F.count("*").alias("n"), F.max("ts").alias("at"))
+    stream = windows.staged(weeks.withColumn("batch", F.col("week")), "batch", range(6))
+    path = new_folder(spark, "first")
+    seen = attempts.first_seen(stream, "user_id", "at", "60 days")
+    seen.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id bigint, week int, n bigint, at timestamp").parquet(windows.folder_of(spark, f"{path}/out")).select("user_id", "week", "n")
