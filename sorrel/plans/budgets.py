@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sorrel.operators import gates, nested
+from sorrel.operators import gates, nested, schemas
 from sorrel.plans.metrics import money
 from sorrel.plans.registry import query
 from sorrel.sources.tables import table
@@ -93,3 +93,22 @@ def document_changes(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("now"), F.when(F.to_date("o_orderdate") < day, "O").alias("then"))
     old, new = (nested.leaves(_version(lines, orders, v, v), ["o_orderkey"], "doc", {"lines": "id"}) for v in ("then", "now"))
     return nested.leaf_changes(old, new, ["o_orderkey"])
+
+
+#: A schema of the nested orders: references, items, alternatives, no other members.
+ORDER = {
+    "type": "object", "required": ["state", "note"], "additionalProperties": False,
+    "properties": {"state": {"enum": ["F", "O"]}, "customer~1": {"type": "object", "properties": {"tags": {"minItems": 1}, "key": {"oneOf": [{"type": "integer", "maximum": 100}, {"type": "integer", "minimum": 50}]}}}, "lines": {"minItems": 2, "items": {"$ref": "#/$defs/line"}}},
+    "$defs": {"line": {"required": ["n"], "properties": {"n": {"maximum": 5}, "part": {"pattern": "^P/[0-9]{1,3}$"}, "marks": {"maxItems": 2, "items": {"items": {"minimum": 5}}}, "returned": {"oneOf": [{"type": "null"}, {"const": True}]}}}},
+}
+
+
+@query(f"""WITH {_NESTED}, l AS (SELECT o_orderkey, '/lines/' || e.key AS place, CAST(e.value ->> '$.n' AS BIGINT) AS n, e.value ->> '$.part' AS part, CAST(e.value ->> '$.marks[0][0]' AS BIGINT) AS q, CAST(e.value ->> '$.marks[1][0]' AS BIGINT) AS s FROM j, LATERAL (SELECT key, value FROM json_each(j.doc, '$.lines')) AS e),
+v AS (SELECT o_orderkey, '/note' AS path, 'required' AS rule FROM orders UNION ALL SELECT o_orderkey, '/state', 'enum' FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT o_orderkey, '/customer~01/tags', 'minItems' FROM orders UNION ALL SELECT o_orderkey, '/customer~01/key', 'oneOf' FROM orders WHERE o_custkey BETWEEN 50 AND 100
+  UNION ALL SELECT o_orderkey, '/lines', 'minItems' FROM orders WHERE (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) < 2 UNION ALL SELECT o_orderkey, place || '/n', 'maximum' FROM l WHERE n > 5 UNION ALL SELECT o_orderkey, place || '/part', 'pattern' FROM l WHERE length(part) > 5
+  UNION ALL SELECT o_orderkey, place || '/marks/0/0', 'minimum' FROM l WHERE q < 5 UNION ALL SELECT o_orderkey, place || '/marks/1/0', 'minimum' FROM l WHERE s < 5 UNION ALL SELECT o_orderkey, place || '/marks/1/1', 'minimum' FROM l WHERE n < 5)
+SELECT o_orderkey, path, rule FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY path, rule) AS k FROM v) WHERE k <= 10""")
+def compiled_problems(spark: SparkSession, d: str) -> DataFrame:
+    """DQ18, NST06, ADD27, ADD59: each nested order's first ten violations, by path, of a schema with references, items, alternatives and closed objects."""
+    rows = _nested(spark, d).select("o_orderkey", F.explode(schemas.violations(F.col("doc"), ORDER)).alias("x"))
+    return rows.select("o_orderkey", "x.path", "x.rule")
