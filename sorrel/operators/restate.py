@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENTS = "array<struct<member: string, amount: decimal(18,2)>>"
@@ -66,3 +66,48 @@ def restated(events: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     start = state(F.element_at("_events", 1), F.array().cast(f"array<{REVISION}>"))
     done = F.aggregate(F.slice("_events", 2, F.greatest(F.size("_events") - 1, F.lit(0))), start, step)
     return lists.select(*keys, done.alias("s")).select(*keys, "s.*")
+
+
+CELL = "struct<at: {at}, doc: bigint, supersedes: bigint, old: {value}, new: {value}>"
+
+
+def restated_cells(events: DataFrame, keys: Sequence[str], at: str, tolerance: Column | float = 0) -> DataFrame:
+    """keys, value, source and revisions (at, doc, supersedes, old, new) of cells, each with the document that its value is from.
+
+    events: keys, at, doc, own (does the document report the cell's own period, or its prior column) and value. A cell
+    begins with the first document of its own period; what came before says nothing. One that reports the period again
+    gives the cell its value, or none; a prior column replaces a value that is there by one that it has. Values that
+    differ by less than tolerance are the same, and the older one stays with its source. A revision names the document
+    whose value it supersedes. Documents count by at and doc; a cell's are a handful.
+    """
+    kinds = dict(events.dtypes)
+    value, when = kinds["value"], kinds[at]
+    cell = CELL.format(at=when, value=value)
+    lists = events.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col("doc").cast("bigint").alias("doc"), "own", "value"))).alias("_events"), F.max(F.lit(tolerance) if not isinstance(tolerance, Column) else tolerance).alias("_tolerance"))
+    first = F.array_position(F.transform("_events", lambda e: e["own"]), True).cast("int")
+    lists = lists.withColumn("_first", first).where("_first > 0")
+    begin = F.get("_events", F.col("_first") - 1)
+    start = F.struct(begin["value"].alias("value"), begin["doc"].alias("source"), F.array().cast(f"array<{cell}>").alias("revisions"))
+
+    def step(a: Column, e: Column) -> Column:
+        differ = ~a["value"].eqNullSafe(e["value"]) & F.coalesce(F.abs(a["value"] - e["value"]) >= F.col("_tolerance"), F.lit(True))
+        there = e["own"] | (a["value"].isNotNull() & e["value"].isNotNull())
+        line = F.struct(e["at"].alias("at"), e["doc"].alias("doc"), a["source"].alias("supersedes"), a["value"].alias("old"), e["value"].alias("new")).cast(cell)
+        change = differ & there
+        equal = e["own"] & a["value"].eqNullSafe(e["value"])
+        return F.struct(F.when(change, e["value"]).otherwise(a["value"]).cast(value).alias("value"), F.when(change | equal, e["doc"]).otherwise(a["source"]).alias("source"), F.when(change, F.array_append(a["revisions"], line)).otherwise(a["revisions"]).alias("revisions"))
+
+    later = F.slice("_events", F.greatest("_first", F.lit(0)) + 1, F.size("_events"))
+    return lists.select(*keys, F.aggregate(later, start, step).alias("s")).select(*keys, "s.*")
+
+
+def member_changes(events: DataFrame, keys: Sequence[str], at: str, members: str) -> DataFrame:
+    """keys, at, doc, added and removed (sorted) of each document after which a period's members aren't those before.
+
+    events as in `restated_cells`, with an array of member names in place of the value; members are replaced as a set.
+    """
+    by = Window.partitionBy(*keys).orderBy(at, "doc")  # a period's documents, a handful
+    begun = F.max(F.col("own").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)) == 1
+    rows = events.withColumn("_begun", begun).where("_begun").withColumn("_before", F.lag(members).over(by)).where("_before IS NOT NULL")
+    new = rows.select(*keys, at, "doc", F.sort_array(F.array_except(members, "_before")).alias("added"), F.sort_array(F.array_except("_before", members)).alias("removed"))
+    return new.where("size(added) > 0 OR size(removed) > 0")

@@ -1,11 +1,11 @@
-"""Calls against budgets in their order, and leaves of nested documents with what changes between versions."""
+"""Calls against budgets in their order, leaves of nested documents with what changes between versions, restated headcounts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sorrel.operators import gates, nested, schemas
+from sorrel.operators import gates, nested, restate, schemas
 from sorrel.plans.metrics import money
 from sorrel.plans.registry import query
 from sorrel.sources.tables import table
@@ -112,3 +112,50 @@ def compiled_problems(spark: SparkSession, d: str) -> DataFrame:
     """DQ18, NST06, ADD27, ADD59: each nested order's first ten violations, by path, of a schema with references, items, alternatives and closed objects."""
     rows = _nested(spark, d).select("o_orderkey", F.explode(schemas.violations(F.col("doc"), ORDER)).alias("x"))
     return rows.select("o_orderkey", "x.path", "x.rule")
+
+
+def _headcounts(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as documents: a customer's year with two headcounts, and the year before with its prior column."""
+    o = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("fy"), F.to_date("o_orderdate").alias("at"), F.col("o_orderkey").cast("bigint").alias("doc"), F.floor(F.col("o_totalprice") / 100).cast("bigint").alias("n"), "o_orderstatus")
+    each = F.array(F.struct(F.lit("consolidated").alias("section"), F.col("n").alias("value")), F.struct(F.lit("non_consolidated").alias("section"), F.when(F.col("o_orderstatus") != "P", F.expr("n div 2")).alias("value")))
+    own = o.select("o_custkey", "fy", "at", "doc", F.lit(True).alias("own"), F.explode(each).alias("x")).select("*", "x.*").drop("x")
+    prior = own.withColumn("fy", F.col("fy") - 1).withColumn("own", F.lit(False)).withColumn("value", F.col("value") - F.expr("doc % 3"))
+    return own.unionByName(prior)
+
+
+_HEADCOUNTS = """o AS (SELECT o_custkey, year(o_orderdate) AS fy, CAST(o_orderdate AS DATE) AS "at", CAST(o_orderkey AS BIGINT) AS doc, CAST(floor(o_totalprice / 100) AS BIGINT) AS n, o_orderstatus AS st FROM orders),
+w AS (SELECT o_custkey, fy, "at", doc, true AS own, 'consolidated' AS section, n AS value FROM o UNION ALL SELECT o_custkey, fy, "at", doc, true, 'non_consolidated', CASE WHEN st <> 'P' THEN n // 2 END FROM o),
+e AS (SELECT * FROM w UNION ALL SELECT o_custkey, fy - 1, "at", doc, false, section, value - doc % 3 FROM w),
+k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, fy, section ORDER BY "at", doc) AS k FROM e), b AS (SELECT o_custkey, fy, section, min(k) AS first FROM k WHERE own GROUP BY ALL),
+s AS (
+  SELECT k.o_custkey, k.fy, k.section, k.k, k.value, k.doc AS source, k."at", k.doc, CAST(NULL AS BIGINT) AS supersedes, CAST(NULL AS BIGINT) AS old, false AS changed FROM k JOIN b ON b.o_custkey = k.o_custkey AND b.fy = k.fy AND b.section = k.section AND b.first = k.k
+  UNION ALL
+  SELECT o_custkey, fy, section, k, CASE WHEN c THEN new ELSE value END, CASE WHEN c OR (own AND value IS NOT DISTINCT FROM new) THEN doc ELSE source END, "at", doc, source, value, c
+  FROM (SELECT k.o_custkey, k.fy, k.section, k.k, k."at", k.doc, k.own, k.value AS new, s.value, s.source, s.value IS DISTINCT FROM k.value AND (k.own OR (s.value IS NOT NULL AND k.value IS NOT NULL)) AS c FROM s JOIN k ON k.o_custkey = s.o_custkey AND k.fy = s.fy AND k.section = s.section AND k.k = s.k + 1))"""
+
+
+@query(f"WITH RECURSIVE {_HEADCOUNTS} SELECT o_custkey, CAST(fy AS INTEGER) AS fy, section, arg_max(struct_pack(v := value), k).v AS value, arg_max(source, k) AS source, CAST(count(*) FILTER (changed) AS INTEGER) AS revisions FROM s GROUP BY 1, 2, 3")
+def restated_headcounts(spark: SparkSession, d: str) -> DataFrame:
+    """INC12, INC04: headcounts of a year after all documents, leaf by leaf with the document that each is from; prior columns replace what is there."""
+    cells = restate.restated_cells(_headcounts(spark, d), ["o_custkey", "fy", "section"], "at")
+    return cells.select("o_custkey", "fy", "section", "value", "source", F.size("revisions").alias("revisions"))
+
+
+@query(f"WITH RECURSIVE {_HEADCOUNTS} SELECT o_custkey, CAST(fy AS INTEGER) AS fy, '/employees/' || section || '/employees/value' AS path, \"at\", doc, supersedes, old, value AS new FROM s WHERE changed")
+def headcount_revisions(spark: SparkSession, d: str) -> DataFrame:
+    """INC13: the audit trail of headcounts: when, by which document, which document's value was superseded, old and new."""
+    cells = restate.restated_cells(_headcounts(spark, d), ["o_custkey", "fy", "section"], "at").withColumn("r", F.explode("revisions"))
+    return cells.select("o_custkey", "fy", F.concat(F.lit("/employees/"), F.col("section"), F.lit("/employees/value")).alias("path"), "r.at", "r.doc", "r.supersedes", "r.old", "r.new")
+
+
+@query("""WITH o AS (SELECT o_custkey, year(o_orderdate) AS fy, CAST(o_orderdate AS DATE) AS "at", CAST(o_orderkey AS BIGINT) AS doc, o_orderpriority AS p, o_orderstatus AS s FROM orders),
+e AS (SELECT o_custkey, fy, "at", doc, true AS own, [p, s] AS m FROM o UNION ALL SELECT o_custkey, fy - 1, "at", doc, false, [p, 'X'] FROM o),
+b AS (SELECT *, bool_or(own) OVER w AS begun FROM e WINDOW w AS (PARTITION BY o_custkey, fy ORDER BY "at", doc)), l AS (SELECT *, lag(m) OVER (PARTITION BY o_custkey, fy ORDER BY "at", doc) AS before FROM b WHERE begun)
+SELECT o_custkey, CAST(fy AS INTEGER) AS fy, "at", doc, array_to_string(list_sort(list_filter(m, lambda x: NOT list_contains(before, x))), ',') AS added, array_to_string(list_sort(list_filter(before, lambda x: NOT list_contains(m, x))), ',') AS removed FROM l WHERE before IS NOT NULL AND list_sort(m) <> list_sort(before)""")
+def segment_changes(spark: SparkSession, d: str) -> DataFrame:
+    """INC10: which document added or removed members of a year's segments; an order's priority and status stand for its members."""
+    o = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("fy"), F.to_date("o_orderdate").alias("at"), F.col("o_orderkey").cast("bigint").alias("doc"), "o_orderpriority", "o_orderstatus")
+    own = o.select("o_custkey", "fy", "at", "doc", F.lit(True).alias("own"), F.array("o_orderpriority", "o_orderstatus").alias("members"))
+    prior = o.select("o_custkey", (F.col("fy") - 1).alias("fy"), "at", "doc", F.lit(False).alias("own"), F.array("o_orderpriority", F.lit("X")).alias("members"))
+    found = restate.member_changes(own.unionByName(prior), ["o_custkey", "fy"], "at", "members")
+    return found.select("o_custkey", "fy", "at", "doc", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
