@@ -120,7 +120,7 @@ def theme_tags(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH parts AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R')
 SELECT a.l_suppkey AS supplier, b.l_suppkey AS peer, count(*) AS shared FROM parts a JOIN parts b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2""")
 def peers(spark: SparkSession, d: str) -> DataFrame:
-    """JON09: suppliers that share parts; an equi-join on the shared element, counted before it leaves the task."""
+    """JON09: suppliers that share parts which were sent back (a status of the line); an equi-join on the shared element, counted before it leaves the task."""
     p = table(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_suppkey", "l_partkey").distinct()
     salts = 8  # a part that most suppliers have is dealt over as many tasks
     a = p.withColumnRenamed("l_suppkey", "supplier").withColumn("salt", F.pmod(F.xxhash64("supplier"), F.lit(salts)))
