@@ -154,3 +154,19 @@ def running_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], amo
     """The rows of each key up to the first whose running sum exceeds the budget."""
     total = F.sum(amount).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("running", total).where(F.col("running") <= budget)
+
+
+def superseded_by_parent(df: DataFrame, id_: str, previous: str, parent: str, form: str = "^[0-9]+$") -> DataFrame:
+    """df with `supersedes`: the previous version, or else the parent that a listing names, if that is an id of the form and not the row's own."""
+    named = F.col(parent).cast("string")
+    fits = named.rlike(form) & (named != F.col(id_).cast("string"))
+    return df.withColumn("supersedes", F.coalesce(F.col(previous), F.when(fits, F.col(parent))))
+
+
+def unpointed(df: DataFrame, id_: str, replaced: Column, supersedes: str) -> DataFrame:
+    """Rows that are marked as replaced though no row supersedes them, and rows that supersede one that isn't there: id, rule."""
+    ids = df.select(F.col(id_).alias("_id")).distinct()
+    pointed = df.where(F.col(supersedes).isNotNull()).select(F.col(supersedes).alias("_id"), F.col(id_).alias("_by"))
+    lost = df.where(replaced).select(F.col(id_).alias("_id")).join(pointed.select("_id").distinct(), "_id", "left_anti").select(F.col("_id").alias(id_), F.lit("nothing supersedes it").alias("rule"))
+    wrong = pointed.join(ids, "_id", "left_anti").select(F.col("_by").alias(id_), F.lit("what it supersedes isn't there").alias("rule"))
+    return lost.unionByName(wrong)

@@ -68,3 +68,32 @@ def candidate_lists(spark: SparkSession, d: str) -> DataFrame:
     out = lambda df, name: df.select(F.date_format("week", "yyyy-MM-dd").alias("week"), F.lit(name).alias("list"), "event_id", "place")
     left = rows.where("event_type = 'view'").groupBy("week").agg(F.count("*").alias("place")).withColumn("event_id", F.lit(None).cast("bigint"))
     return out(first, "regular").unionByName(out(seen, "observed")).unionByName(out(left, "excluded"))
+
+
+_VERSIONS = """o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderstatus, year(o_orderdate) AS fy, min(o_orderkey) OVER (PARTITION BY o_custkey) AS parent FROM orders),
+v AS (SELECT *, last_value(CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey, fy ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM o),
+s AS (SELECT *, coalesce(previous, CASE WHEN parent <> o_orderkey THEN parent END) AS supersedes FROM v)"""
+
+
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as versions of a customer's year; the listing's parent is the customer's order with the smallest key."""
+    from sorrel.operators import relational as R
+
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", F.year("o_orderdate").alias("fy"))
+    first = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("parent"))
+    chain = R.version_chain(o, ["o_custkey", "fy"], ["o_orderdate", "o_orderkey"], "o_orderkey", F.col("o_orderstatus") != "P").withColumnRenamed("supersedes", "previous")
+    return R.superseded_by_parent(chain.join(first, "o_custkey"), "o_orderkey", "previous", "parent")
+
+
+@query(f"WITH {_VERSIONS} SELECT o_orderkey, supersedes FROM s")
+def superseded_parents(spark: SparkSession, d: str) -> DataFrame:
+    """INC15: what a version supersedes: the usable one before it in its year, or else the parent that the listing names."""
+    return _versions(spark, d).select("o_orderkey", "supersedes")
+
+
+@query(f"WITH {_VERSIONS} SELECT o_orderkey, 'nothing supersedes it' AS rule FROM s WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT supersedes FROM s WHERE supersedes IS NOT NULL)")
+def unpointed_versions(spark: SparkSession, d: str) -> DataFrame:
+    """JON16: versions that are marked as replaced (here those of status F) must be superseded by one, and what is superseded must be there."""
+    from sorrel.operators import relational as R
+
+    return R.unpointed(_versions(spark, d), "o_orderkey", F.col("o_orderstatus") == "F", "supersedes")

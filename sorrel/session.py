@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -24,7 +25,7 @@ def session(master: str = "local[8]", app: str = "sorrel", partitions: int = 8)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor sees; a temporary one on a single machine, as in tests.
+    """A new folder below spark.checkpoint.dir, which every executor sees; a temporary one on a single machine, as in tests. It goes when the process ends.
 
     Without that setting a cluster has no folder that all its machines share, so there it is an error.
     """
@@ -34,7 +35,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="sorrel-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes what a run has written when its process ends; after the session's end its owner clears the folder."""
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session has ended before
+        pass
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
