@@ -10,9 +10,9 @@ nothing is linked by an estimate. Equal sets are collapsed first.
   with a similarity of s shares one of the keys with a probability of 1 - (1 - s ** ROWS) ** BANDS: of pairs at 0.8 about
   three in a million are missed, and fewer above.
 
-Each set of a bucket is compared with the bucket's first one, which connects those that it links; the others meet all
-sets of the bucket, in chunks, each two of which are a group of their own, so what a task holds is the sets of two chunks
-at most. Pairs that are connected already aren't compared, so a large group of near copies costs in proportion to its
+Each set of a bucket is compared with the bucket's first one, which connects those that it links. What the links of all
+buckets together don't connect with its bucket's first set meets all sets of the bucket, in chunks, each two of which are
+a group of their own, so what a task holds is the sets of two chunks at most. Pairs that are connected already aren't compared, so a large group of near copies costs in proportion to its
 size. A group returns a forest of its links, never all its pairs. Sizes alone tell many pairs apart before a set moves.
 
 A set is compared by 32 bits of each shingle's hash, so two different shingles of a pair are taken for one with a chance
@@ -153,9 +153,16 @@ def edges(docs: DataFrame, rows: DataFrame) -> DataFrame:
             yield {"fp": batch.column(0), "pivot": batch.column(1), "near": near}
 
     tested = stored(by_batch(met.select("fp", "pivot", "data", "pivot_data"), against_first, "fp long, pivot long, near boolean"), "tested")
-    unlinked = tested.where("not near").select("fp", "pivot").unionByName(pairs.where("not fits").select("fp", "pivot"))
-    apart = members.where("n > 2").join(unlinked, ["fp", "pivot"], "left_semi")
-    apart = stored(apart, "apart")
+    u, v = (F.col(c).bitwiseXOR(F.lit(_FLIP)) for c in ("fp", "pivot"))
+    by_first = tested.where("near").select(F.greatest(u, v).bitwiseXOR(F.lit(_FLIP)).alias("u"), F.least(u, v).bitwiseXOR(F.lit(_FLIP)).alias("v"))
+    by_first = stored(by_first.distinct(), "links")
+    # Links with the first sets of all buckets connect most of a group; in a bucket only sets that they don't connect with
+    # its first one, by whatever way, must meet the others.
+    known = stored(components(by_first).select("fp", "root"), "known")
+    rooted = members.where("n > 2 and fp <> pivot").join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    of_first = known.select(F.col("fp").alias("pivot"), F.col("root").alias("pivot_root"))
+    rooted = salted_join(rooted, of_first, "pivot", "left", hot=hot, salt=F.xxhash64("fp"))
+    apart = stored(rooted.where(F.col("root") != F.coalesce("pivot_root", "pivot")).select("bucket", "fp", "n"), "apart")
     parts = apart.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     alone = salted_join(apart, parts, "bucket").select("bucket", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("b"), "fp")
@@ -185,8 +192,6 @@ def edges(docs: DataFrame, rows: DataFrame) -> DataFrame:
             yield settled()
 
     dealt = groups.join(sets, "fp").select("bucket", "a", "b", "fp", "data").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    u, v = (F.col(c).bitwiseXOR(F.lit(_FLIP)) for c in ("fp", "pivot"))
-    by_first = tested.where("near").select(F.greatest(u, v).bitwiseXOR(F.lit(_FLIP)).alias("u"), F.least(u, v).bitwiseXOR(F.lit(_FLIP)).alias("v"))
     return by_batch(dealt, compare, "u long, v long").unionByName(by_first).distinct()
 
 
