@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from sorrel.functions import markup as M
 from sorrel.functions import paragraphs as P
@@ -231,7 +232,7 @@ def decoded_pages(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", P.decoded(F.col("data"), F.col("type")).alias("text"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def written(text: pd.Series, which: pd.Series) -> pd.Series:
     """Texts as bytes of one of four encodings."""
     return pd.Series([t.encode(("utf-8", "cp932", "euc-jp", "utf-16")[k]) for t, k in zip(text, which, strict=True)])
