@@ -171,15 +171,15 @@ class Bits:
         values = known.select(F.col(key).alias("h")).distinct()
         self.size = min(MOST_BITS, 1 << max(15, (64 * values.count()).bit_length()))
         place = F.pmod("h", F.lit(self.size)) + 1
-        parts = values.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # size / 8 bytes at most
+        self.parts = stored(values.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")), "bits")
         bits = np.zeros((self.size // 32768, 4096), np.uint8)
-        for r in parts:
+        for r in self.parts.collect():  # size / 8 bytes at most
             bits[r["b"] - 1] = np.frombuffer(r["bits"], np.uint8)
         self.sent = known.sparkSession.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
         self.held: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"held": None}
+        return self.__dict__ | {"held": None, "parts": None}
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         if self.held is None:
@@ -187,6 +187,15 @@ class Bits:
         at = hashes.astype(np.int64, copy=False) & (self.size - 1)
         return (self.held[at >> 3] >> (at & 7)) & 1 == 1
 
+    def marked(self, df: DataFrame, key: str, mark: str) -> DataFrame:
+        """df with a column that says whether the hash in key may be among the known ones; for long rows, which stay in the JVM."""
+        place, part = F.pmod(F.col(key), F.lit(self.size)), free_name(df, "part")
+        table = F.broadcast(self.parts.select((F.col("b") - 1).alias(part), F.col("bits").alias(f"{part}_bits")))  # size / 8 bytes at most
+        at = place % 32768
+        byte = F.conv(F.hex(F.substring(F.col(f"{part}_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        bit = F.coalesce(F.floor(byte / F.pow(F.lit(2.0), at % 8)) % 2 == 1, F.lit(False))
+        return df.withColumn(part, F.floor(place / 32768)).join(table, part, "left").withColumn(mark, bit).drop(part, f"{part}_bits")
+
     def rows(self, df: DataFrame, key: str, held: bool = True) -> DataFrame:
         """The rows of df whose hash in a column may be among the known ones, or those whose hash isn't; null hashes are none."""
         own, place = self, df.columns.index(key)

@@ -69,7 +69,7 @@ def n_grams(code: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.nda
         with np.errstate(over="ignore"):
             h = h[:size] * np.uint64(0x9E3779B97F4A7C15) + code[n - 1 :] + np.uint64(1)
         whole = whole[:size] & inside[n - 2 : n - 2 + size] if n > 2 else whole[:size]
-        at = np.flatnonzero(whole & (inside[:size] | inside[n - 1 :]))
+        at = np.flatnonzero(whole if n > 2 else whole & (inside[:size] | inside[n - 1 :]))
         yield at, (mixed(h[at]) % np.uint64(buckets)).astype(np.int64)
 
 
