@@ -52,8 +52,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = stored(salted_join(named, first, "component_id").where(F.col(row) != F.col("first")).select(row), "others")
     # Texts move only where a map of bits can't tell that their row stays.
     key = free_name(rows, "hash")
-    rows, mark = rows.withColumn(key, F.xxhash64(row)), Bits(others.select(F.xxhash64(row).alias(key)), key)
-    kept = mark.rows(rows, key, held=False).unionByName(mark.rows(rows, key).join(others, row, "left_anti").select(*rows.columns))
+    rows = rows.withColumn(key, F.xxhash64(row))
+    mark = free_name(rows, "mark")
+    marked = Bits(others.select(F.xxhash64(row).alias(key)), key).marked(rows, key, mark)
+    kept = marked.where(~F.col(mark)).unionByName(marked.where(mark).join(others, row, "left_anti").select(*marked.columns))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
