@@ -160,7 +160,7 @@ def test_stages_equal_plain_versions(spark, sf_dir, odd_docs, rows, labels):
 
 def test_texts_of_any_length_are_media(spark):
     text = "abcdefg " * (1 << 23) + "x"  # 64 MiB and a byte
-    docs = spark.createDataFrame([(1, "x" * 100)], "doc_id long, text string").union(spark.range(1).selectExpr("id", f"concat(repeat('abcdefg ', {1 << 23}), 'x')"))
+    docs = spark.createDataFrame([(1, "x" * 100)], "doc_id long, text string").union(spark.range(1).selectExpr("id", f"concat(repeat('abcdefg ', cast(id + {1 << 23} as int)), 'x')"))  # made in a task, not a literal of the plan
     got = {r["doc_id"]: r for r in media.store_and_read(docs).collect()}
     payload = text.encode() + b"\xff" * (-len(text) % 576)
     assert (got[0]["n_bytes"], got[0]["payload_bytes"], got[0]["payload_sha256"]) == (len(text), len(payload), hashlib.sha256(payload).hexdigest())
