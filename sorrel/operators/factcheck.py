@@ -122,29 +122,41 @@ def deletions(word: Column, most: int) -> Column:
 
 def near_words(forms: DataFrame, words: DataFrame, most: int) -> DataFrame:
     """form, word and distance (0 to most) of all words near a form; both sides have one row each."""
-    keyed = lambda df, c: df.select(c, F.explode(deletions(F.col(c), most)).alias("key"))
+    # A plan takes a side for as large as its words, not as their deletions, and would send all of these to the driver.
+    keyed = lambda df, c: df.select(c, F.explode(deletions(F.col(c), most)).alias("key")).hint("merge")
     met = keyed(forms, "form").join(keyed(words, "word"), "key").select("form", "word").distinct()
     return met.withColumn("distance", F.levenshtein("form", "word")).where(F.col("distance") <= most)
 
 
 def _windows(drafts: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
-    """key, place, form: the parts of drafts as long as a word or one letter off that begin or end like one of that length."""
+    """key, place, form: the parts of drafts as long as a word or one letter off that may be one or be misspelt.
+
+    One that begins otherwise than its word has the wrong letter there: it ends like a word, and the word's third and
+    fourth letters stand where they belong or one place off.
+    """
     n = F.length("word")
-    signs = words.select(F.explode(F.array(n - 1, n, n + 1)).alias("n"), F.explode(F.array(F.concat(F.lit("<"), F.substring("word", 1, 2)), F.concat(F.lit(">"), F.expr("right(word, 2)")))).alias("sign")).where("n > 0").distinct()
+    near = F.array(n - 1, n, n + 1)
+    begins = words.select(F.explode(near).alias("n"), F.concat(F.lit("<"), F.substring("word", 1, 2)).alias("sign"))
+    ends = words.where(n >= 4).select(F.explode(near).alias("n"), F.concat(F.lit(">"), F.expr("right(word, 2)")).alias("sign"))
+    inner = words.where(n >= 4).select(F.lit(0).alias("n"), F.concat(F.lit("="), F.substring("word", 3, 2)).alias("sign"))
+    signs = begins.where("n > 0").unionByName(ends).unionByName(inner).distinct()
     kind = dict(drafts.dtypes)[key]
     rows = signs.limit(SIGNS + 1).collect()
     few = len(rows) <= SIGNS  # else any part of a word's length is looked at
     table: dict[str, list[int]] = {}
     for r in rows if few else []:
         table.setdefault(r["sign"], []).append(r["n"])
-    lengths = sorted({r["n"] for r in rows}) if few else [r["n"] for r in signs.select("n").distinct().orderBy("n").collect()]
+    lengths = sorted({r["n"] for r in rows} - {0}) if few else [r["n"] for r in signs.where("n > 0").select("n").distinct().orderBy("n").collect()]
 
     def parts(stretch: str) -> set[tuple[int, int]]:
         if not few:
             return {(p, p + size) for size in lengths for p in range(len(stretch) - size + 1)}
         two = [stretch[p : p + 2] for p in range(max(1, len(stretch) - 1))]
         begins = {(p, p + size) for p, x in enumerate(two) for size in table.get(f"<{x}", ()) if p + size <= len(stretch)}
-        return begins | {(p + 2 - size, p + 2) for p, x in enumerate(two) for size in table.get(f">{x}", ()) if p + 2 >= size}
+        # From where on a part may stand whose beginning alone is wrong.
+        known = [f"={x}" in table for x in two] + [False] * 4
+        from_ = [any(known[p + 1 : p + 4]) for p in range(len(two))]
+        return begins | {(p + 2 - size, p + 2) for p, x in enumerate(two) for size in table.get(f">{x}", ()) if p + 2 >= size and from_[p + 2 - size]}
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -167,7 +179,7 @@ def misspelt(drafts: DataFrame, key: str, text: str, dictionary: DataFrame | Seq
     ends = (F.substring("form", 1, 2) == F.substring("word", 1, 2)) | (F.expr("right(form, 2)") == F.expr("right(word, 2)"))
     wrong = (F.col("distance") == 1) & (F.length("word") >= 4) & ends & ~F.contains("form", F.col("word")) & F.col("form").rlike(f"^{WORDLIKE}$")
     kinds = near.groupBy("form").agg(F.bool_or(F.col("distance") == 0).alias("exact"), F.bool_or(wrong).alias("wrong")).where("exact OR wrong")
-    marked = held.join(kinds, "form").select(key, F.struct((-F.length("form")).alias("less"), "place", (F.col("place") + F.length("form")).alias("end"), "form").alias("x"), "exact", "wrong")
+    marked = held.hint("merge").join(kinds, "form").select(key, F.struct((-F.length("form")).alias("less"), "place", (F.col("place") + F.length("form")).alias("end"), "form").alias("x"), "exact", "wrong")
     if taken is not None:
         marked = marked.unionByName(taken.select(key, F.struct((-F.col("size")).alias("less"), "place", (F.col("place") + F.col("size")).alias("end"), F.lit(None).cast("string").alias("form")).alias("x"), F.lit(False).alias("exact"), F.lit(False).alias("wrong")))
     # A draft's hits alone are put together here.

@@ -102,7 +102,7 @@ def misspelt_names(spark: SparkSession, d: str) -> DataFrame:
     c, s, p = (table(spark, d, t) for t in ("customer", "supplier", "part"))
     plain = lambda x: F.replace(x, F.lit("#"), F.lit(""))
     words = c.select(plain(F.col("c_name")).alias("word")).unionByName(s.select(plain(F.col("s_name")).alias("word"))).unionByName(p.select(F.col("p_name").alias("word")))
-    o = table(spark, d, "orders").join(c, F.col("c_custkey") == F.col("o_custkey")).withColumn("place_", F.col("o_custkey") % s.count())
+    o = table(spark, d, "orders").join(c.hint("merge"), F.col("c_custkey") == F.col("o_custkey")).withColumn("place_", F.col("o_custkey") % s.count())
     o = o.join(s, F.col("s_suppkey") == F.col("place_")).withColumn("name", plain(F.when(F.col("o_orderkey") % 2 == 0, F.col("c_name")).otherwise(F.col("s_name"))))
     said = F.when(F.col("o_orderstatus") == "O", F.concat(F.expr("left(name, length(name) - 1)"), F.lit("x"))).when(F.col("o_orderstatus") == "F", F.col("name")).otherwise(F.concat(F.expr("left(name, 3)"), F.expr("substring(name, 5)")))
     return factcheck.misspelt(o.select("o_orderkey", F.concat(F.lit("Order "), said, F.lit(" of parts")).alias("text")), "o_orderkey", "text", words)

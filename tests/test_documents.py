@@ -71,6 +71,15 @@ def test_misspelt_names_equal_brute_force(spark, monkeypatch, most):
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, t in enumerate(texts) if (v := plain_misspelt(t, words))}
 
 
+def test_deletions_of_words_are_not_sent_to_the_driver(spark, tmp_path):
+    """A file of few bytes counts as a small side of a join, whatever its rows are exploded to."""
+    for name, column in (("forms", "form"), ("words", "word")):
+        spark.range(1000).selectExpr(f"concat('Customer', lpad(id, 9, '0')) AS {column}").write.parquet(str(tmp_path / name))
+    near = factcheck.near_words(spark.read.parquet(str(tmp_path / "forms")), spark.read.parquet(str(tmp_path / "words")), 1)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    assert near.where("distance = 0").count() == 1000
+
+
 @pytest.mark.parametrize("most", [1, 2])
 def test_near_words_equal_all_distances(spark, most):
     draw = random.Random(4)
