@@ -3,8 +3,9 @@
 Tokens of a group are put in order of rarity. Two sets that are similar enough share a token among the first few of each
 (a prefix whose length follows from the bound), so prefixes alone are joined, and a pair goes on only if its sizes and
 the places of the common token leave room for enough more. A token that many sets hold is no key by itself: sets that
-share no rarer one share at least two such tokens in prefixes one longer, so pairs of frequent tokens are the keys. Only
-among sets so small that one common token is enough does a frequent token stand alone. What is left is compared exactly.
+share only frequent ones there are counted in tiles instead: sets whose prefix has a frequent token are dealt into blocks
+of like size, and a pair of blocks whose sizes fit is one product of two matrices of sets by tokens. A tile's memory is
+bounded; the number of tiles grows with the square of such sets. What is left is compared exactly.
 
 Equal sets of a group are compared once. Nothing is dropped: each of these steps keeps every pair at or above the bound.
 """
@@ -14,6 +15,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,9 @@ from sorrel.session import kept
 FREQUENT = 128
 #: Products of sizes with the bound are rounded here before the ceiling is taken, so 0.15 * 20 is 3.
 _PLACES = 9
+#: Sets of a block, and tokens of a matrix at once: a tile takes some tens of MB.
+BLOCK, TOKENS = 2048, 1024
+TILE = ("_band_a", "_block_a", "_band_b", "_block_b")
 
 
 def _least(bound: float, n: Column) -> Column:
@@ -41,35 +47,90 @@ def _ordered(sets: DataFrame, by: Sequence[str]) -> DataFrame:
     distinct = sets.select(*by, F.sort_array(F.array_distinct("tokens")).alias("tokens")).where("size(tokens) > 0")
     distinct = kept(distinct.withColumn("set", F.struct(F.xxhash64("tokens").alias("a"), F.xxhash64(F.reverse("tokens"), F.lit(1)).alias("b"))).dropDuplicates([*by, "set"]), "sets")
     single = distinct.select(*by, "set", F.explode("tokens").alias("token"))
-    times = single.groupBy(*by, "token").agg(F.count("*").alias("times"))
+    times = kept(single.groupBy(*by, "token").agg(F.count("*").alias("times")), "times")  # its file says that it is the smaller side
     rows = single.join(times, [*by, "token"]).groupBy(*by, "set").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("tokens"))
     return kept(rows.withColumn("n", F.size("tokens")), "ordered")
 
 
+def _prefix(bound: float) -> Column:
+    """The tokens of which similar sets share one at least."""
+    return F.slice("tokens", F.lit(1), F.col("n") - _least(bound, F.col("n")) + 1)
+
+
 def _keys(ordered: DataFrame, by: Sequence[str], bound: float, frequent: int) -> DataFrame:
-    """by, set, n, key, place (of the key's first token), alone (a frequent token that stands by itself)."""
-    least = _least(bound, F.col("n"))
-    first = F.slice("tokens", F.lit(1), F.col("n") - least + 1)
-    one = F.filter(F.transform(first, lambda t, i: F.struct(F.xxhash64(t["token"]).alias("key"), i.alias("place"), (t["times"] > frequent).alias("alone"))), lambda x: ~x["alone"] | (least == 1))
-    # A frequent token is followed by frequent ones alone, so a pair's second token is at a later place.
-    longer = F.slice("tokens", F.lit(1), F.least(F.col("n"), F.col("n") - least + 2))
-    hot = F.filter(F.transform(longer, lambda t, i: F.struct(t["token"].alias("token"), i.alias("place"), t["times"].alias("times"))), lambda x: x["times"] > frequent)
-    two = F.flatten(F.transform(hot, lambda x: F.transform(F.filter(hot, lambda y: y["place"] > x["place"]), lambda y: F.struct(F.xxhash64(x["token"], y["token"]).alias("key"), x["place"].alias("place"), F.lit(False).alias("alone")))))
-    return ordered.select(*by, "set", "n", F.explode(F.concat(one, two)).alias("k")).select(*by, "set", "n", "k.*")
+    """by, set, n, key, place (of the key's token) for the tokens of prefixes that aren't frequent."""
+    places = F.transform(_prefix(bound), lambda t, i: F.struct(F.xxhash64(t["token"]).alias("key"), i.alias("place"), (t["times"] > frequent).alias("hot")))
+    return ordered.select(*by, "set", "n", F.explode(F.filter(places, lambda x: ~x["hot"])).alias("k")).select(*by, "set", "n", "k.key", "k.place")
+
+
+def _tiles(a: DataFrame, b: DataFrame, by: Sequence[str], bound: float) -> DataFrame:
+    """by, _set_a, _set_b of the sets of a and b (by, set, n, tokens) that are similar enough, by blocks of about BLOCK sets."""
+    # Four bands of sizes from one set to the largest or smallest that may be similar to it.
+    band = F.floor(F.log(F.col("n")) * (4 / max(-np.log(bound), 0.01))).cast("int")
+    counts = lambda x: x.groupBy(*by, "_band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_of"), F.min("n").alias("_low"), F.max("n").alias("_high"))
+    a, b = a.withColumn("_band", band), b.withColumn("_band", band)
+    x, y = counts(a), counts(b)
+    blocks = lambda z, c: z.select(*by, F.col("_band").alias(f"_band_{c}"), F.col("_of").alias(f"_of_{c}"), F.col("_low").alias(f"low_{c}"), F.col("_high").alias(f"high_{c}"), F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias(f"_block_{c}"))
+    fits = (F.col("high_b") >= F.col("low_a") * bound - 1e-6) & (F.col("high_a") >= F.col("low_b") * bound - 1e-6)
+    left, right = blocks(x, "a"), blocks(y, "b")
+    met = (left.join(right, list(by)) if by else left.crossJoin(right)).where(fits)
+    tiles = kept(met.select(*by, *(f"_{k}_{c}" for c in "ab" for k in ("band", "of", "block"))), "tiles")
+
+    def rows(sets: DataFrame, of: DataFrame, c: str, side: int) -> DataFrame:
+        dealt = sets.join(of.select(*by, "_band", "_of"), [*by, "_band"]).select(*by, F.col("_band").alias(f"_band_{c}"), F.pmod(F.col("set.b"), F.col("_of")).cast("int").alias(f"_block_{c}"), "set", "n", F.transform("tokens", lambda t: t["token"]).alias("tokens"))
+        return dealt.hint("merge").join(tiles, [*by, f"_band_{c}", f"_block_{c}"]).select(*by, *TILE, F.lit(side).alias("side"), "set", "n", "tokens")
+
+    schema = ", ".join([*(f"{k} {dict(a.dtypes)[k]}" for k in by), "_set_a struct<a: long, b: long>", "_set_b struct<a: long, b: long>"])
+    keys = [*by, *TILE]
+
+    def product(key: tuple, table: pa.Table) -> pa.Table:
+        tokens = table["tokens"].combine_chunks()
+        codes = tokens.flatten().dictionary_encode()
+        codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+        ids, n = codes.indices.to_numpy(zero_copy_only=False), table["n"].to_numpy().astype(np.float64)
+        owner = np.repeat(np.arange(len(n)), table["n"].to_numpy())
+        side = table["side"].to_numpy()
+        i, j = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        place = np.zeros(len(n), np.int64)
+        place[i], place[j] = np.arange(len(i)), np.arange(len(j))
+        common = np.zeros((len(i), len(j)), np.float32)
+        for low in range(0, len(codes.dictionary), TOKENS):  # whole numbers below 2^24 are exact
+            here = (ids >= low) & (ids < low + TOKENS)
+            parts = []
+            for number, size in ((0, len(i)), (1, len(j))):
+                own = here & (side[owner] == number)
+                part = np.zeros((size, TOKENS), np.float32)
+                part[place[owner[own]], ids[own] - low] = 1
+                parts.append(part)
+            common += parts[0] @ parts[1].T
+        # What is near the bound stays, as it is compared exactly later.
+        p, q = np.nonzero(common >= (bound / (1 + bound) * (n[i][:, None] + n[j][None, :]) - 1e-3).astype(np.float32))
+        p, q = p[common[p, q] > 0], q[common[p, q] > 0]
+        sets = table["set"].combine_chunks()
+        own = [pa.array([k.as_py()] * len(p), table.schema.field(name).type) for k, name in zip(key[: len(by)], by, strict=True)]
+        return pa.table([*own, sets.take(pa.array(i[p])), sets.take(pa.array(j[q]))], names=[*by, "_set_a", "_set_b"])
+
+    return rows(a, x, "a", 0).unionByName(rows(b, y, "b", 1)).groupBy(*keys).applyInArrow(product, schema)
 
 
 def _set_pairs(left: DataFrame, right: DataFrame, ordered: DataFrame, by: Sequence[str], bound: float, frequent: int) -> DataFrame:
     """by, a, b, similarity of the sets of left and right (columns by, set) that are similar enough; a set with itself too."""
+    # Joins of exploded or compressed sides are merges: a plan takes them for as small as their files.
     keys = _keys(ordered, by, bound, frequent)
-    side = lambda x, name: keys.join(x.select(*by, "set").distinct(), [*by, "set"], "left_semi").select(*by, F.col("set").alias(f"_set_{name}"), F.col("n").alias(f"n_{name}"), "key", F.col("place").alias(f"p_{name}"), "alone")
-    a, b = side(left, "a"), side(right, "b")
-    met = a.join(b, [*by, "key", "alone"])
+    of = lambda x: x.select(*by, "set").distinct()
+    side = lambda x, name: keys.join(of(x), [*by, "set"], "left_semi").select(*by, F.col("set").alias(f"_set_{name}"), F.col("n").alias(f"n_{name}"), "key", F.col("place").alias(f"p_{name}"))
+    met = side(left, "a").hint("merge").join(side(right, "b"), [*by, "key"])
     needed = _needed(bound, F.col("n_a"), F.col("n_b"))
     # The first common token leaves no more than what follows it in either set.
     room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
     large = F.least("n_a", "n_b") >= _least(bound, F.greatest("n_a", "n_b"))
-    found = met.where(large & (room >= needed)).select(*by, "_set_a", "_set_b").distinct()
-    tokens = ordered.select(*by, "set", F.transform("tokens", lambda t: t["token"]).alias("tokens"))
+    found = met.where(large & (room >= needed)).select(*by, "_set_a", "_set_b")
+    hot = kept(ordered.where(F.exists(_prefix(bound), lambda t: t["times"] > frequent)), "hot")
+    if not hot.isEmpty():
+        some = lambda x: hot.join(of(x), [*by, "set"], "left_semi")
+        found = found.unionByName(kept(_tiles(some(left), some(right), by, bound), "tiles-found"))
+    found = found.distinct()
+    tokens = ordered.select(*by, "set", F.transform("tokens", lambda t: t["token"]).alias("tokens")).hint("merge")
     both = found.join(tokens.select(*by, F.col("set").alias("_set_a"), F.col("tokens").alias("x")), [*by, "_set_a"]).join(tokens.select(*by, F.col("set").alias("_set_b"), F.col("tokens").alias("y")), [*by, "_set_b"])
     common = F.size(F.array_intersect("x", "y"))
     return both.select(*by, "_set_a", "_set_b", (common / (F.size("x") + F.size("y") - common)).alias("similarity")).where(F.col("similarity") >= bound)

@@ -46,6 +46,17 @@ def test_pairs_equal_all_pairs(sides, bound, frequent):
     assert len(got) == len(want) and {r[:3]: r[3] for r in got} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("bound", [0.15, 0.8])
+def test_frequent_tokens_meet_in_tiles(sides, monkeypatch, bound):
+    """Sets of frequent tokens alone are dealt into blocks and counted by matrices, in parts of the tokens."""
+    monkeypatch.setattr(setjoin, "BLOCK", 16)
+    monkeypatch.setattr(setjoin, "TOKENS", 7)
+    left, right, a, b = sides
+    want = {(g, k, m): jaccard(x, y) for g, k, x in left for h, m, y in right if g == h and x and y and jaccard(x, y) >= bound}
+    got = [tuple(r) for r in setjoin.similar_pairs(a, b, "l", "r", "tokens", bound, ["g"], 0).collect()]
+    assert len(got) == len(want) and {r[:3]: r[3] for r in got} == pytest.approx(want)
+
+
 def test_best_matches_equal_all_pairs(sides):
     left, right, a, b = sides
     want = {}
