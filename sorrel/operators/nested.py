@@ -32,8 +32,8 @@ def leaves(df: DataFrame, keys: Sequence[str], document: str, members: Mapping[s
     level = df.select(*keys, F.lit("").alias("pointer"), F.lit(None).cast("string").alias("_under"), F.try_parse_json(F.col(document).cast("string")).alias("_v")).where("_v IS NOT NULL")
     done: list[DataFrame] = []
     while True:
-        opened = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer())).select(*keys, "pointer", "_under", F.col("_v"), F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value"))
-        opened = kept(opened, "level")
+        opened = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer())).select(*keys, "pointer", "_under", F.when(F.col("pos").isNull(), F.col("_v")).alias("_v"), F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value"))
+        opened = kept(opened, "level")  # a container isn't written again with each of its children
         leaf = opened.where("_pos IS NULL")
         schema = F.schema_of_variant("_v")
         kind = F.when(schema == "VOID", "null").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean").when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").otherwise("number")
