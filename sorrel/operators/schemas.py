@@ -52,6 +52,11 @@ def _member(value: Column, name: str) -> Column:
     return F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(name))
 
 
+def _let(value: Column, result: Callable[[Column], Column]) -> Column:
+    """result of a value that is made once, however often result names it."""
+    return F.get(F.transform(F.array(value), result), 0)
+
+
 class Compiler:
     """Checks of a schema and of what its references name; a reference that leads back to itself can't be compiled."""
 
@@ -143,7 +148,8 @@ class Compiler:
         checks = {n: self.check(s, within) for n, s in sorted(schema["properties"].items())}
 
         def run(v: Column, p: Column) -> Column:
-            return F.concat(_none(), *(F.when(_member(v, n).isNotNull(), c(_member(v, n), F.concat(p, _token(F.lit(n))))).otherwise(_none()) for n, c in checks.items()))
+            one = lambda n, c: _let(_member(v, n), lambda m: F.when(m.isNotNull(), c(m, F.concat(p, _token(F.lit(n))))).otherwise(_none()))
+            return F.concat(_none(), *(one(n, c) for n, c in checks.items()))
 
         return run
 
@@ -213,7 +219,11 @@ class Compiler:
 
 def violations(document: Column, schema: dict, first: int | None = 10) -> Column:
     """The violations of a JSON text by path and keyword as an array of structs, the first ten by default; a text that isn't JSON has one, null has none."""
-    value = F.try_parse_json(document)
-    found = F.sort_array(F.array_distinct(Compiler(schema).check(schema)(value, F.lit(""))))
-    found = found if first is None else F.slice(found, 1, first)
-    return F.when(value.isNotNull(), found).when(document.isNotNull(), _one(F.lit(True), F.lit(""), "json")).otherwise(_none())
+    check = Compiler(schema).check(schema)
+
+    def run(value: Column) -> Column:
+        found = F.sort_array(F.array_distinct(check(value, F.lit(""))))
+        found = found if first is None else F.slice(found, 1, first)
+        return F.when(value.isNotNull(), found).when(document.isNotNull(), _one(F.lit(True), F.lit(""), "json")).otherwise(_none())
+
+    return _let(F.try_parse_json(document), run)

@@ -52,3 +52,21 @@ def test_what_cannot_be_compiled():
     for schema in ({"$ref": "#/$defs/a", "$defs": {"a": {"items": {"$ref": "#/$defs/a"}}}}, {"$ref": "http://x"}, {"dependentSchemas": {}}, {"format": "idn"}):
         with pytest.raises(ValueError):
             schemas.Compiler(schema).check(schema)
+
+
+def test_a_text_is_parsed_once(spark):
+    df = spark.range(3).selectExpr("id", "concat('{\"a\":{\"b\":', id, '}}') AS doc")
+    schema = {"required": ["c"], "properties": {"a": {"type": "object", "properties": {"b": {"maximum": 1, "minimum": 0}}}}}
+    plan = df.select(schemas.violations(F.col("doc"), schema).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json(") + plan.lower().count("parsejson(") <= 1
+
+
+def test_containers_are_not_written_with_their_children(spark, monkeypatch):
+    from sorrel.operators import nested
+
+    written, own = [], nested.kept
+    monkeypatch.setattr(nested, "kept", lambda df, name: written.append(own(df, name)) or written[-1])
+    df = spark.createDataFrame([(1, '{"a":[1,{"b":null}],"c":{}}')], "k int, doc string")
+    got = {(r["pointer"], r["kind"], r["value"]) for r in nested.leaves(df, ["k"], "doc").collect()}
+    assert got == {("/a/0", "number", "1"), ("/a/1/b", "null", None), ("/c", "object", "{}")}
+    assert written and sum(x.where("_pos IS NOT NULL AND _v IS NOT NULL").count() for x in written) == 0
