@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sorrel.functions import scalars as S
-from sorrel.operators import relational as R
-from sorrel.operators import setjoin
+from sorrel.operators import nearest, setjoin
 from sorrel.plans.metrics import money
 from sorrel.plans.registry import query
 from sorrel.plans.texts import PAIRS, PLAIN
@@ -115,11 +114,9 @@ def picked_sections(spark: SparkSession, d: str) -> DataFrame:
 
 def assigned_customers(spark: SparkSession, d: str) -> DataFrame:
     """JON15: suppliers and customers of a nation paired one to one by closeness of their balances; a custom fold, so without SQL."""
-    band = lambda c: F.floor(F.col(c) / 100)
-    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal", F.explode(F.array(band("s_acctbal") - 1, band("s_acctbal"), band("s_acctbal") + 1)).alias("band"))
-    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal", band("c_acctbal").alias("band"))
-    pairs = s.join(c, ["nation", "band"]).withColumn("score", 1 / (1 + F.abs(F.col("s_acctbal") - F.col("c_acctbal"))))
-    return R.greedy_pairs(pairs, "nation", "s_suppkey", "c_custkey", "score", 0.015)
+    s = table(spark, d, "supplier").withColumnRenamed("s_nationkey", "nation")
+    c = table(spark, d, "customer").withColumnRenamed("c_nationkey", "nation")
+    return nearest.nearest_pairs(s, c, "nation", "s_suppkey", "c_custkey", ("s_acctbal", "c_acctbal"), 0.015)
 
 
 query(None)(assigned_customers)
