@@ -20,6 +20,7 @@ from sorrel.functions import markup as M
 from sorrel.functions import paragraphs as P
 from sorrel.operators import factcheck, overlap, restate
 from sorrel.operators import relational as R
+from sorrel.plans import catalog
 from sorrel.sources import archives
 
 
@@ -322,10 +323,15 @@ def test_marks_of_paragraphs_are_made_once(spark, sf_dir):
 
 def test_codes_of_more_than_five_digits(spark, sf_dir, tmp_path):
     """Codes have five digits whatever the customer's key, and a second code differs from any of them."""
-    from sorrel.plans import catalog
 
     from .compare import connection, differences
 
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     o.withColumn("o_custkey", F.when(F.col("o_orderkey") % 17 == 0, F.lit(99999).cast(o.schema["o_custkey"].dataType)).otherwise(F.col("o_custkey") + 99990)).limit(500).write.parquet(str(tmp_path / "orders.parquet"))
     assert not differences(catalog.QUERIES["extracted_documents"](spark, str(tmp_path)), catalog.ORACLES["extracted_documents"], connection(str(tmp_path)))
+
+
+@pytest.mark.parametrize("name", ["page_paragraphs", "news_pages", "quiz_questions", "body_blocks", "glossary_rows", "listed_bundles", "decoded_pages"])
+def test_a_file_is_work_of_many_tasks(spark, sf_dir, name):
+    """Work in Python isn't one task for each of a file's row groups."""
+    assert catalog.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
