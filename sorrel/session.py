@@ -56,6 +56,11 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
-    """df in as many partitions as a shuffle has, for work in Python on short rows: a file's row group is one task, however many rows it holds."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+def dealt(df: DataFrame, key: str, rows: int = 0, each: int = 500_000) -> DataFrame:
+    """df in as many partitions as a shuffle has, or as rows ask for with so many in each, which aren't put together again.
+
+    For work in Python on short rows, as a file's row group is one task however many rows it holds; and for joins whose
+    rows take many times the memory of their compressed bytes, by which partitions are put together else.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // each)), key)

@@ -130,3 +130,13 @@ def test_stream_merges_late_rows(spark, tmp_path):
     stream = windows.read(spark, str(tmp_path / "in"))
     got = {r["k"]: (r["v"], r["n"]) for r in merges.latest(stream, ["k"], ["at"]).collect()}
     assert got == {1: ("b", 2), 2: ("y", 2)}
+
+
+def test_dated_lines_stay_in_their_partitions(spark, sf_dir):
+    """A join's rows are dealt by their number; partitions put together by compressed bytes hold many times that in memory."""
+    from sorrel.plans import catalog
+    from sorrel.session import dealt
+
+    assert dealt(spark.range(10), "id", 100, 2).rdd.getNumPartitions() == 50
+    plan = catalog.QUERIES["event_problems"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2
