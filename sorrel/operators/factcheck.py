@@ -47,6 +47,7 @@ SOURCE_DAY = re.compile(rf"{_DAY}|(?P<y>\d{{4}})[/.-](?P<m>\d{{1,2}})[/.-](?P<d>
 #: An amount with its unit, or a number that ends there.
 AMOUNT = re.compile(rf"(?<![0-9A-Za-z.,/])(?P<number>\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d+(?:\.\d+)?)(?:\s*(?P<unit>{_UNIT})|(?![0-9A-Za-z]))")
 COMPANY = re.compile(rf"株式会社{_NAME}|{_NAME}(?:{'|'.join(SUFFIXES)})")
+_STOP = re.compile(f"[{re.escape(LABEL_STOP)}]")
 #: Pairs of two letters and a length that are sent to all tasks at most, to look at fewer forms; without them all are looked at.
 SIGNS = 1 << 18
 
@@ -65,8 +66,7 @@ def amounts(stretch: str) -> Iterator[tuple[re.Match, float, int]]:
 
 def label_of(head: str) -> str:
     """The words at the end of a text, after the last character that ends a label and without particles behind."""
-    own = re.search(f"[^{re.escape(LABEL_STOP)}]{{0,{LABEL_MOST}}}$", head)
-    return own[0].rstrip(LABEL_TAIL) if own else ""
+    return _STOP.split(head.removesuffix("\n")[-LABEL_MOST:])[-1].rstrip(LABEL_TAIL)
 
 
 def stretches(text: str) -> Iterator[tuple[int, str, re.Match | None]]:
