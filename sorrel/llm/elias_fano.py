@@ -20,6 +20,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
+        self.decoded: np.ndarray | None = None
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -81,11 +82,25 @@ class EliasFano:
         return (out & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        return ((self._select(i, True) - i) << self.low_bits) + self._low(i)
+        return ((self._select(i, True) - i) << self.low_bits) + self._low(i) if self.decoded is None else self.decoded[i]
+
+    def values(self) -> np.ndarray:
+        """All elements, decoded at once."""
+        out = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
+        for k in range(0, self.n, 1 << 17):
+            i = np.arange(k, min(self.n, k + (1 << 17)))
+            out[i] = ((out[i] - i) << self.low_bits) + self._low(i)
+        return out
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the first element that is not below x (n if none), and whether it equals x."""
+        """Index of the first element that is not below x (n if none), and whether it equals x.
+
+        With the sequence decoded it is searched at once, else each one's bucket is.
+        """
         x = x.astype(np.int64)
+        if self.decoded is not None and self.n:
+            index = np.searchsorted(self.decoded, x)
+            return index, self.decoded[np.minimum(index, self.n - 1)] == x
         bucket, low = x >> self.low_bits, x & ((1 << self.low_bits) - 1)
         zeros = len(self.high) * 8 - self.n
         inside = bucket < zeros
@@ -134,7 +149,8 @@ class TrieLevel:
         share = (counts - discount) / total[owner]
         code = np.minimum(1 + np.ceil(-np.log(share) / STEP - 1e-9), 255).astype(np.uint8)
         code = np.where(SHARES[code] > share + 1e-12, 0, code).astype(np.uint8)
-        here, rank = np.unique(owner, return_inverse=True)
+        first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
+        here, rank = owner[first], np.cumsum(first) - 1
         used = np.bincount(rank, SHARES[code], len(here)).astype(np.float32)
         pointers = np.concatenate([[0], np.cumsum(np.bincount(rank, minlength=len(here)))])
         words = keys & np.uint64((1 << WORD) - 1)
@@ -147,6 +163,11 @@ class TrieLevel:
     def of(cls, arrays: Iterator[np.ndarray]) -> TrieLevel:
         return cls(EliasFano.of(arrays), EliasFano.of(arrays), EliasFano.of(arrays), next(arrays), next(arrays))
 
+    def decode(self) -> None:
+        """Holds contexts, pointers and successors decoded, for many lookups: 8 bytes an element."""
+        for x in (self.contexts, self.pointers, self.successors):
+            x.decoded = x.values()
+
     def lookup(self, contexts: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For contexts with so many words each: the codes of the n-grams' shares, their numbers (-1 if unknown), and what each context's shares add up to (0 if unknown)."""
         rank, known = self.contexts.successor(contexts)
@@ -196,4 +217,4 @@ def memory_mapped(data: bytes) -> Iterator[TrieLevel]:
     with tempfile.NamedTemporaryFile(prefix="trie-") as file:
         file.write(data)
         file.flush()
-        yield from_buffer(np.memmap(file.name, np.uint8, "r"))
+        yield from_buffer(np.asarray(np.memmap(file.name, np.uint8, "r")))

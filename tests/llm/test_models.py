@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -176,3 +177,20 @@ def test_successors_in_many_sequences():
         few = [EliasFano.build(np.concatenate([values, values[-1] + np.arange(1, 400, dtype=np.uint64)])).successor(asked[k : k + 3])[0] for k in range(0, 9, 3)]
         assert (np.concatenate(few) == np.searchsorted(np.concatenate([values, values[-1] + np.arange(1, 400, dtype=np.uint64)]), asked[:9])).all()
         assert (index == np.searchsorted(values, asked)).all() and (found == np.isin(asked, values)).all()
+
+
+def test_a_block_takes_few_bytes_a_token():
+    """With 64-bit places beside each token and sorts by argument it took 96."""
+    rng, n = np.random.default_rng(5), 1 << 18
+    tokens, numbers = (rng.zipf(1.2, n) % 20000).astype(np.uint32), rng.permutation(20000).astype(np.uint64) + np.uint64(2)
+    columns = (np.full(n // 64, 64, np.uint32), tokens, numbers, np.bincount(tokens, minlength=20000).astype(np.uint32))
+    tracemalloc.start()
+    try:
+        block = language_model.Block(*map(language_model.packed, columns), n // 64, 4, 1 << 20)
+        (level,) = (level for level, _, _ in block.levels([], 2))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    before = [1 if i % 64 == 0 else int(numbers[tokens[i - 1]]) for i in range(n)]
+    assert list(zip(level.contexts[level.rank].tolist(), level.words.tolist(), strict=True)) == sorted({*zip(before, numbers[tokens].tolist(), strict=True)})
+    assert peak < 60 * n
