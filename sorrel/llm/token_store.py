@@ -96,7 +96,9 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end: int = 1, vocabu
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encode = kept_encoder(LibraryEncoder, tokenizer).encode_column
+        encoder = kept_encoder(LibraryEncoder, tokenizer)
+        encoder.words.most = 1 << 17  # of words that come again, more are still there
+        encode = encoder.encode_column
         table = id_values(np.arange(vocabulary))
         seen: set[bytes] = set()
         for batch in (x for b in batches for x in pieces(b, 1 << 21)):
@@ -163,45 +165,43 @@ def _part(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, kind string").parquet(f"{path}/parts").where(F.col("kind") == kind).drop("kind")
 
 
-@lru_cache(maxsize=4096)
-def _crc_shift(n_bytes: int) -> tuple[int, ...]:
-    """What so many further bytes make of each bit of a CRC-32: 32 columns of a matrix over GF(2)."""
-
-    def times(m: tuple[int, ...], x: int) -> int:
-        out = 0
-        for column in m:
-            if x & 1:
-                out ^= column
-            x >>= 1
-            if not x:
-                break
-        return out
-
-    one_bit = (0xEDB88320, *(1 << k for k in range(31)))
-    square = one_bit
-    for _ in range(3):
-        square = tuple(times(square, c) for c in square)
-    result = tuple(1 << k for k in range(32))
-    while n_bytes:
-        if n_bytes & 1:
-            result = tuple(times(square, c) for c in result)
-        square = tuple(times(square, c) for c in square)
-        n_bytes >>= 1
-    return result
+@lru_cache(maxsize=64)
+def _crc_shift(power: int) -> np.ndarray:
+    """What 2^power further bytes make of a CRC-32, a linear map over GF(2), as a table for each of its four bytes."""
+    if power:
+        columns = _shifted(_shifted(np.uint32(1) << np.arange(32, dtype=np.uint32), _crc_shift(power - 1)), _crc_shift(power - 1))
+    else:
+        columns = np.uint32(1) << np.arange(32, dtype=np.uint32)
+        for _ in range(8):
+            columns = columns >> np.uint32(1) ^ np.where(columns & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+    bits = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(bool)
+    return np.array([np.bitwise_xor.reduce(np.where(bits, columns[8 * k : 8 * k + 8], np.uint32(0)), axis=1) for k in range(4)], np.uint32)
+
+
+def _shifted(crc: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    out = tables[0][crc & np.uint32(255)]
+    for k in range(1, 4):
+        out = out ^ tables[k][crc >> np.uint32(8 * k) & np.uint32(255)]
+    return out
+
+
+def crc32_runs(crc: np.ndarray, n_bytes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """CRC-32 of concatenations from those of their parts and the parts' numbers of bytes; first: where each one's parts begin, of one part at least."""
+    out, sizes = crc.astype(np.uint32), np.diff(np.append(first, len(crc)))
+    ends = np.cumsum(n_bytes.astype(np.int64))
+    after = np.repeat(ends[first + sizes - 1], sizes) - ends  # bytes that follow a part
+    power = 0
+    while after.any():
+        at = np.flatnonzero(after & 1)
+        out[at] = _shifted(out[at], _crc_shift(power))
+        after >>= 1
+        power += 1
+    return np.bitwise_xor.reduceat(out, first) if len(first) else np.zeros(0, np.uint32)
 
 
 def crc32_joined(parts: list[tuple[int, int]]) -> int:
     """CRC-32 of a concatenation from the (CRC-32, number of bytes) of its parts."""
-    out = 0
-    for crc, n in parts:
-        for column in _crc_shift(n):
-            if out & 1:
-                crc ^= column
-            out >>= 1
-            if not out:
-                break
-        out = crc
-    return out
+    return int(crc32_runs(*np.array(parts, np.int64).T, np.zeros(1, np.int64))[0]) if parts else 0
 
 
 def read_documents_back(spark: SparkSession, path: str, vocabulary: int = 49408) -> DataFrame:
@@ -221,12 +221,15 @@ def read_documents_back(spark: SparkSession, path: str, vocabulary: int = 49408)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            doc, start, n, root, found = (c.to_pylist() for c in batch.columns)
-            crc, good = [], []
-            for r, m, parts in zip(root, n, found, strict=True):
-                crc.append(crc32_joined([(p["crc"], 4 * p["n"]) for p in parts]))
-                good.append(all(p["good"] for p in parts) and sum(p["n"] for p in parts) == m and merkle_root([p["key"] for p in parts]) == r)
-            yield {"doc_id": doc, "start": start, "n_tokens": n, "ids_crc32": crc, "verified": good}
+            n_tokens, roots, lists = batch.column(2).to_numpy(), batch.column(3).to_pylist(), batch.column(4)
+            cuts = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+            _, key, n, crc, good = lists.flatten().flatten()
+            n, good, first = n.fill_null(0).to_numpy(), good.to_numpy(zero_copy_only=False), cuts[:-1]
+            names = key.to_pylist()
+            right = np.array([merkle_root(names[a:b]) == r for a, b, r in zip(cuts[:-1].tolist(), cuts[1:].tolist(), roots, strict=True)], bool)
+            if len(first):
+                right &= np.logical_and.reduceat(good, first) & (np.add.reduceat(n, first) == n_tokens)
+            yield {"doc_id": batch.column(0), "start": batch.column(1), "n_tokens": batch.column(2), "ids_crc32": crc32_runs(crc.fill_null(0).to_numpy(), 4 * n, first).astype(np.int64), "verified": right}
 
     known = by_batch(_chunks(spark, path), chunks, "key binary, n long, crc long, good boolean")
     recipes = started(spark, path)

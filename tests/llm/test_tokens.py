@@ -130,3 +130,13 @@ def test_no_rows(no_docs):
     assert token_store.store_and_read(no_docs, public_tokenizers.path("word_bpe_49k.json")).count() == 0
     assert bpe.round_trip(no_docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
     assert packing.pack(no_docs, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_checksums_of_many_runs_at_once():
+    """A batch's documents together; one after the other, they took most of the time of reading the store."""
+    rng = np.random.default_rng(6)
+    parts = [rng.bytes(int(k)) for k in [0, 0, 1, 4, *rng.integers(0, 5000, 200), 0]]
+    first = np.array([0, 1, 2, 40, 41, 150])
+    got = token_store.crc32_runs(np.array([zlib.crc32(p) for p in parts]), np.array([len(p) for p in parts]), first)
+    assert got.tolist() == [zlib.crc32(b"".join(parts[a:b])) for a, b in zip(first, [*first[1:], len(parts)], strict=True)]
+    assert token_store.crc32_runs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
