@@ -2,8 +2,8 @@
 
 The patterns of the byte-level and the word tokenizer always split between a word and the space before the next one, and
 at a line break between words. So a column of texts is split at single spaces and line breaks, the distinct pieces' ids
-are looked up, and new pieces alone go to the library: a word of Latin letters as the one pre-token that it is, anything
-else as a text of its own. Texts with other white space at a split (two spaces, tabs at an end) go through a pattern that
+are looked up, and new pieces alone go to the library, many at once: a word of Latin letters as the one pre-token that it
+is, anything else as a text of its own. Texts with other white space at a split (two spaces, tabs at an end) go through a pattern that
 splits less; texts that hold the string of a special token go to the library whole.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,45 @@ def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.
     return pool[at], ends
 
 
+class Coded:
+    """ids by distinct texts, looked up as Arrow, in two generations of bounded size: what was met lately outlives what was not."""
+
+    def __init__(self, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], most: int = 1 << 16):
+        self.make, self.most = make, most  # make: new texts -> their ids one after the other, and how many each has (-1: none)
+        self.young = self.old = (pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where in it each text's begin and how many they are."""
+        if len(self.young[0]) > self.most:
+            self.old, self.young = self.young, tuple(x[:0] for x in self.young)
+        known, pool, start, size = self.young
+        at = _places(texts, known)
+        missed = np.flatnonzero(at < 0)
+        if len(missed):
+            rest = texts.take(pa.array(missed))
+            before, ids, begin, count = self.old
+            place = _places(rest, before)
+            held, new = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+            made, sizes = self.make(rest.take(pa.array(new)))
+            sizes = np.concatenate([count[place[held]], sizes])
+            again, _ = gathered(ids, begin[place[held]], np.maximum(count[place[held]], 0))
+            order = np.concatenate([held, new])
+            at[missed[order]] = len(known) + np.arange(len(order))
+            start = np.concatenate([start, len(pool) + np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)])
+            size, pool = np.concatenate([size, sizes]), np.concatenate([pool, again, made])
+            self.young = (pa.concat_arrays([known, rest.take(pa.array(order))]), pool, start, size)
+        return pool, start[at], size[at]
+
+
+def _places(texts: pa.Array, known: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.index_in(texts, value_set=known), -1).to_numpy().copy()
+
+
+def in_a_row(found: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """ids of all one after the other, and how many each has: -1 for None."""
+    return np.frombuffer(b"".join(filter(None, found)), "<u4"), np.array([-1 if f is None else len(f) // 4 for f in found], np.int64)
+
+
 class TextEncoder:
     """ids of texts as 32-bit integers. Subclasses say how pre-tokens and whole parts are encoded."""
 
@@ -45,8 +85,8 @@ class TextEncoder:
 
     def __init__(self):
         self.table = dict(enumerate(byte_characters()))
-        self.words = Kept(self.encode_words)
-        self.others = Kept(self._new_others)
+        self.words = Coded(self.new_words)
+        self.others = Coded(lambda pieces: in_a_row(self._new_others(pieces.to_pylist())))
         self.parts = Kept(self.encode_parts)
         self.stops = self.encode_parts([".", ","])
         self.line = self.encode_parts(["\n"])[0]
@@ -55,6 +95,10 @@ class TextEncoder:
         """ids of words of Latin letters, a space before each or not."""
         raise NotImplementedError
 
+    def new_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of such words one after the other, and how many each has."""
+        return in_a_row(self.encode_words(words.to_pylist()))
+
     def encode_parts(self, parts: list[str]) -> list[bytes]:
         """ids of any texts, each by itself."""
         raise NotImplementedError
@@ -89,13 +133,13 @@ class TextEncoder:
             words = pc.binary_join_element_wise(pc.if_else(pa.array(first[is_word]), "", " "), words, "")
         coded = words.dictionary_encode()
         rest = pc.binary_join_element_wise(pc.if_else(lined, "", " "), own, "").filter(pa.array(~is_word))
-        found = [*self.words([coded.dictionary.to_pylist()])[0], *self.others([rest.to_pylist()])[0]]
-        sizes = np.array([-1 if f is None else len(f) // 4 for f in found], np.int64)
+        pools, starts, sizes = zip(self.words(coded.dictionary), self.others(rest), strict=True)
         fixed = [self.line, *self.stops]
-        pool = np.frombuffer(b"".join([*fixed, *filter(None, found)]), "<u4")
         fixed_sizes = np.array([len(x) // 4 for x in fixed], np.int64)
         fixed_starts = np.cumsum(fixed_sizes) - fixed_sizes
-        starts = fixed_sizes.sum() + np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+        pool = np.concatenate([np.frombuffer(b"".join(fixed), "<u4"), *pools])
+        starts = np.concatenate([starts[0], starts[1] + len(pools[0])]) + fixed_sizes.sum()
+        sizes = np.concatenate(sizes)
         entry = np.empty(len(pieces), np.int64)
         entry[is_word] = coded.indices.to_numpy()
         entry[~is_word] = len(coded.dictionary) + np.arange(len(rest))
@@ -172,17 +216,41 @@ class LibraryEncoder(TextEncoder):
 
     def __init__(self, path: str, special_as_text: bool = False):
         env_single_thread()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         with open(path, "rb") as file:
-            self.special = () if special_as_text else tuple(t["content"] for t in json.load(file)["added_tokens"])
+            added = [] if special_as_text else json.load(file)["added_tokens"]
+        self.special = tuple(t["content"] for t in added)
+        plain = [t for t in added if t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])]
+        self.between = (plain[0]["content"], plain[0]["id"]) if plain else None  # what stands beside it is encoded by itself
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
         self.keeps_space = len(self.tokenizer.encode(" a", add_special_tokens=False).ids) != 0 and self.tokenizer.encode(" a", add_special_tokens=False).ids != self.tokenizer.encode("a", add_special_tokens=False).ids
+        # Where a suffix marks the end of each word, words go to the model many at once and are told apart by it.
+        suffix, names = self.model.end_of_word_suffix, self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends: np.ndarray | None = None
+        if suffix and all(c + suffix in names for c in byte_characters()):
+            self.ends = np.zeros(max(names.values()) + 1, bool)
+            self.ends[[k for name, k in names.items() if name.endswith(suffix)]] = True
+            self.plain = Tokenizer(self.model)
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         super().__init__()
 
+    def new_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.ends is None:
+            return super().new_words(words)
+        listed, keep = words.to_pylist(), self.table | {32: " "}
+        texts = [" ".join(listed[k : k + 256]) for k in range(0, len(listed), 256)]
+        texts = [t if t.isascii() else t.encode().decode("latin-1").translate(keep) for t in texts]
+        found = self.plain.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in found)])
+        sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(sizes) != len(listed):
+            raise ValueError("a word without an end")
+        return ids, sizes
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         tokenize, space = self.model.tokenize, self.table[32]
         flat: list[int] = []
@@ -196,9 +264,27 @@ class LibraryEncoder(TextEncoder):
     def encode_parts(self, parts: list[str]) -> list[bytes]:
         out = []
         for k in range(0, len(parts), 1024):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts[k : k + 1024], add_special_tokens=False)]
+            out += self._between(parts[k : k + 1024])
         return out
 
+    def _between(self, parts: list[str]) -> list[bytes]:
+        """ids of parts, which go to the library many at once with a special token between, where no part holds one."""
+        if self.between and len(parts) > 1:
+            mark, number = self.between
+            groups = [parts[k : k + 32] for k in range(0, len(parts), 32)]
+            found = self.tokenizer.encode_batch_fast([mark.join(g) for g in groups], add_special_tokens=False)
+            out: list[bytes] = []
+            for group, encoding in zip(groups, found, strict=True):
+                ids = np.array(encoding.ids, "<u4")
+                cuts = np.flatnonzero(ids == number).tolist()
+                if len(cuts) != len(group) - 1 or any(s in p for p in group for s in self.special):
+                    break
+                data = ids.tobytes()
+                out += [data[4 * a + 4 : 4 * b] for a, b in zip([-1, *cuts], [*cuts, len(ids)], strict=True)]
+            else:
+                return out
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
 
 _encoders: dict[tuple, TextEncoder] = {}
 

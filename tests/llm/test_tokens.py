@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from sorrel.llm import bpe, packing, token_store
+from sorrel.llm import bpe, encoding, packing, token_store
 
 
 @pytest.fixture(scope="module")
@@ -72,6 +72,31 @@ def test_a_broken_chunk_is_reported(spark, tmp_path):
     assert not any(r["verified"] for r in token_store.read_documents_back(spark, f"{path}-spoilt").collect())
 
 
+def test_new_words_and_parts_go_to_the_library_many_at_once(monkeypatch, word_ids, byte_ids):
+    """No call a word or part; what two generations of the cache hold or lose changes nothing."""
+    letters = "aBcdéßöÿz"
+    words = ["".join(letters[(k * p + k // 7) % 9] for p in range(1, 2 + k % 9)) for k in range(3000)]
+    words = [w + (".", ",", "", "!?", "9'll", "…", "<|", "中x", "\n", "’s")[k % 10] for k, w in enumerate(words)]
+    texts = [" ".join(words[k : k + 40]) for k in range(0, 3000, 30)] + ["", "<|startoftext|>", "a <|endoftext|>b c"]
+    for name, ids_of in (("word_bpe_49k.json", word_ids), ("byte_bpe_50k.json", byte_ids)):
+        encoder = encoding.LibraryEncoder(public_tokenizers.path(name))
+        encoder.words.most = encoder.others.most = 50
+        calls, encode = Counter(), encoder.tokenizer.encode_batch_fast
+
+        class Counted:
+            def encode_batch_fast(self, parts, **how):
+                calls["texts"] += len(parts)  # noqa: B023
+                return encode(parts, **how)  # noqa: B023
+
+        encoder.tokenizer = Counted()
+        if name.startswith("word"):
+            monkeypatch.setattr(encoder, "encode_words", lambda words: pytest.fail("a call a word"))
+        for k in (0, 20, 40, 10, 60, 80, 0):
+            got = encoder.encode(texts[k : k + 25])
+            assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(t) for t in texts[k : k + 25]]
+        assert calls["texts"] < 500
+
+
 def test_joined_checksums():
     parts = [b"", b"abc", b"x" * 1000, b"\0", b"tail"]
     assert token_store.crc32_joined([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
