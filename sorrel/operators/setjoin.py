@@ -7,7 +7,10 @@ share only frequent ones there are counted in tiles instead: sets whose prefix h
 of like size, and a pair of blocks whose sizes fit is one product of two matrices of sets by tokens. A tile's memory is
 bounded; the number of tiles grows with the square of such sets. What is left is compared exactly.
 
-Equal sets of a group are compared once. Nothing is dropped: each of these steps keeps every pair at or above the bound.
+In a group of few rows that costs more than it saves: best matches and assignments compare all pairs of such groups, so
+that a row meets FEW others at most, and only larger groups go through prefixes.
+
+Equal sets of a larger group are compared once. Nothing is dropped: each of these steps keeps every pair at or above the bound.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from sorrel.session import kept
 FREQUENT = 128
 #: Products of sizes with the bound are rounded here before the ceiling is taken, so 0.15 * 20 is 3.
 _PLACES = 9
+#: A group of so many rows, both sides together, is compared pair by pair.
+FEW = 64
 #: Sets of a block, and tokens of a matrix at once: a tile takes some tens of MB.
 BLOCK, TOKENS = 2048, 1024
 TILE = ("_band_a", "_block_a", "_band_b", "_block_b")
@@ -154,6 +159,27 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     return pairs.join(x, [*by, "_set_a"]).join(y, [*by, "_set_b"]).select(*by, left_key, right_key, "similarity")
 
 
+def _by_size(left: DataFrame, right: DataFrame, by: Sequence[str], few: int) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None]:
+    """left and right of the groups of at most few rows, and of the larger ones if there are any; without columns by, all is one group."""
+    grouped = reduce(Column.__and__, (F.col(k).isNotNull() for k in by), F.lit(True))
+    left, right = left.where(grouped), right.where(grouped)  # null groups are none
+    large = kept(left.select(*by).unionByName(right.select(*by)).groupBy(*by).agg(F.count("*").alias("_rows")).where(F.col("_rows") > few).drop("_rows"), "large") if by else None
+    if large is not None and large.isEmpty():
+        return (left, right), None
+    if large is None:
+        return (left.limit(0), right.limit(0)), (left, right)
+    of = lambda how: tuple(x.join(large, list(by), how) for x in (left, right))
+    return of("left_anti"), tuple(kept(x, "large-rows") for x in of("left_semi"))
+
+
+def _all_pairs(left: DataFrame, right: DataFrame, by: Sequence[str], bound: float) -> DataFrame:
+    """left's columns but tokens, right's as well, with similarity, of the pairs of a group's rows that are similar enough."""
+    met = left.withColumnsRenamed({"set": "_set_a", "tokens": "x"}).hint("merge").join(right.withColumnsRenamed({"set": "_set_b", "tokens": "y"}), list(by))
+    n, m = F.size("x"), F.size("y")
+    met = met.where(F.least(n, m) >= _least(bound, F.greatest(n, m))).withColumn("_common", F.size(F.array_intersect("x", "y")))
+    return met.withColumn("similarity", F.col("_common") / (n + m - F.col("_common"))).drop("x", "y", "_common").where(F.col("similarity") >= bound)
+
+
 def _bounds(least: float) -> list[float]:
     return [b for b in (0.5,) if b > least] + [least]
 
@@ -165,16 +191,19 @@ def best_matches(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     and longer prefixes. Rows without a match of at least `least` aren't in the result.
     """
     left, right = kept(_with_set(left, by, left_key, tokens), "left"), kept(_with_set(right, by, right_key, tokens), "right")
-    ordered = _ordered(left.select(*by, "tokens").unionByName(right.select(*by, "tokens")), by)
-    first = right.groupBy(*by, F.col("set").alias("_set_b")).agg(F.min(right_key).alias(right_key))
-    rest, done = left.select(*by, "set").distinct(), []
-    for bound in _bounds(least):
-        met = _set_pairs(rest, right, ordered, by, bound, frequent).join(first, [*by, "_set_b"])
-        # max_by with a struct takes the largest similarity; of equal ones the smallest key comes first in ascending order.
-        best = met.groupBy(*by, F.col("_set_a").alias("set")).agg(F.min(F.struct((-F.col("similarity")).alias("away"), F.col(right_key))).alias("m"))
-        best = kept(best, "best")
-        done.append(best)
-        rest = kept(rest.join(best.select(*by, "set"), [*by, "set"], "left_anti"), "rest")
+    # The least struct has the largest similarity; of equal ones the smallest key comes first in ascending order.
+    best_of = lambda met: met.groupBy(*by, F.col("_set_a").alias("set")).agg(F.min(F.struct((-F.col("similarity")).alias("away"), F.col(right_key))).alias("m"))
+    small, large = _by_size(left, right, by, FEW)
+    done = [best_of(_all_pairs(small[0].drop(left_key), small[1], by, least))] if by else []
+    if large:
+        some, others = large
+        ordered = _ordered(some.select(*by, "tokens").unionByName(others.select(*by, "tokens")), by)
+        first = others.groupBy(*by, F.col("set").alias("_set_b")).agg(F.min(right_key).alias(right_key))
+        rest = some.select(*by, "set").distinct()
+        for bound in _bounds(least):
+            best = kept(best_of(_set_pairs(rest, others, ordered, by, bound, frequent).join(first, [*by, "_set_b"])), "best")
+            done.append(best)
+            rest = kept(rest.join(best.select(*by, "set"), [*by, "set"], "left_anti"), "rest")
     found = reduce(DataFrame.unionByName, done)
     return left.select(*by, left_key, "set").join(found, [*by, "set"]).select(*by, left_key, F.col(f"m.{right_key}").alias(right_key), (-F.col("m.away")).alias("similarity"))
 
@@ -186,13 +215,17 @@ def assigned(left: DataFrame, right: DataFrame, left_key: str, right_key: str, t
     too, and rows that have a partner go no further.
     """
     left, right = kept(_with_set(left, [by], left_key, tokens), "left"), kept(_with_set(right, [by], right_key, tokens), "right")
-    ordered = _ordered(left.select(by, "tokens").unionByName(right.select(by, "tokens")), [by])
-    rest_l, rest_r, done = left.drop("tokens"), right.drop("tokens"), []
-    for bound in _bounds(least):
-        pairs = _set_pairs(rest_l, rest_r, ordered, [by], bound, frequent)
-        pairs = pairs.join(rest_l.withColumnRenamed("set", "_set_a"), [by, "_set_a"]).join(rest_r.withColumnRenamed("set", "_set_b"), [by, "_set_b"])
-        taken = kept(greedy_pairs(pairs, by, left_key, right_key, "similarity", bound), "assigned")
-        done.append(taken)
-        rest_l = rest_l.join(taken.select(by, left_key), [by, left_key], "left_anti")
-        rest_r = rest_r.join(taken.select(by, right_key), [by, right_key], "left_anti")
+    small, large = _by_size(left, right, [by], FEW)
+    pairs = _all_pairs(*small, [by], least)
+    done = [kept(greedy_pairs(pairs, by, left_key, right_key, "similarity", least), "assigned")]
+    if large:
+        ordered = _ordered(large[0].select(by, "tokens").unionByName(large[1].select(by, "tokens")), [by])
+        rest_l, rest_r = large[0].drop("tokens"), large[1].drop("tokens")
+        for bound in _bounds(least):
+            pairs = _set_pairs(rest_l, rest_r, ordered, [by], bound, frequent)
+            pairs = pairs.join(rest_l.withColumnRenamed("set", "_set_a"), [by, "_set_a"]).join(rest_r.withColumnRenamed("set", "_set_b"), [by, "_set_b"])
+            taken = kept(greedy_pairs(pairs, by, left_key, right_key, "similarity", bound), "assigned")
+            done.append(taken)
+            rest_l = rest_l.join(taken.select(by, left_key), [by, left_key], "left_anti")
+            rest_r = rest_r.join(taken.select(by, right_key), [by, right_key], "left_anti")
     return reduce(DataFrame.unionByName, done)

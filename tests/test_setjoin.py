@@ -68,6 +68,34 @@ def test_best_matches_equal_all_pairs(sides):
     assert len(got) == len(want) and {(r["g"], r["l"]): r["r"] for r in got} == want
 
 
+@pytest.mark.parametrize("few", [0, 170, 10**6])
+def test_small_groups_are_compared_pair_by_pair(sides, monkeypatch, few):
+    """Groups of few rows make no row a token; those above the number do, with the same best matches."""
+    left, right, a, b = sides
+    monkeypatch.setattr(setjoin, "FEW", few)
+    if few == 10**6:
+        monkeypatch.setattr(setjoin, "_ordered", lambda *_: pytest.fail("tokens were exploded"))
+    want = {}
+    for g, k, x in left:
+        met = [(-jaccard(x, y), m) for h, m, y in right if g == h and x and y and jaccard(x, y) >= 0.15]
+        if met:
+            want[g, k] = min(met)[1]
+    again = a.unionByName(a.where("l % 7 = 0")).unionByName(spark_row(a))
+    got = [(r["g"], r["l"], r["r"]) for r in setjoin.best_matches(again, b, "l", "r", "tokens", 0.15, ["g"], 5).collect()]
+    assert sorted(got) == sorted((g, k, m) for (g, k), m in want.items() for _ in range(1 + (k % 7 == 0)))
+
+
+def spark_row(a):
+    """A row of a null group."""
+    return a.limit(1).withColumn("g", F.lit(None).cast("int")).withColumn("tokens", F.array(F.lit("t1")))
+
+
+@pytest.mark.parametrize("few", [0, 40])
+def test_assignment_of_groups_of_any_size(spark, monkeypatch, few):
+    monkeypatch.setattr(setjoin, "FEW", few)
+    test_assignment_equals_a_loop(spark)
+
+
 def test_assignment_equals_a_loop(spark):
     left, right = rows(7, 60, 30, 10, 3), [(g, k + 500, t) for g, k, t in rows(8, 60, 30, 10, 3)]
     pairs = sorted((-jaccard(x, y), k, m, g) for g, k, x in left for h, m, y in right if g == h and x and y and jaccard(x, y) >= 0.15)
