@@ -49,8 +49,7 @@ s AS (SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.g, b.g)) / CAS
 def similar_names(spark: SparkSession, d: str) -> DataFrame:
     """STR16: names of which two share 0.4 of their pairs of characters or more."""
     n = table(spark, d, "part").select(F.col("p_name").alias("a")).distinct().withColumn("g", S.bigrams(F.col("a")))
-    pairs = setjoin.similar_pairs(n, n.withColumnRenamed("a", "b"), "a", "b", "g", 0.4)
-    return pairs.where("a < b").select("a", "b", F.round("similarity", 6).alias("similarity")).where("similarity >= 0.4")
+    return setjoin.pairs_within(n, "a", "g", 0.4).select("a", "b", F.round("similarity", 6).alias("similarity")).where("similarity >= 0.4")
 
 
 #: Distinct pairs of characters of a text, as `letter_pairs` gives them.
@@ -64,7 +63,7 @@ def similar_turns(spark: SparkSession, d: str) -> DataFrame:
     """STR16: distinct texts of conversations, whole, of which two share at least four fifths of their pairs of characters."""
     t = table(spark, d, "conversations").select(S.plain_letters(F.col("text")).alias("p")).where("p <> ''").distinct()
     t = t.select(F.md5("p").alias("a"), S.letter_pairs(F.col("p")).alias("g"))
-    return setjoin.similar_pairs(t, t.withColumnRenamed("a", "b"), "a", "b", "g", 0.8).where("a < b").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return setjoin.pairs_within(t, "a", "g", 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query(r"""SELECT conv_id, turn, CAST(length(regexp_replace(text, 'https?://[^\s]+', repeat('x', 23), 'g')) AS BIGINT) AS post, CAST(len(regexp_extract_all(regexp_replace(text, 'https?://[^\s]+', '', 'g'), '#[A-Za-z0-9_]+')) AS BIGINT) AS tags, sha1_prefix AS print FROM (SELECT *, substr(sha1(role || ':' || text), 1, 10) AS sha1_prefix FROM conversations)""")

@@ -127,3 +127,32 @@ def test_a_frequent_token_is_no_key(spark):
 def test_pairs_of_letters(spark):
     df = spark.createDataFrame([("A, b（C)",), ("x",), ("",), (None,), ("aaa",)], "t string").select(S.letter_pairs(F.col("t")).alias("g"))
     assert [r["g"] for r in df.collect()] == [["ab", "bc"], ["x"], [""], None, ["aa"]]
+
+
+@pytest.mark.parametrize("vocabulary", [0, 32767])
+@pytest.mark.parametrize("frequent", [0, 5, 10**6])
+def test_pairs_within(sides, monkeypatch, frequent, vocabulary):
+    """Each pair of rows once, the smaller key first, also of rows with equal sets; tiles of few sets and bits of any number of tokens."""
+    monkeypatch.setattr(setjoin, "BLOCK", 16)
+    monkeypatch.setattr(setjoin, "TOKENS", 7 if vocabulary else 10**6)
+    monkeypatch.setattr(setjoin, "PARTS", 3)
+    monkeypatch.setattr(setjoin, "VOCABULARY", vocabulary)
+    left, _, a, _ = sides
+    want = {(k, m): jaccard(x, y) for _, k, x in left for _, m, y in left if k < m and x and y and jaccard(x, y) >= 0.4}
+    got = [tuple(r) for r in setjoin.pairs_within(a, "l", "tokens", 0.4, (), frequent).collect()]
+    assert len(got) == len(want) and {r[:2]: r[2] for r in got} == pytest.approx(want)
+
+
+def test_pairs_of_tiles_are_not_written(spark, tmp_path, monkeypatch):
+    """Many similar pairs of sets of frequent tokens: what is written for them follows from the sets, not from the pairs."""
+
+    def kept(df, name):
+        path = str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    monkeypatch.setattr(setjoin, "kept", kept)
+    df = spark.range(1500).select(F.col("id").alias("l"), F.expr("transform(sequence(1, 55), i -> concat('t', pmod(xxhash64(id, i), 60)))").alias("tokens"))
+    pairs = setjoin.pairs_within(df, "l", "tokens", 0.5, (), 10).count()
+    assert pairs > 150_000
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet") if f.is_file()) < 4 * pairs
