@@ -113,6 +113,38 @@ def test_changes_of_leaves(spark):
     assert got == {("/a", "changed", "1", "1"), ("/gone", "removed", "x", None), ("/came", "added", None, "y"), ("/lines/new/n", "added", None, "new"), ("/lines/new/v", "added", None, "0"), ("/lines/two/v", "changed", "2", "3"), ("/e/1", "added", None, "4"), ("/o/0", "removed", "1", None)}
 
 
+@pytest.mark.parametrize("steps", [1, 2, 12])
+@pytest.mark.parametrize("depth", [None, 30])
+def test_leaves_of_any_depth(spark, monkeypatch, steps, depth):
+    """Documents deeper than one plan's steps; brackets and quotes in texts; lists of nulls and of nothing."""
+    monkeypatch.setattr(nested, "STEPS", steps)
+    deep = [None]
+    for k in range(13):
+        deep = [k, {"x": deep}] if k % 2 else [deep, {}]
+    documents = [*DOCUMENTS, deep, ["[[[", "\\", '"{', {"]": '\\"['}], [[], [None], [[None]], {"a": None}]]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(documents)] + [(90, "[" * 50)], "pos long, doc string")
+    got = [tuple(r) for r in nested.leaves(df, ["pos"], "doc", depth=depth).collect()]
+    want = {(i, *leaf) for i, x in enumerate(documents) for leaf in plain_leaves(x)}
+    assert len(got) == len(want) and set(got) == want
+    if depth is None:
+        assert nested.depth_of(df, "doc") == 20
+    else:
+        with pytest.raises(Exception, match="deeper than 3"):
+            nested.leaves(df, ["pos"], "doc", depth=3).collect()
+
+
+def test_changes_of_documents_of_a_row(spark, monkeypatch):
+    """The same changes as those of leaves, also where a pointer is there twice; nothing is written, and dealt rows aren't moved."""
+    monkeypatch.setattr(nested, "kept", lambda *_: pytest.fail("a level was written"))
+    versions = [*DOCUMENTS, {"lines": [{"n": "a", "v": 1}, {"n": "a", "v": 2}]}, {"lines": [{"n": "a", "v": 2}, {"n": "a", "v": 3}, {"n": "c"}]}, {}, None]
+    texts = [None if v is None else json.dumps(v) for v in versions]
+    df = spark.createDataFrame([(len(texts) * i + j, x, y) for i, x in enumerate(texts) for j, y in enumerate(texts)], "k long, old string, new string").repartition(5, "k")
+    got = nested.document_changes(df, ["k"], "old", "new", {"lines": "n"})
+    x, y = (nested.leaves(df, ["k"], c, {"lines": "n"}) for c in ("old", "new"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, nested.leaf_changes(x, y, ["k"]).collect()))
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
+
+
 def test_gates_before_a_start(spark):
     rows = spark.createDataFrame([(True, 0, 9, 0, 9, "paused"), (False, 9, 9, 0, 9, "own cap"), (False, 1, None, 0, 9, "own cap"), (False, 0, 9, 10, 9, "total cap"), (False, 0, 9, 0, 9, "go")], "p boolean, o int, oc int, s int, sc int, want string")
     got = rows.withColumn("got", gates.gate(*(F.col(c) for c in ("p", "o", "oc", "s", "sc"))))
